@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -29,9 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
+_folder: ContextVar[str] = ContextVar("folder", default="roadloom")
+
+
+def fresh_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/roadloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{folder or _folder.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside the block are deleted when it ends."""
+    folder = f"roadloom/scratch-{uuid.uuid4().hex}"
+    outer = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(outer)
+        delete_path(spark, f"{shared_folder(spark)}/{folder}")
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -78,10 +95,11 @@ class Rounds:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.name = name
+        self._in_folder = _folder.get()
         self._newest: str | None = None
 
     def save(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-        path = fresh_path(self.spark, self.name)
+        path = fresh_path(self.spark, self.name, self._in_folder)
         stored, measured = write_and_read(df, path, **metrics)
         if self._newest is not None:
             delete_path(self.spark, self._newest)

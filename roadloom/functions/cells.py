@@ -25,14 +25,6 @@ def _long(value: Column | int) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("long")
 
 
-def _shift_left(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", value, bits.cast("int"))
-
-
-def _shift_right(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftright", value, bits.cast("int"))
-
-
 def _resolution_bits(cell: Column) -> Column:
     return F.shiftright(cell, RESOLUTION_SHIFT).bitwiseAND(F.lit(RESOLUTION_MASK)).cast("int")
 
@@ -42,40 +34,45 @@ def resolution(cell: Column) -> Column:
     return F.when(cell == NO_CELL, F.lit(NO_RESOLUTION)).otherwise(_resolution_bits(cell))
 
 
+def _at_level(cell: Column, res: Column | int) -> Column:
+    """A cell moved to a level between 0 and its own: finer digits become ones."""
+    kept = cell.bitwiseAND(_long(~(RESOLUTION_MASK << RESOLUTION_SHIFT)))
+    if isinstance(res, int):
+        finer_ones = (1 << (BASE_CELL_SHIFT - BITS_PER_DIGIT * res)) - 1
+        return kept.bitwiseOR(_long((res << RESOLUTION_SHIFT) | finer_ones))
+    finer_bits = F.lit(BASE_CELL_SHIFT) - res * BITS_PER_DIGIT
+    finer_ones = F.call_function("shiftleft", _long(1), finer_bits) - _long(1)
+    return kept.bitwiseOR(F.shiftleft(_long(res), RESOLUTION_SHIFT)).bitwiseOR(finer_ones)
+
+
 def ancestor(cell: Column, res: Column | int) -> Column:
     """The cell that contains ``cell`` at resolution ``res``.
 
     0 when the cell is 0 or ``res`` is negative; the cell itself when ``res``
     is finer than the cell.
     """
-    res = (res if isinstance(res, Column) else F.lit(res)).cast("int")
-    finer_bits = F.lit(BASE_CELL_SHIFT) - res * BITS_PER_DIGIT
-    finer_ones = _shift_left(_long(1), finer_bits) - _long(1)
-    without_resolution = cell.bitwiseAND(_long(~(RESOLUTION_MASK << RESOLUTION_SHIFT)))
-    moved = without_resolution.bitwiseOR(
-        _shift_left(_long(res), F.lit(RESOLUTION_SHIFT))
-    ).bitwiseOR(finer_ones)
+    if isinstance(res, int) and res < 0:
+        return _long(NO_CELL)
+    level = res.cast("int") if isinstance(res, Column) else res
     return (
-        F.when((res < 0) | (cell == NO_CELL), _long(NO_CELL))
-        .when(res >= _resolution_bits(cell), cell)
-        .otherwise(moved)
+        F.when(F.lit(level) < 0, _long(NO_CELL))
+        .when((cell == NO_CELL) | (_resolution_bits(cell) <= level), cell)
+        .otherwise(_at_level(cell, level))
     )
 
 
 def common_ancestor(left: Column, right: Column) -> Column:
     """The finest cell that contains both cells, 0 when there is none."""
     differing = left.bitwiseXOR(right).bitwiseAND(_long((1 << RESOLUTION_SHIFT) - 1))
-    # The base cell and the first k digits agree exactly when nothing differs
-    # above bit 45 - 3k, and agreement at k implies agreement at every k' < k.
-    agreeing = F.lit(NO_RESOLUTION)
-    for res in range(FINEST_RESOLUTION + 1):
-        level_bits = BASE_CELL_SHIFT - BITS_PER_DIGIT * res
-        agreeing = agreeing + (F.shiftright(differing, level_bits) == 0).cast("int")
+    # The highest differing bit lies in the first digit that differs, or in the
+    # base cell. A one appended below it makes "nothing differs" one bit long.
+    bits = F.length(F.bin(F.shiftleft(differing, 1).bitwiseOR(_long(1))))
+    agreeing = (FINEST_RESOLUTION - 1) - F.floor((bits - 2) / BITS_PER_DIGIT).cast("int")
     shared = F.least(agreeing, _resolution_bits(left), _resolution_bits(right))
-    known = left.isNotNull() & right.isNotNull()
     return (
-        F.when(known & ((left == NO_CELL) | (right == NO_CELL)), _long(NO_CELL))
-        .when(known, ancestor(left, shared))
+        F.when(left.isNull() | right.isNull(), F.lit(None).cast("long"))
+        .when((left == NO_CELL) | (right == NO_CELL) | (shared < 0), _long(NO_CELL))
+        .otherwise(_at_level(left, shared))
     )
 
 

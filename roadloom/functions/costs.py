@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def travel_cost(length: Column, maxspeed: Column, seconds_per_unit: float = 1.0) -> Column:
-    """``length / maxspeed``; infinite at non-positive speed, NULL when either is NULL.
+    """``length / maxspeed``; infinite at non-positive speed, NULL when an input it needs is NULL.
 
     ``seconds_per_unit`` is 60 for costs in minutes.
     """
