@@ -1,8 +1,11 @@
-"""Cell arithmetic as native column expressions.
+"""Cell arithmetic as native expressions.
 
 A cell is a 64-bit index: bits 52-55 hold the resolution, bits 45-51 the base
 cell, then fifteen 3-bit digits follow, coarsest first. Digits finer than the
 resolution are all ones. Cell 0 stands for "no cell".
+
+The functions take column names, or any SQL expressions, and return columns;
+the ``*_sql`` forms return the expression for use inside another one.
 """
 
 from __future__ import annotations
@@ -17,104 +20,115 @@ BASE_CELL_SHIFT = 45
 BITS_PER_DIGIT = 3
 RESOLUTION_MASK = 15
 
-NO_CELL = 0
-NO_RESOLUTION = -1
-
-
-def _long(value: Column | int) -> Column:
-    return (value if isinstance(value, Column) else F.lit(value)).cast("long")
+WITHOUT_RESOLUTION = ~(RESOLUTION_MASK << RESOLUTION_SHIFT)
+POSITION_MASK = (1 << RESOLUTION_SHIFT) - 1
 
 
-def _resolution_bits(cell: Column) -> Column:
-    return F.shiftright(cell, RESOLUTION_SHIFT).bitwiseAND(F.lit(RESOLUTION_MASK)).cast("int")
+def _bits_sql(cell: str) -> str:
+    return f"CAST(shiftright({cell}, {RESOLUTION_SHIFT}) & {RESOLUTION_MASK} AS INT)"
 
 
-def resolution(cell: Column) -> Column:
-    """Resolution 0-15 of a cell, -1 for cell 0."""
-    return F.when(cell == NO_CELL, F.lit(NO_RESOLUTION)).otherwise(_resolution_bits(cell))
-
-
-def _at_level(cell: Column, res: Column | int) -> Column:
+def _at_level_sql(cell: str, res: str | int) -> str:
     """A cell moved to a level between 0 and its own: finer digits become ones."""
-    kept = cell.bitwiseAND(_long(~(RESOLUTION_MASK << RESOLUTION_SHIFT)))
     if isinstance(res, int):
         finer_ones = (1 << (BASE_CELL_SHIFT - BITS_PER_DIGIT * res)) - 1
-        return kept.bitwiseOR(_long((res << RESOLUTION_SHIFT) | finer_ones))
-    finer_bits = F.lit(BASE_CELL_SHIFT) - res * BITS_PER_DIGIT
-    finer_ones = F.call_function("shiftleft", _long(1), finer_bits) - _long(1)
-    return kept.bitwiseOR(F.shiftleft(_long(res), RESOLUTION_SHIFT)).bitwiseOR(finer_ones)
+        return f"(({cell} & {WITHOUT_RESOLUTION}L) | {(res << RESOLUTION_SHIFT) | finer_ones}L)"
+    finer_ones = f"(shiftleft(1L, {BASE_CELL_SHIFT} - {BITS_PER_DIGIT} * CAST({res} AS INT)) - 1L)"
+    level = f"shiftleft(CAST({res} AS BIGINT), {RESOLUTION_SHIFT})"
+    return f"(({cell} & {WITHOUT_RESOLUTION}L) | {level} | {finer_ones})"
 
 
-def ancestor(cell: Column, res: Column | int) -> Column:
-    """The cell that contains ``cell`` at resolution ``res``.
+def resolution_sql(cell: str) -> str:
+    return f"IF({cell} = 0, -1, {_bits_sql(cell)})"
 
-    0 when the cell is 0 or ``res`` is negative; the cell itself when ``res``
-    is finer than the cell.
-    """
+
+def ancestor_sql(cell: str, res: str | int) -> str:
     if isinstance(res, int) and res < 0:
-        return _long(NO_CELL)
-    level = res.cast("int") if isinstance(res, Column) else res
+        return "0L"
+    none = "" if isinstance(res, int) else f"WHEN {res} < 0 THEN 0L "
     return (
-        F.when(F.lit(level) < 0, _long(NO_CELL))
-        .when((cell == NO_CELL) | (_resolution_bits(cell) <= level), cell)
-        .otherwise(_at_level(cell, level))
+        f"CASE {none}WHEN {cell} = 0 OR {_bits_sql(cell)} <= {res} THEN {cell} "
+        f"ELSE {_at_level_sql(cell, res)} END"
     )
 
 
-def common_ancestor(left: Column, right: Column) -> Column:
-    """The finest cell that contains both cells, 0 when there is none."""
-    differing = left.bitwiseXOR(right).bitwiseAND(_long((1 << RESOLUTION_SHIFT) - 1))
+def common_ancestor_sql(left: str, right: str) -> str:
     # The highest differing bit lies in the first digit that differs, or in the
     # base cell. A one appended below it makes "nothing differs" one bit long.
-    bits = F.length(F.bin(F.shiftleft(differing, 1).bitwiseOR(_long(1))))
-    agreeing = (FINEST_RESOLUTION - 1) - F.floor((bits - 2) / BITS_PER_DIGIT).cast("int")
-    shared = F.least(agreeing, _resolution_bits(left), _resolution_bits(right))
+    bits = f"length(bin(shiftleft(({left} ^ {right}) & {POSITION_MASK}L, 1) | 1L))"
+    agreeing = f"{FINEST_RESOLUTION - 1} - CAST(floor(({bits} - 2) / {BITS_PER_DIGIT}) AS INT)"
+    shared = f"least({agreeing}, {_bits_sql(left)}, {_bits_sql(right)})"
     return (
-        F.when(left.isNull() | right.isNull(), F.lit(None).cast("long"))
-        .when((left == NO_CELL) | (right == NO_CELL) | (shared < 0), _long(NO_CELL))
-        .otherwise(_at_level(left, shared))
+        f"CASE WHEN {left} IS NULL OR {right} IS NULL THEN CAST(NULL AS BIGINT) "
+        f"WHEN {left} = 0 OR {right} = 0 OR {shared} < 0 THEN 0L ELSE {_at_level_sql(left, shared)} END"
     )
 
 
-def to_text(cell: Column) -> Column:
+def to_text_sql(cell: str) -> str:
+    return f"CASE WHEN {cell} <> 0 THEN lower(hex({cell})) END"
+
+
+def from_text_sql(text: str) -> str:
+    return (
+        f"CASE WHEN trim({text}) = '0' THEN 0L "
+        f"WHEN length(trim({text})) <= 16 THEN TRY_CAST(conv(trim({text}), 16, 10) AS BIGINT) "
+        f"ELSE TRY_CAST(trim({text}) AS BIGINT) END"
+    )
+
+
+def resolution(cell: str) -> Column:
+    """Resolution 0-15 of a cell, -1 for cell 0."""
+    return F.expr(resolution_sql(cell))
+
+
+def ancestor(cell: str, res: str | int) -> Column:
+    """The cell that contains ``cell`` at resolution ``res``.
+
+    0 when the cell is 0 or ``res`` is negative; the cell itself when ``res``
+    is finer than the cell.
+    """
+    return F.expr(ancestor_sql(cell, res))
+
+
+def common_ancestor(left: str, right: str) -> Column:
+    """The finest cell that contains both cells, 0 when there is none."""
+    return F.expr(common_ancestor_sql(left, right))
+
+
+def to_text(cell: str) -> Column:
     """Lower-case hexadecimal form; NULL for cell 0."""
-    return F.when(cell != NO_CELL, F.lower(F.hex(cell)))
+    return F.expr(to_text_sql(cell))
 
 
-def from_text(text: Column) -> Column:
+def from_text(text: str) -> Column:
     """A cell from its hexadecimal or decimal text.
 
     A hexadecimal cell has at most 16 characters, a decimal one 18 or 19.
     """
-    text = F.trim(text)
-    return (
-        F.when(text == "0", _long(NO_CELL))
-        .when(F.length(text) <= 16, F.conv(text, 16, 10).try_cast("long"))
-        .otherwise(text.try_cast("long"))
-    )
+    return F.expr(from_text_sql(text))
 
 
-def text_resolution(text: Column) -> Column:
+def text_resolution(text: str) -> Column:
     """Resolution of a cell given as text, -1 for NULL."""
-    return F.coalesce(resolution(from_text(text)), F.lit(NO_RESOLUTION))
+    return F.expr(f"coalesce({resolution_sql(f"({from_text_sql(text)})")}, -1)")
 
 
-def text_ancestor(text: Column, res: Column | int) -> Column:
+def text_ancestor(text: str, res: str | int) -> Column:
     """Containing cell of a cell given as text; NULL when there is none."""
-    return to_text(ancestor(from_text(text), res))
+    return F.expr(to_text_sql(f"({ancestor_sql(f"({from_text_sql(text)})", res)})"))
 
 
-def text_common_ancestor(left: Column, right: Column) -> Column:
+def text_common_ancestor(left: str, right: str) -> Column:
     """Finest common cell of two cells given as text; NULL when there is none."""
-    return to_text(common_ancestor(from_text(left), from_text(right)))
+    common = common_ancestor_sql(f"({from_text_sql(left)})", f"({from_text_sql(right)})")
+    return F.expr(to_text_sql(f"({common})"))
 
 
 def base_cells(df: DataFrame, *columns: str) -> DataFrame:
     """The distinct resolution-0 cells that occur in the given columns."""
-    cells = F.explode(F.array(*[F.col(name) for name in columns])).alias("occurring")
     return (
-        df.select(cells)
-        .select(ancestor(F.col("occurring"), 0).alias("cell"))
-        .where(F.col("cell") != NO_CELL)
+        df.selectExpr(f"explode(array({', '.join(columns)})) AS occurring")
+        .select(ancestor("occurring", 0).alias("cell"))
+        .where("cell <> 0")
         .distinct()
     )

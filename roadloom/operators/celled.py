@@ -22,36 +22,26 @@ def with_end_facts(shortcuts: DataFrame, edges: DataFrame) -> DataFrame:
     many rows per edge and the edge table one, so the join strategy is left to
     the planner, which splits skewed partitions of the left side.
     """
-    sources = edges.select(
-        F.col("id").alias("incoming_edge"),
-        F.col("incoming_cell").alias("source_cell"),
-        F.col("lca_res").alias("source_res"),
+    sources = edges.selectExpr(
+        "id AS incoming_edge", "incoming_cell AS source_cell", "lca_res AS source_res"
     )
-    targets = edges.select(
-        F.col("id").alias("outgoing_edge"),
-        F.col("outgoing_cell").alias("target_cell"),
-        F.col("lca_res").alias("target_res"),
+    targets = edges.selectExpr(
+        "id AS outgoing_edge", "outgoing_cell AS target_cell", "lca_res AS target_res"
     )
     bare = shortcuts.drop(*DERIVED, *ABOUT_SOURCE, *ABOUT_TARGET)
     return bare.join(sources, "incoming_edge", "left").join(targets, "outgoing_edge", "left")
 
 
-def pair_lca_res() -> Column:
-    """Coarsest level a pair can be used at: the finer of its two edges' levels."""
-    return F.greatest("source_res", "target_res")
-
-
-def pair_via_cell() -> Column:
-    """Finest cell that holds both the start and the end of the pair."""
-    return common_ancestor(F.col("source_cell"), F.col("target_cell"))
+# Coarsest level a pair can be used at: the finer of its two edges' levels.
+PAIR_LEVEL = "greatest(source_res, target_res)"
 
 
 def with_place(shortcuts: DataFrame) -> DataFrame:
     """Add ``lca_res``, ``via_cell`` and ``via_res`` from the end facts."""
     return (
-        shortcuts.withColumn("lca_res", pair_lca_res())
-        .withColumn("via_cell", pair_via_cell())
-        .withColumn("via_res", resolution(F.col("via_cell")))
+        shortcuts.withColumn("lca_res", F.expr(PAIR_LEVEL))
+        .withColumn("via_cell", common_ancestor("source_cell", "target_cell"))
+        .withColumn("via_res", resolution("via_cell"))
     )
 
 
@@ -60,11 +50,14 @@ def add_info(shortcuts: DataFrame, edges: DataFrame) -> DataFrame:
     return with_place(with_end_facts(shortcuts, edges)).drop(*ABOUT_SOURCE, *ABOUT_TARGET)
 
 
+def takes_part_sql(res: int) -> str:
+    condition = "lca_res <= 0" if res == GLOBAL_RESOLUTION else f"lca_res <= {res} AND via_res >= {res}"
+    return f"coalesce({condition}, false)"
+
+
 def takes_part(res: int) -> Column:
     """Condition for a placed shortcut to take part at a resolution; -1 is the global step."""
-    if res == GLOBAL_RESOLUTION:
-        return F.coalesce(F.col("lca_res") <= 0, F.lit(False))
-    return F.coalesce((F.col("lca_res") <= res) & (F.col("via_res") >= res), F.lit(False))
+    return F.expr(takes_part_sql(res))
 
 
 def at_resolution(placed: DataFrame, res: int) -> DataFrame:
@@ -74,26 +67,24 @@ def at_resolution(placed: DataFrame, res: int) -> DataFrame:
 
 def with_current_cell(placed: DataFrame, res: int) -> DataFrame:
     """Replace the place columns by ``current_cell``, the cell at the resolution."""
-    return placed.withColumn("current_cell", ancestor(F.col("via_cell"), res)).drop(*DERIVED)
+    return placed.withColumn("current_cell", ancestor("via_cell", res)).drop(*DERIVED)
 
 
 def direction() -> Column:
     """0 on the same level, -1 towards finer, +1 towards coarser, NULL if unknown."""
-    coarser, finer = F.col("source_res"), F.col("target_res")
-    return (
-        F.when(coarser == finer, 0).when(coarser < finer, -1).when(coarser > finer, 1).cast("byte")
-    )
+    return F.expr("CAST(sign(source_res - target_res) AS TINYINT)")
 
 
 def final_from_facts(shortcuts: DataFrame) -> DataFrame:
     """The published shortcut table, from shortcuts that carry the end facts."""
-    return shortcuts.select(
+    placed = shortcuts.withColumn("via_cell", common_ancestor("source_cell", "target_cell"))
+    return placed.select(
         "incoming_edge",
         "outgoing_edge",
         "via_edge",
         "cost",
         direction().alias("inside"),
-        ancestor(pair_via_cell(), pair_lca_res()).alias("cell"),
+        ancestor("via_cell", PAIR_LEVEL).alias("cell"),
     )
 
 

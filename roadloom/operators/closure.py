@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.durable import Rounds, durable
-from roadloom.functions.costs import usable
-from roadloom.operators.paths import CELLED, PathColumns, cheapest, cost_order
+from roadloom.functions.costs import usable_sql
+from roadloom.operators.paths import CELLED, PathColumns, cheapest
 from roadloom.operators.skew import HOT_ROWS, SLOT, copy_to_slots, deal_out, hot_keys
 
 GROUPED_ROWS = 1_000
@@ -85,9 +85,9 @@ def closure(
     return rounds.with_hops(costs, hop_rule)
 
 
-def _live(columns: PathColumns):
+def _live(columns: PathColumns) -> str:
     """True for rows a path may be built from: usable cost, ends apart."""
-    return usable(F.col(columns.cost)) & (F.col(columns.source) != F.col(columns.target))
+    return f"({usable_sql(columns.cost)} AND {columns.source} <> {columns.target})"
 
 
 class _Relaxation:
@@ -114,21 +114,17 @@ class _Relaxation:
     def chain(self, left: DataFrame, right: DataFrame, *extra) -> DataFrame:
         """Left paths joined to the right paths that start where they end."""
         c = self.columns
-        left = left.select(
-            c.source, *c.groups, F.col(c.target).alias("_mid"), F.col(c.cost).alias("_left_cost"),
-            *self.about_source, *[name for name in left.columns if name in (SLOT, "_left_hop", "_left_changed")],
+        left = left.selectExpr(
+            c.source, *c.groups, f"{c.target} AS _mid", f"{c.cost} AS _left_cost", *self.about_source,
+            *[name for name in left.columns if name in (SLOT, "_left_hop", "_left_changed")],
         )
-        right = right.select(
-            c.target, *c.groups, F.col(c.source).alias("_mid"), F.col(c.cost).alias("_right_cost"),
-            *self.about_target, *[name for name in right.columns if name in (SLOT, "_right_changed")],
+        right = right.selectExpr(
+            c.target, *c.groups, f"{c.source} AS _mid", f"{c.cost} AS _right_cost", *self.about_target,
+            *[name for name in right.columns if name in (SLOT, "_right_changed")],
         )
         keys = ["_mid", *c.groups, *([SLOT] if SLOT in left.columns else [])]
-        joined = left.join(right, keys).where(F.col(c.source) != F.col(c.target))
-        return joined.select(
-            *c.keys,
-            (F.col("_left_cost") + F.col("_right_cost")).alias(c.cost),
-            *self._carried(),
-            *extra,
+        return left.join(right, keys).where(f"{c.source} <> {c.target}").selectExpr(
+            *c.keys, f"_left_cost + _right_cost AS {c.cost}", *self._carried(), *extra
         )
 
     def _spread(self, left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,19 +150,18 @@ class _Relaxation:
     def _merged(self, state: DataFrame, candidates: DataFrame) -> DataFrame:
         """Old state and candidates reduced to the minimum, improvements marked."""
         c = self.columns
-        both = self._costs_only(state).withColumn(OLD, F.col(c.cost)).unionByName(
-            candidates.withColumn(OLD, F.lit(None).cast(state.schema[c.cost].dataType))
+        names = [*c.keys, c.cost, *self._carried()]
+        both = state.selectExpr(*names, f"{c.cost} AS {OLD}").unionByName(
+            candidates.selectExpr(*names, f"CAST(NULL AS {state.schema[c.cost].dataType.simpleString()}) AS {OLD}")
         )
         lowest = both.groupBy(*c.keys).agg(
-            F.min(c.cost).alias(c.cost),
-            F.min(OLD).alias(OLD),
-            *[F.min(name).alias(name) for name in self._carried()],
+            *[F.expr(f"min({name}) AS {name}") for name in [c.cost, OLD, *self._carried()]]
         )
-        better = _live(c) & (F.col(OLD).isNull() | (F.col(c.cost) < F.col(OLD)))
-        return lowest.withColumn(CHANGED, better).drop(OLD)
+        better = f"{_live(c)} AND ({OLD} IS NULL OR {c.cost} < {OLD})"
+        return lowest.selectExpr(*names, f"{better} AS {CHANGED}")
 
     def _repeat(self, candidates_of) -> DataFrame:
-        state = self._costs_only(self.arcs).withColumn(CHANGED, _live(self.columns))
+        state = self._costs_only(self.arcs).selectExpr("*", f"{_live(self.columns)} AS {CHANGED}")
         store = Rounds(state.sparkSession, "paths")
         done = 0
         # Finding the hops extends the paths once more: it is the last round.
@@ -177,7 +172,7 @@ class _Relaxation:
                     return state
                 raise NotConverged(f"paths still improved in round {done}")
             state, seen = store.save(
-                self._merged(state, candidates_of(state)), improved=F.count_if(F.col(CHANGED))
+                self._merged(state, candidates_of(state)), improved=F.expr(f"count_if({CHANGED})")
             )
             done += 1
             if seen["improved"] == 0:
@@ -193,7 +188,7 @@ class _Relaxation:
             left = known.withColumnRenamed(CHANGED, "_left_changed")
             right = known.withColumnRenamed(CHANGED, "_right_changed")
             chained = self.chain(left, right, "_left_changed", "_right_changed")
-            fresh = chained.where(F.col("_left_changed") | F.col("_right_changed"))
+            fresh = chained.where("_left_changed OR _right_changed")
             return fresh.drop("_left_changed", "_right_changed")
 
         return self._repeat(candidates)
@@ -202,14 +197,14 @@ class _Relaxation:
         """The closed costs with the lowest hop among all equally cheap last joins."""
         c = self.columns
         known = self._costs_only(costs.where(_live(c)))
-        middle = F.col("_mid").alias(c.hop)
+        middle = f"_mid AS {c.hop}"
         if hop_rule == "last":
             self._find_hubs()
             composed = self.chain(*self._spread(known), middle)
         elif hop_rule == "first":
             composed = self.chain(
                 self.live_arcs.withColumnRenamed(c.hop, "_left_hop"), known,
-                F.col("_left_hop").alias(c.hop),
+                f"_left_hop AS {c.hop}",
             )
         elif hop_rule == "middle":
             composed = self.chain(known, known, middle)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,13 +38,9 @@ SHORTCUT = PathColumns()
 CELLED = SHORTCUT.within("current_cell")
 HOPPED = PathColumns("src", "dst", "next_node", "cost")
 
-# NaN sorts after infinity, so rows of unknown cost lose against all others.
-UNKNOWN_LAST = float("nan")
-
-
-def cost_order(cost: str) -> Column:
-    """Cost with NULL placed last."""
-    return F.coalesce(F.col(cost), F.lit(UNKNOWN_LAST))
+def cost_order_sql(cost: str) -> str:
+    """Cost with NULL placed last: NaN sorts after infinity."""
+    return f"coalesce({cost}, double('NaN'))"
 
 
 def cheapest(paths: DataFrame, columns: PathColumns, extra: Sequence[str] = ()) -> DataFrame:
@@ -53,20 +49,17 @@ def cheapest(paths: DataFrame, columns: PathColumns, extra: Sequence[str] = ())
     Two hash aggregations with map-side combine; ``extra`` columns must depend
     on the key alone.
     """
-    kept = [F.min(name).alias(name) for name in extra]
-    per_cost = paths.groupBy(*columns.keys, columns.cost).agg(
-        F.min(columns.hop).alias(columns.hop), *kept
-    )
+    kept = [F.expr(f"min({name}) AS {name}") for name in extra]
+    cost, hop = columns.cost, columns.hop
+    per_cost = paths.groupBy(*columns.keys, cost).agg(F.expr(f"min({hop}) AS {hop}"), *kept)
     return per_cost.groupBy(*columns.keys).agg(
-        F.min_by(columns.cost, cost_order(columns.cost)).alias(columns.cost),
-        F.min_by(columns.hop, cost_order(columns.cost)).alias(columns.hop),
-        *kept,
+        *[F.expr(f"min_by({name}, {cost_order_sql(cost)}) AS {name}") for name in (cost, hop)], *kept
     )
 
 
 def cheapest_by_rank(paths: DataFrame, columns: PathColumns) -> DataFrame:
     """The rows ``cheapest`` finds, as a ranking window with all columns kept."""
-    best_first = Window.partitionBy(*columns.keys).orderBy(cost_order(columns.cost), columns.hop)
+    best_first = Window.partitionBy(*columns.keys).orderBy(F.expr(cost_order_sql(columns.cost)), columns.hop)
     return (
         paths.withColumn("_rank", F.row_number().over(best_first))
         .where(F.col("_rank") == 1)

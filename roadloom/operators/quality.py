@@ -16,6 +16,7 @@ from roadloom.functions.cells import (
 MAX_MISSING_PERCENT = 5.0
 CELL_MODE_SHIFT = 56
 CELL_MODE_BITS = 1 << 3
+BASE_CELL_MASK = 127
 BASE_CELLS = 122
 UNUSED_DIGIT = 7
 
@@ -53,22 +54,22 @@ def orphan_arcs(arcs: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def is_valid_cell(cell: Column) -> Column:
+def is_valid_cell(cell: str) -> Column:
     """True for cells that follow the index layout; cell 0 counts as valid."""
-    res = F.shiftright(cell, RESOLUTION_SHIFT).bitwiseAND(F.lit(RESOLUTION_MASK)).cast("int")
-    base = F.shiftright(cell, BASE_CELL_SHIFT).bitwiseAND(F.lit(127))
-    digits = F.lit(True)
-    for level in range(1, FINEST_RESOLUTION + 1):
-        shift = BITS_PER_DIGIT * (FINEST_RESOLUTION - level)
-        unused = F.shiftright(cell, shift).bitwiseAND(F.lit(UNUSED_DIGIT)) == UNUSED_DIGIT
-        digits = digits & (unused == (res < level))
-    mode = F.shiftright(cell, CELL_MODE_SHIFT) == CELL_MODE_BITS
-    return (cell == 0) | (mode & (base < BASE_CELLS) & digits)
+    res = f"(shiftright({cell}, {RESOLUTION_SHIFT}) & {RESOLUTION_MASK})"
+    digits = " AND ".join(
+        f"((shiftright({cell}, {BITS_PER_DIGIT * (FINEST_RESOLUTION - level)}) & {UNUSED_DIGIT}) = {UNUSED_DIGIT})"
+        f" = ({res} < {level})"
+        for level in range(1, FINEST_RESOLUTION + 1)
+    )
+    mode = f"shiftright({cell}, {CELL_MODE_SHIFT}) = {CELL_MODE_BITS}"
+    base = f"(shiftright({cell}, {BASE_CELL_SHIFT}) & {BASE_CELL_MASK}) < {BASE_CELLS}"
+    return F.expr(f"{cell} = 0 OR ({mode} AND {base} AND {digits})")
 
 
 def invalid_cells(edges: DataFrame, columns: Sequence[str] = ("incoming_cell", "outgoing_cell")) -> DataFrame:
     """Edges with a cell that is missing or breaks the index layout."""
     bad = F.lit(False)
     for name in columns:
-        bad = bad | ~F.coalesce(is_valid_cell(F.col(name)), F.lit(False))
+        bad = bad | ~F.coalesce(is_valid_cell(name), F.lit(False))
     return edges.where(bad).select("id", *columns)

@@ -25,7 +25,7 @@ def read_edge_file(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = _read_text_csv(spark, path)
     return raw.select(*[
-        (from_text(F.col(field.name)) if field.name in CELL_COLUMNS
+        (from_text(field.name) if field.name in CELL_COLUMNS
          else F.trim(F.col(field.name)).try_cast(field.dataType)).alias(field.name)
         for field in schemas.EDGES if field.name in raw.columns
     ])
@@ -49,7 +49,7 @@ def with_cost(edges: DataFrame, cost: Column | None = None) -> DataFrame:
 
     The default rule is length over speed; any column expression will do.
     """
-    rule = travel_cost(F.col("length"), F.col("maxspeed")) if cost is None else cost
+    rule = travel_cost("length", "maxspeed") if cost is None else cost
     return edges.withColumn("cost", rule)
 
 

@@ -150,28 +150,21 @@ class Networks:
     @property
     def supplier_nodes(self) -> DataFrame:
         """Start and end node of every supplier edge."""
-        nodes = self.tables.supplier.agg(F.floor(F.max("s_suppkey") / 4) + 1).first()[0] or 1
-        u, kind = F.floor(F.col("s_suppkey") / 4), F.col("s_suppkey") % 4
-        group = F.floor(u / 5) * 5
-        v = (
-            F.when(kind == 0, group + (u + 1) % 5)
-            .when(kind == 1, group + (u + 3) % 5)
-            .when(kind == 2, u + 5)
-            .otherwise(u + 11)
-        ) % nodes
-        return self.tables.supplier.select(
-            F.col("s_suppkey").alias("id"), u.alias("u"), v.alias("v"), (F.col("s_suppkey") % 17 > 0).alias("open")
+        nodes = self.tables.supplier.selectExpr("max(s_suppkey) div 4 + 1").first()[0] or 1
+        return self.tables.supplier.selectExpr(
+            "s_suppkey AS id", "s_suppkey div 4 AS u", "s_suppkey % 4 AS kind", "s_suppkey % 17 > 0 AS open"
+        ).selectExpr(
+            "id", "u", "open",
+            f"""CASE kind WHEN 0 THEN u div 5 * 5 + (u + 1) % 5 WHEN 1 THEN u div 5 * 5 + (u + 3) % 5
+                WHEN 2 THEN u + 5 ELSE u + 11 END % {nodes} AS v""",
         )
 
     @staticmethod
-    def _cell(node):
+    def _cell(node: str) -> str:
         """Resolution-2 cell of a node: 25 nodes per base cell, 5 per middle cell."""
-        base = F.floor(node / 25) % 122
         return (
-            F.lit((1 << 59) | (2 << 52) | ((1 << 39) - 1))
-            .bitwiseOR(F.shiftleft(base, 45))
-            .bitwiseOR(F.shiftleft(F.floor(node / 5) % 5, 42))
-            .bitwiseOR(F.shiftleft(node % 5, 39))
+            f"({(1 << 59) | (2 << 52) | ((1 << 39) - 1)}L | shiftleft({node} div 25 % 122, 45) "
+            f"| shiftleft({node} div 5 % 5, 42) | shiftleft({node} % 5, 39))"
         )
 
     @property
@@ -180,14 +173,15 @@ class Networks:
         lengths = self.tables.lineitem.groupBy(F.col("l_suppkey").alias("id")).agg(
             F.sum("l_quantity").alias("length")
         )
-        cells = self.supplier_nodes.select(
-            "id", self._cell(F.col("u")).alias("incoming_cell"), self._cell(F.col("v")).alias("outgoing_cell"),
-            F.when(F.col("open"), 1.0).otherwise(0.0).alias("maxspeed"),
+        cells = self.supplier_nodes.selectExpr(
+            "id", f"{self._cell('u')} AS incoming_cell", f"{self._cell('v')} AS outgoing_cell",
+            "IF(open, 1.0D, 0.0D) AS maxspeed",
         )
-        shared = resolution(common_ancestor(F.col("incoming_cell"), F.col("outgoing_cell")))
+        shared = common_ancestor("incoming_cell", "outgoing_cell")
         return (
             cells.join(lengths, "id", "left")
-            .withColumn("lca_res", shared)
+            .withColumn("shared", shared)
+            .withColumn("lca_res", resolution("shared"))
             .select("id", "incoming_cell", "outgoing_cell", "lca_res", "length", "maxspeed")
         )
 

@@ -95,7 +95,7 @@ def edges_csv_roundtrip(n):
 def edges_load(n):
     path = fresh_path(n.spark, "edges-csv")
     as_text = n.supplier_inputs.withColumns(
-        {name: cells.to_text(F.col(name)) for name in ("incoming_cell", "outgoing_cell")}
+        {name: cells.to_text(name) for name in ("incoming_cell", "outgoing_cell")}
     )
     store.write_csv(as_text, path)
     return network.read_edges(n.spark, path)
@@ -124,7 +124,7 @@ def edge_costs(n):
 
 @register("edge_costs_minutes", o.query(o.SUPPLIERS, select="SELECT id, round(cost / 60, 9) AS cost FROM supplier_edges"))
 def edge_costs_minutes(n):
-    cost = travel_cost(F.col("length"), F.col("maxspeed"), seconds_per_unit=60)
+    cost = travel_cost(seconds_per_unit=60)
     return network.with_cost(n.supplier_inputs, cost).select("id", F.round("cost", 9).alias("cost"))
 
 
@@ -146,8 +146,8 @@ final AS MATERIALIZED (
 def shortcuts_write_read(n):
     path = fresh_path(n.spark, "shortcuts")
     final = celled.add_final_info(n.supplier_shortcuts, n.supplier_edges)
-    store.write_shortcuts(final.withColumn("cell_res", cells.resolution(F.col("cell"))), path, ("cell_res",))
-    return store.read_shortcuts(n.spark, path).withColumn("cell_res", cells.resolution(F.col("cell")))
+    store.write_shortcuts(final.withColumn("cell_res", cells.resolution("cell")), path, ("cell_res",))
+    return store.read_shortcuts(n.spark, path).withColumn("cell_res", cells.resolution("cell"))
 
 
 DOWN_PASSES, DOWN_STEPS = o.passes(o.DOWN)
@@ -541,7 +541,7 @@ def sample_to_size(n):
 @register("cell_resolution", o.query(*PLACED, select=f"SELECT incoming_edge, outgoing_edge, via_cell, CAST({o.resolution('via_cell')} AS INTEGER) AS resolution FROM placed"))
 def cell_resolution(n):
     return placed_suppliers(n).select(
-        "incoming_edge", "outgoing_edge", "via_cell", cells.resolution(F.col("via_cell")).alias("resolution"))
+        "incoming_edge", "outgoing_edge", "via_cell", cells.resolution("via_cell").alias("resolution"))
 
 
 @register("cell_ancestor", o.query(o.SUPPLIERS, """
@@ -549,13 +549,13 @@ wanted AS (SELECT id, incoming_cell, unnest(range(-1, 16))::INTEGER AS res FROM
     select=f"SELECT id, res, {o.ancestor('incoming_cell', 'res')} AS ancestor FROM wanted"))
 def cell_ancestor(n):
     wanted = n.supplier_inputs.select("id", "incoming_cell", F.explode(F.sequence(F.lit(-1), F.lit(15))).alias("res"))
-    return wanted.select("id", "res", cells.ancestor(F.col("incoming_cell"), F.col("res")).alias("ancestor"))
+    return wanted.select("id", "res", cells.ancestor("incoming_cell", "res").alias("ancestor"))
 
 
 @register("cell_lca", o.query(o.SUPPLIERS, select=f"SELECT id, {o.common_ancestor('incoming_cell', 'outgoing_cell')} AS common FROM supplier_inputs"))
 def cell_lca(n):
     return n.supplier_inputs.select(
-        "id", cells.common_ancestor(F.col("incoming_cell"), F.col("outgoing_cell")).alias("common"))
+        "id", cells.common_ancestor("incoming_cell", "outgoing_cell").alias("common"))
 
 
 @register("current_cell", o.query(*PLACED, select=f"SELECT {o.PAIR}, {o.ancestor('via_cell', 1)} AS current_cell FROM placed"))
@@ -575,11 +575,11 @@ SELECT id, {text_sql('incoming_cell')} AS incoming_text,
 FROM supplier_inputs"""))
 def cell_string_forms(n):
     text = n.supplier_inputs.select(
-        "id", cells.to_text(F.col("incoming_cell")).alias("a"), cells.to_text(F.col("outgoing_cell")).alias("b"))
+        "id", cells.to_text("incoming_cell").alias("a"), cells.to_text("outgoing_cell").alias("b"))
     return text.select(
-        "id", F.col("a").alias("incoming_text"), cells.text_ancestor(F.col("a"), 0).alias("base_text"),
-        cells.text_common_ancestor(F.col("a"), F.col("b")).alias("common_text"),
-    ).withColumn("common_res", cells.text_resolution(F.col("common_text")))
+        "id", F.col("a").alias("incoming_text"), cells.text_ancestor("a", 0).alias("base_text"),
+        cells.text_common_ancestor("a", "b").alias("common_text"),
+    ).withColumn("common_res", cells.text_resolution("common_text"))
 
 
 @register("base_cells", o.query(o.SUPPLIERS, select=f"""
