@@ -6,8 +6,8 @@ Three ways to the same costs:
               Work grows with result rows times arcs per node. The default.
 ``doubling``  chains paths with paths, so h hops need about log2(h) rounds, at
               the price of more candidates per round. For long thin groups.
-``grouped``   solves small groups inside one grouped-map task each and leaves
-              larger ones to ``stepwise``.
+``grouped``   solves small groups inside grouped-map tasks of bounded size and
+              leaves larger ones to ``stepwise``.
 
 The loop carries costs only, as primitive hash aggregates; hops are found in
 one pass at the end. Rows of NULL or infinite cost and rows that lead an edge to
@@ -32,6 +32,7 @@ from roadloom.operators.paths import CELLED, PathColumns, cheapest
 from roadloom.operators.skew import HOT_ROWS, SLOT, copy_to_slots, deal_out, hot_keys
 
 GROUPED_ROWS = 1_000
+BUCKET_PAIRS = 2_000_000
 OLD = "_old_cost"
 CHANGED = "_changed"
 
@@ -220,88 +221,114 @@ def _by_group_size(
     paths, columns, about_source, about_target, max_rounds, allow_partial, keep_unusable,
     hot_rows, grouped_rows,
 ) -> DataFrame:
-    """Small groups by the grouped solver, groups beyond ``grouped_rows`` by joins."""
+    """Small groups in grouped-map tasks, groups beyond ``grouped_rows`` by joins."""
     groups = list(columns.groups)
     if not groups:
         raise ValueError("the grouped method needs group columns")
-    about = [*about_source, *about_target]
-    rows = durable(paths.select(*columns.all, *about), "paths")
-    large = (
-        rows.groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > grouped_rows)
-        .select(*groups)
+    rows = durable(paths.select(*columns.all, *about_source, *about_target), "paths")
+    sizes = rows.groupBy(*groups).agg(F.expr("count(*) AS _rows"))
+    measured = sizes.selectExpr(
+        f"count_if(_rows > {grouped_rows}) AS large",
+        f"coalesce(sum(IF(_rows > {grouped_rows}, 0, _rows * _rows)), 0) AS pairs",
+    ).first()
+    buckets = measured["pairs"] // BUCKET_PAIRS + 1
+    solve = lambda small: _solve_groups(
+        small, columns, about_source, about_target, keep_unusable, buckets
     )
-    solve = lambda small: _solve_groups(small, columns, about_source, about_target, keep_unusable)
-    if large.isEmpty():
+    if not measured["large"]:
         return solve(rows)
-    large = durable(large, "large-groups")
+    large = durable(sizes.where(f"_rows > {grouped_rows}").select(*groups), "large-groups")
     closed_by_joins = closure(
         rows.join(large, groups, "left_semi"), columns, about_source=about_source,
         about_target=about_target, max_rounds=max_rounds, allow_partial=allow_partial,
         keep_unusable=keep_unusable, hot_rows=hot_rows,
     )
-    solved = solve(rows.join(large, groups, "left_anti"))
-    return solved.unionByName(closed_by_joins)
+    return solve(rows.join(large, groups, "left_anti")).unionByName(closed_by_joins)
+
 
+def _solve_groups(
+    rows: DataFrame, columns: PathColumns, about_source, about_target, keep_unusable, buckets
+) -> DataFrame:
+    """Close groups of bounded size, many small ones per grouped-map call.
 
-def _solve_groups(rows: DataFrame, columns: PathColumns, about_source, about_target, keep_unusable) -> DataFrame:
-    """Close each group inside one task; only for groups of bounded size."""
+    Groups are dealt out to buckets whose pairs stay near ``BUCKET_PAIRS``. A
+    call runs the rounds of ``stepwise`` on arrays, for all its groups at once.
+    """
     source, target, hop, cost = columns.source, columns.target, columns.hop, columns.cost
-    from_source, from_target = [source, *about_source], [target, *about_target, *columns.groups]
-    names, hop_type = rows.columns, "string" if rows.schema[hop].dataType == T.StringType() else "int64"
+    groups, names = list(columns.groups), rows.columns
+    with_source, with_target = [source, *about_source, *groups], [target, *about_target]
+    hop_type = "string" if rows.schema[hop].dataType == T.StringType() else "int64"
+
+    def first_of_each(key, *tie_breaks):
+        """Positions of the lowest row per key, in key order."""
+        order = np.lexsort((*reversed(tie_breaks), key))
+        return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
 
     def solve(table: pa.Table) -> pa.Table:
-        # Ids become positions in one sorted list, so lower position is lower id.
-        ends = [table[name].to_numpy() for name in (source, target, hop)]
-        ids, codes = np.unique(np.concatenate(ends), return_inverse=True)
-        source_code, target_code, hop_code = codes.reshape(3, -1)
+        # Ids and (group, id) nodes become positions in sorted lists, so the
+        # lower position is the lower id.
+        group = np.zeros(table.num_rows, int)
+        for name in groups:
+            values, code = np.unique(table[name].to_numpy(), return_inverse=True)
+            group = np.unique(group * len(values) + code, return_inverse=True)[1]
+        ends = np.concatenate([table[name].to_numpy() for name in (source, target, hop)])
+        ids, codes = np.unique(ends, return_inverse=True)
+        source_id, target_id, hop_id = codes.reshape(3, -1)
+        node_keys = np.concatenate([group * len(ids) + source_id, group * len(ids) + target_id])
+        nodes, positions = np.unique(node_keys, return_inverse=True)
+        start, end = positions.reshape(2, -1)
+        id_of, n = nodes % len(ids), len(nodes)
         costs = table[cost].to_numpy().astype(float)
-        row_of_source, row_of_target = np.zeros(len(ids), int), np.zeros(len(ids), int)
-        row_of_source[source_code] = row_of_target[target_code] = np.arange(len(costs))
-
-        # One arc per pair, ordered by target: the arcs into a node are a slice.
-        order = np.lexsort((hop_code, costs, source_code, target_code))
-        pair = target_code[order] * len(ids) + source_code[order]
-        order = order[np.append(True, pair[1:] != pair[:-1])]
-        live = np.isfinite(costs) & (source_code != target_code)
-        arcs = order[live[order]]
-        start, end, price, own_hop = source_code[arcs], target_code[arcs], costs[arcs], hop_code[arcs]
-        reached, first = np.unique(end, return_index=True)
-
-        found = [np.zeros((4, 0))]
-        for origin in np.unique(start):
-            direct = start == origin
-            best = np.full(len(ids), np.inf)
-            best[end[direct]] = price[direct]
-            while True:
-                best[origin] = np.inf
-                through = best[start] + price
-                lower = np.minimum(best[reached], np.minimum.reduceat(through, first))
-                lower[reached == origin] = np.inf
-                if np.array_equal(lower, best[reached]):
-                    break
-                best[reached] = lower
-            hops = np.where(through == best[end], start, len(ids))
-            hops = np.where(direct & (price == best[end]), np.minimum(hops, own_hop), hops)
-            hops = np.minimum.reduceat(hops, first)
-            ok = np.isfinite(lower)
-            found.append(np.stack([np.full(ok.sum(), origin), reached[ok], lower[ok], hops[ok]]))
-        origin, node, price, hops = np.concatenate(found, axis=1)
-        origin, node, hops = origin.astype(int), node.astype(int), hops.astype(int)
-
-        solved = {name: table[name].take(row_of_source[origin]) for name in from_source}
-        solved |= {name: table[name].take(row_of_target[node]) for name in from_target}
-        solved[cost] = pa.array(price, pa.float64())
-        solved[hop] = pa.array(ids[hops], hop_type)
+        live = np.isfinite(costs) & (start != end)
+        row_of_start, row_of_end = np.zeros(n, int), np.zeros(n, int)
+        row_of_start[start] = row_of_end[end] = np.arange(len(start))
+
+        chosen = first_of_each(start * n + end, costs, hop_id)
+        arcs = chosen[live[chosen]]
+        arc_end, arc_cost = end[arcs], costs[arcs]
+        slices = np.searchsorted(start[arcs], np.arange(n + 1))
+
+        def extended(key, price):
+            """Every path continued by every arc: key, cost and meeting node."""
+            origin, middle = key // n, key % n
+            degree = slices[middle + 1] - slices[middle]
+            path = np.repeat(np.arange(len(key)), degree)
+            skipped = np.repeat(np.cumsum(degree) - degree, degree)
+            arc = np.arange(len(path)) - skipped + slices[middle[path]]
+            ok = origin[path] != arc_end[arc]
+            path, arc = path[ok], arc[ok]
+            return origin[path] * n + arc_end[arc], price[path] + arc_cost[arc], middle[path]
+
+        known, best = start[arcs] * n + arc_end, arc_cost
+        frontier, price = known, best
+        while len(frontier):
+            key, price, _ = extended(frontier, price)
+            lowest = first_of_each(key, price)
+            key, price = key[lowest], price[lowest]
+            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            old = np.where(known[place] == key, best[place], np.inf)
+            frontier, price = key[price < old], price[price < old]
+            merged, value = np.concatenate([frontier, known]), np.concatenate([price, best])
+            kept = first_of_each(merged, value)
+            known, best = merged[kept], value[kept]
+
+        key, price, middle = extended(known, best)
+        key = np.concatenate([start[arcs] * n + arc_end, key])
+        price = np.concatenate([arc_cost, price])
+        via = np.concatenate([hop_id[arcs], id_of[middle]])
+        kept = first_of_each(key, price, via)
+        found, via = key[kept], via[kept]
+
+        solved = {name: table[name].take(row_of_start[found // n]) for name in with_source}
+        solved |= {name: table[name].take(row_of_end[found % n]) for name in with_target}
+        solved[cost] = pa.array(best, pa.float64())
+        solved[hop] = pa.array(ids[via], hop_type)
         closed = pa.table({name: solved[name] for name in names})
         if keep_unusable:
-            unusable = order[~live[order]]
-            replaced = np.isin(
-                target_code[unusable] * len(ids) + source_code[unusable], node * len(ids) + origin
-            )
-            left_over = table.select(names).take(unusable[~replaced])
-            closed = pa.concat_tables([closed, left_over.cast(closed.schema)])
+            left_over = chosen[~live[chosen]]
+            left_over = left_over[~np.isin(start[left_over] * n + end[left_over], found)]
+            closed = pa.concat_tables([closed, table.select(names).take(left_over).cast(closed.schema)])
         return closed
 
-    return rows.groupBy(*columns.groups).applyInArrow(solve, rows.schema)
+    bucket = F.expr(f"pmod(hash({', '.join(groups)}), {buckets})")
+    return rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(solve, rows.schema)
