@@ -90,18 +90,28 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 class Rounds:
-    """The stored states of one loop; only the newest one is kept."""
+    """The stored states of one loop; the newest one is kept."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.name = name
         self._in_folder = _folder.get()
         self._newest: str | None = None
+        self._superseded: str | None = None
 
     def save(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
         path = fresh_path(self.spark, self.name, self._in_folder)
         stored, measured = write_and_read(df, path, **metrics)
-        if self._newest is not None:
-            delete_path(self.spark, self._newest)
-        self._newest = path
+        self.drop_superseded()
+        self._superseded, self._newest = self._newest, path
         return stored, measured
+
+    def keep_superseded(self) -> None:
+        """Leave the state before the newest in place for good."""
+        self._superseded = None
+
+    def drop_superseded(self) -> None:
+        """Delete the state before the newest."""
+        if self._superseded is not None:
+            delete_path(self.spark, self._superseded)
+            self._superseded = None

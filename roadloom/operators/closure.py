@@ -2,10 +2,12 @@
 
 Three ways to the same costs:
 
-``stepwise``  extends only the paths the last round improved, by one input arc.
-              Work grows with result rows times arcs per node. The default.
 ``doubling``  chains paths with paths, so h hops need about log2(h) rounds, at
-              the price of more candidates per round. For long thin groups.
+              the price of many candidates once the table is large.
+``stepwise``  doubles as long as the table stays within ``growth`` times the
+              input, then extends only the paths the last round improved, by
+              the paths known at that point. Work grows with result rows times
+              steps per node. The default.
 ``grouped``   solves small groups inside grouped-map tasks of bounded size and
               leaves larger ones to ``stepwise``.
 
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.durable import Rounds, durable
+from roadloom.durable import Rounds, durable, fresh_path, write_and_read
 from roadloom.functions.costs import usable_sql
 from roadloom.operators.paths import CELLED, PathColumns, cheapest
 from roadloom.operators.skew import HOT_ROWS, SLOT, copy_to_slots, deal_out, hot_keys
 
+GROWTH = 8.0
 GROUPED_ROWS = 1_000
 BUCKET_PAIRS = 2_000_000
 OLD = "_old_cost"
@@ -52,6 +55,7 @@ def closure(
     max_rounds: int | None = None,
     allow_partial: bool = False,
     keep_unusable: bool = False,
+    growth: float = GROWTH,
     hot_rows: int = HOT_ROWS,
     grouped_rows: int = GROUPED_ROWS,
 ) -> DataFrame:
@@ -65,25 +69,31 @@ def closure(
     ``about_source`` and ``about_target`` are columns that depend on the source
     or the target alone; composed paths inherit them, which saves joining them
     on again. ``keep_unusable`` keeps input rows that cannot take part as long
-    as no path replaces them.
+    as no path replaces them. ``max_rounds`` limits the rounds of the joins;
+    reaching it raises ``NotConverged`` unless ``allow_partial``.
     """
     if method == "grouped":
         if hop_rule != "last":
             raise ValueError("the grouped method stores the last hop")
         return _by_group_size(
-            paths, columns, about_source, about_target, max_rounds, allow_partial,
-            keep_unusable, hot_rows, grouped_rows,
+            paths, columns, grouped_rows, about_source=about_source, about_target=about_target,
+            keep_unusable=keep_unusable, max_rounds=max_rounds, allow_partial=allow_partial,
+            growth=growth, hot_rows=hot_rows,
         )
     about = [*about_source, *about_target]
     arcs = paths.select(*columns.all, *about)
     if not keep_unusable:
         arcs = arcs.where(_live(columns))
-    arcs = durable(cheapest(arcs, columns, about), "arcs")
+    arcs, seen = write_and_read(
+        cheapest(arcs, columns, about), fresh_path(paths.sparkSession, "arcs"), rows=F.expr("count(*)")
+    )
     if allow_partial and max_rounds == 0:
         return arcs
-    rounds = _Relaxation(arcs, columns, about_source, about_target, max_rounds, allow_partial, hot_rows)
-    costs = rounds.doubled() if method == "doubling" else rounds.stepped()
-    return rounds.with_hops(costs, hop_rule)
+    loop = _Relaxation(arcs, seen["rows"], columns, about_source, about_target, hot_rows)
+    # Finding the hops extends the paths once more: it is the last round.
+    limit = max_rounds - 1 if allow_partial and max_rounds else max_rounds
+    costs = loop.closed_costs(float("inf") if method == "doubling" else growth, limit, allow_partial)
+    return loop.with_hops(costs, hop_rule)
 
 
 def _live(columns: PathColumns) -> str:
@@ -91,28 +101,48 @@ def _live(columns: PathColumns) -> str:
     return f"({usable_sql(columns.cost)} AND {columns.source} <> {columns.target})"
 
 
+class _Steps:
+    """Paths that others are extended by, split where one node has too many."""
+
+    def __init__(self, table: DataFrame, rows: int, columns: PathColumns, hot_rows: int):
+        self.at_source = [columns.source, *columns.groups]
+        self.at_target = [columns.target, *columns.groups]
+        self.table, self.hubs = table, None
+        # No node can have more than hot_rows paths when there are no more in all.
+        if rows > hot_rows:
+            self.hubs = hot_keys(table, self.at_source, hot_rows)
+        if self.hubs is not None:
+            self.hubs = durable(self.hubs, "hubs")
+            self.table = durable(deal_out(table, self.hubs, self.at_source, [columns.target]), "dealt")
+            self.hubs = self.hubs.withColumnRenamed(columns.source, columns.target)
+
+    def beside(self, left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Left paths, copied to the slots of the node they end at, and the steps."""
+        if self.hubs is None:
+            return left, self.table
+        return copy_to_slots(left, self.hubs, self.at_target), self.table
+
+
 class _Relaxation:
     """The rounds of one closure over a stored table of arcs."""
 
-    def __init__(self, arcs, columns, about_source, about_target, max_rounds, allow_partial, hot_rows):
+    def __init__(self, arcs, rows, columns, about_source, about_target, hot_rows):
         self.arcs = arcs
+        self.rows = rows
         self.columns = columns
         self.about_source = list(about_source)
         self.about_target = list(about_target)
-        self.max_rounds = max_rounds
-        self.allow_partial = allow_partial
+        self.about = [*about_source, *about_target]
         self.hot_rows = hot_rows
-        self._hubs: DataFrame | None = None
-        self._hubs_known = False
         self.live_arcs = arcs.where(_live(columns))
 
-    def _carried(self) -> list[str]:
-        return [*self.about_source, *self.about_target]
+    def _steps(self, table: DataFrame, rows: int) -> _Steps:
+        return _Steps(table, rows, self.columns, self.hot_rows)
 
     def _costs_only(self, paths: DataFrame) -> DataFrame:
-        return paths.select(*self.columns.keys, self.columns.cost, *self._carried())
+        return paths.select(*self.columns.keys, self.columns.cost, *self.about)
 
-    def chain(self, left: DataFrame, right: DataFrame, *extra) -> DataFrame:
+    def chain(self, left: DataFrame, right: DataFrame, *extra: str) -> DataFrame:
         """Left paths joined to the right paths that start where they end."""
         c = self.columns
         left = left.selectExpr(
@@ -125,74 +155,59 @@ class _Relaxation:
         )
         keys = ["_mid", *c.groups, *([SLOT] if SLOT in left.columns else [])]
         return left.join(right, keys).where(f"{c.source} <> {c.target}").selectExpr(
-            *c.keys, f"_left_cost + _right_cost AS {c.cost}", *self._carried(), *extra
+            *c.keys, f"_left_cost + _right_cost AS {c.cost}", *self.about, *extra
         )
 
-    def _spread(self, left: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Left paths and arcs, with slots when some node has too many arcs."""
-        if self._hubs is None:
-            return left, self.live_arcs
-        at_target = [self.columns.target, *self.columns.groups]
-        hubs = self._hubs.withColumnRenamed(self.columns.source, self.columns.target)
-        return copy_to_slots(left, hubs, at_target), self._dealt_arcs
-
-    def _find_hubs(self) -> None:
-        if self._hubs_known:
-            return
-        self._hubs_known = True
-        at_source = [self.columns.source, *self.columns.groups]
-        self._hubs = hot_keys(self.live_arcs, at_source, self.hot_rows)
-        if self._hubs is not None:
-            self._hubs = durable(self._hubs, "hubs")
-            self._dealt_arcs = durable(
-                deal_out(self.live_arcs, self._hubs, at_source, [self.columns.target]), "arcs"
-            )
-
     def _merged(self, state: DataFrame, candidates: DataFrame) -> DataFrame:
         """Old state and candidates reduced to the minimum, improvements marked."""
         c = self.columns
-        names = [*c.keys, c.cost, *self._carried()]
+        names = [*c.keys, c.cost, *self.about]
         both = state.selectExpr(*names, f"{c.cost} AS {OLD}").unionByName(
             candidates.selectExpr(*names, f"CAST(NULL AS {state.schema[c.cost].dataType.simpleString()}) AS {OLD}")
         )
         lowest = both.groupBy(*c.keys).agg(
-            *[F.expr(f"min({name}) AS {name}") for name in [c.cost, OLD, *self._carried()]]
+            *[F.expr(f"min({name}) AS {name}") for name in [c.cost, OLD, *self.about]]
         )
         better = f"{_live(c)} AND ({OLD} IS NULL OR {c.cost} < {OLD})"
         return lowest.selectExpr(*names, f"{better} AS {CHANGED}")
 
-    def _repeat(self, candidates_of) -> DataFrame:
+    def _doubled(self, state: DataFrame, rows: int) -> DataFrame:
+        """Known paths chained with known paths, unless both were there a round ago."""
+        known = state.where(_live(self.columns))
+        right = self._steps(known.withColumnRenamed(CHANGED, "_right_changed"), rows)
+        left = known.withColumnRenamed(CHANGED, "_left_changed")
+        chained = self.chain(*right.beside(left), "_left_changed", "_right_changed")
+        return chained.where("_left_changed OR _right_changed")
+
+    def closed_costs(self, growth: float, limit: int | None, allow_partial: bool) -> DataFrame:
+        """Rounds until no cost improves.
+
+        While the table stays within ``growth`` times the arcs, paths double.
+        The last table within it then serves as steps: a path that improved is
+        extended by each of them. Whatever did not improve met them a round ago.
+        """
         state = self._costs_only(self.arcs).selectExpr("*", f"{_live(self.columns)} AS {CHANGED}")
-        store = Rounds(state.sparkSession, "paths")
-        done = 0
-        # Finding the hops extends the paths once more: it is the last round.
-        limit = self.max_rounds - 1 if self.allow_partial and self.max_rounds else self.max_rounds
-        while True:
-            if limit is not None and done >= limit:
-                if self.allow_partial:
-                    return state
-                raise NotConverged(f"paths still improved in round {done}")
-            state, seen = store.save(
-                self._merged(state, candidates_of(state)), improved=F.expr(f"count_if({CHANGED})")
+        store, rows, steps, done = Rounds(state.sparkSession, "paths"), self.rows, None, 0
+        while limit is None or done < limit:
+            if steps is None:
+                candidates = self._doubled(state, rows)
+            else:
+                candidates = self.chain(*steps.beside(state.where(CHANGED)))
+            following, seen = store.save(
+                self._merged(state, candidates),
+                improved=F.expr(f"count_if({CHANGED})"), rows=F.expr("count(*)"),
             )
             done += 1
             if seen["improved"] == 0:
-                return state
-
-    def stepped(self) -> DataFrame:
-        self._find_hubs()
-        return self._repeat(lambda state: self.chain(*self._spread(state.where(CHANGED))))
-
-    def doubled(self) -> DataFrame:
-        def candidates(state: DataFrame) -> DataFrame:
-            known = state.where(_live(self.columns))
-            left = known.withColumnRenamed(CHANGED, "_left_changed")
-            right = known.withColumnRenamed(CHANGED, "_right_changed")
-            chained = self.chain(left, right, "_left_changed", "_right_changed")
-            fresh = chained.where("_left_changed OR _right_changed")
-            return fresh.drop("_left_changed", "_right_changed")
-
-        return self._repeat(candidates)
+                store.drop_superseded()
+                return following
+            if steps is None and seen["rows"] > growth * self.rows:
+                store.keep_superseded()
+                steps = self._steps(state.where(_live(self.columns)), rows)
+            state, rows = following, seen["rows"]
+        if not allow_partial:
+            raise NotConverged(f"paths still improved in round {done}")
+        return state
 
     def with_hops(self, costs: DataFrame, hop_rule: str) -> DataFrame:
         """The closed costs with the lowest hop among all equally cheap last joins."""
@@ -200,8 +215,7 @@ class _Relaxation:
         known = self._costs_only(costs.where(_live(c)))
         middle = f"_mid AS {c.hop}"
         if hop_rule == "last":
-            self._find_hubs()
-            composed = self.chain(*self._spread(known), middle)
+            composed = self.chain(*self._steps(self.live_arcs, self.rows).beside(known), middle)
         elif hop_rule == "first":
             composed = self.chain(
                 self.live_arcs.withColumnRenamed(c.hop, "_left_hop"), known,
@@ -214,12 +228,11 @@ class _Relaxation:
         # A key has one candidate per node before its target at most, so placing
         # the rows by key first lets both aggregations run without a shuffle.
         rows = self.arcs.unionByName(composed.select(*self.arcs.columns)).repartition(*c.keys)
-        return cheapest(rows, c, self._carried()).select(*self.arcs.columns)
+        return cheapest(rows, c, self.about).select(*self.arcs.columns)
 
 
 def _by_group_size(
-    paths, columns, about_source, about_target, max_rounds, allow_partial, keep_unusable,
-    hot_rows, grouped_rows,
+    paths, columns, grouped_rows, *, about_source, about_target, keep_unusable, **joins
 ) -> DataFrame:
     """Small groups in grouped-map tasks, groups beyond ``grouped_rows`` by joins."""
     groups = list(columns.groups)
@@ -240,8 +253,7 @@ def _by_group_size(
     large = durable(sizes.where(f"_rows > {grouped_rows}").select(*groups), "large-groups")
     closed_by_joins = closure(
         rows.join(large, groups, "left_semi"), columns, about_source=about_source,
-        about_target=about_target, max_rounds=max_rounds, allow_partial=allow_partial,
-        keep_unusable=keep_unusable, hot_rows=hot_rows,
+        about_target=about_target, keep_unusable=keep_unusable, **joins,
     )
     return solve(rows.join(large, groups, "left_anti")).unionByName(closed_by_joins)
 

@@ -18,7 +18,8 @@ REGIONS_CLOSED = {
 WAYS = [
     dict(method="stepwise"), dict(method="doubling"), dict(method="grouped"),
     dict(method="doubling", hop_rule="middle"), dict(method="stepwise", hop_rule="first"),
-    dict(method="stepwise", hot_rows=2), dict(method="grouped", grouped_rows=30),
+    dict(method="stepwise", growth=1), dict(method="stepwise", growth=1, hot_rows=2),
+    dict(method="stepwise", growth=2, hot_rows=2), dict(method="doubling", hot_rows=2), dict(method="grouped", grouped_rows=30),
 ]
 
 
@@ -116,7 +117,7 @@ def test_round_limit(spark):
     line = celled(spark, [(i, i + 1, i + 1, 1.0, 0) for i in range(12)])
     with pytest.raises(NotConverged):
         closure(line, max_rounds=3)
-    assert closure(line, max_rounds=3, allow_partial=True).agg({"cost": "max"}).first()[0] == 4.0
+    assert closure(line, growth=1, max_rounds=3, allow_partial=True).agg({"cost": "max"}).first()[0] == 4.0
     assert closure(line, max_rounds=0, allow_partial=True).count() == 12
     assert closure(line, method="doubling", hop_rule="middle", max_rounds=2, allow_partial=True).agg(
         {"cost": "max"}).first()[0] == 4.0
