@@ -34,6 +34,12 @@ def table(columns, rows):
     return [columns[i] for i in order], sorted(tuple(normal(r[i]) for i in order) for r in rows)
 
 
+SQL_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "tinyint": "TINYINT", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def compare(spark, con, folder, name):
     """None when equal, else a description of the difference; with both times."""
     start = time.time()
@@ -44,6 +50,10 @@ def compare(spark, con, folder, name):
     want = table([d[0] for d in cursor.description], cursor.fetchall())
     sql_seconds = time.time() - start
     problem = None
+    spark_types = {f.name: SQL_TYPES[f.dataType.simpleString()] for f in df.schema.fields}
+    sql_types = {d[0]: str(d[1]) for d in cursor.description}
+    if spark_types != sql_types:
+        problem = f"types {spark_types} / {sql_types}"
     if got != want:
         extra, missing = set(got[1]) - set(want[1]), set(want[1]) - set(got[1])
         problem = (f"columns {got[0]} / {want[0]}, rows {len(got[1])} / {len(want[1])}, "

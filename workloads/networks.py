@@ -56,17 +56,14 @@ class Networks:
         buyers = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
             "o_orderkey", F.col("c_nationkey").cast("long").alias("incoming_edge")
         )
-        # Lines per order and supplier nation shrink before they meet the orders.
-        sold = (
-            t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy("l_orderkey", F.col("s_nationkey").cast("long").alias("outgoing_edge"))
-            .agg(F.count(F.lit(1)).alias("n"))
+        sold = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+            "l_orderkey", F.col("s_nationkey").cast("long").alias("outgoing_edge")
         )
         return (
             sold.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
             .where(F.col("incoming_edge") != F.col("outgoing_edge"))
             .groupBy("incoming_edge", "outgoing_edge")
-            .agg(F.sum("n").alias("n"))
+            .agg(F.count(F.lit(1)).alias("n"))
             .select(
                 "incoming_edge",
                 "outgoing_edge",
