@@ -99,6 +99,10 @@ class Rounds:
         self._newest: str | None = None
         self._superseded: str | None = None
 
+    @property
+    def newest_path(self) -> str | None:
+        return self._newest
+
     def save(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
         path = fresh_path(self.spark, self.name, self._in_folder)
         stored, measured = write_and_read(df, path, **metrics)

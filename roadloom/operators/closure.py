@@ -34,6 +34,7 @@ from roadloom.operators.paths import CELLED, PathColumns, cheapest
 from roadloom.operators.skew import HOT_ROWS, SLOT, copy_to_slots, deal_out, hot_keys
 
 GROWTH = 8.0
+REWRITE_ROWS = 10_000_000
 GROUPED_ROWS = 1_000
 BUCKET_PAIRS = 2_000_000
 OLD = "_old_cost"
@@ -57,6 +58,7 @@ def closure(
     keep_unusable: bool = False,
     growth: float = GROWTH,
     hot_rows: int = HOT_ROWS,
+    rewrite_rows: int = REWRITE_ROWS,
     grouped_rows: int = GROUPED_ROWS,
 ) -> DataFrame:
     """Cheapest path per (source, target, groups) over the given paths.
@@ -78,7 +80,7 @@ def closure(
         return _by_group_size(
             paths, columns, grouped_rows, about_source=about_source, about_target=about_target,
             keep_unusable=keep_unusable, max_rounds=max_rounds, allow_partial=allow_partial,
-            growth=growth, hot_rows=hot_rows,
+            growth=growth, hot_rows=hot_rows, rewrite_rows=rewrite_rows,
         )
     about = [*about_source, *about_target]
     arcs = paths.select(*columns.all, *about)
@@ -89,7 +91,7 @@ def closure(
     )
     if allow_partial and max_rounds == 0:
         return arcs
-    loop = _Relaxation(arcs, seen["rows"], columns, about_source, about_target, hot_rows)
+    loop = _Relaxation(arcs, seen["rows"], columns, about_source, about_target, hot_rows, rewrite_rows)
     # Finding the hops extends the paths once more: it is the last round.
     limit = max_rounds - 1 if allow_partial and max_rounds else max_rounds
     costs = loop.closed_costs(float("inf") if method == "doubling" else growth, limit, allow_partial)
@@ -126,7 +128,7 @@ class _Steps:
 class _Relaxation:
     """The rounds of one closure over a stored table of arcs."""
 
-    def __init__(self, arcs, rows, columns, about_source, about_target, hot_rows):
+    def __init__(self, arcs, rows, columns, about_source, about_target, hot_rows, rewrite_rows):
         self.arcs = arcs
         self.rows = rows
         self.columns = columns
@@ -134,6 +136,7 @@ class _Relaxation:
         self.about_target = list(about_target)
         self.about = [*about_source, *about_target]
         self.hot_rows = hot_rows
+        self.rewrite_rows = rewrite_rows
         self.live_arcs = arcs.where(_live(columns))
 
     def _steps(self, table: DataFrame, rows: int) -> _Steps:
@@ -185,6 +188,7 @@ class _Relaxation:
         While the table stays within ``growth`` times the arcs, paths double.
         The last table within it then serves as steps: a path that improved is
         extended by each of them. Whatever did not improve met them a round ago.
+        A table beyond ``rewrite_rows`` is left in place from then on.
         """
         state = self._costs_only(self.arcs).selectExpr("*", f"{_live(self.columns)} AS {CHANGED}")
         store, rows, steps, done = Rounds(state.sparkSession, "paths"), self.rows, None, 0
@@ -205,10 +209,43 @@ class _Relaxation:
                 store.keep_superseded()
                 steps = self._steps(state.where(_live(self.columns)), rows)
             state, rows = following, seen["rows"]
+            if steps is not None and rows > self.rewrite_rows:
+                store.drop_superseded()
+                return self._appended(store.newest_path, state, steps, done, limit, allow_partial)
         if not allow_partial:
             raise NotConverged(f"paths still improved in round {done}")
         return state
 
+    def _appended(self, path, state, steps, done, limit, allow_partial) -> DataFrame:
+        """Further rounds that only add their improvements to the stored table.
+
+        A candidate counts unless a stored row of its pair costs no more. Few
+        candidates are broadcast by the planner, and the table is then scanned
+        without being shuffled or written again until the end.
+        """
+        c, spark = self.columns, state.sparkSession
+        paths, frontier = [path], state.where(CHANGED)
+        lowest = [F.expr(f"min({name}) AS {name}") for name in [c.cost, *self.about]]
+        while limit is None or done < limit:
+            found = durable(self.chain(*steps.beside(frontier)).groupBy(*c.keys).agg(*lowest), "found")
+            known = spark.read.schema(state.schema).parquet(*paths)
+            beaten = (
+                known.join(found.selectExpr(*c.keys, f"{c.cost} AS _found"), c.keys)
+                .where(f"{c.cost} <= _found")
+                .select(*c.keys)
+            )
+            better = found.join(beaten, c.keys, "left_anti").selectExpr("*", f"true AS {CHANGED}")
+            paths.append(fresh_path(spark, "improved"))
+            frontier, seen = write_and_read(better, paths[-1], rows=F.expr("count(*)"))
+            done += 1
+            if seen["rows"] == 0:
+                break
+        else:
+            if not allow_partial:
+                raise NotConverged(f"paths still improved in round {done}")
+        known = spark.read.schema(state.schema).parquet(*paths)
+        return durable(known.groupBy(*c.keys).agg(*lowest), "paths")
+
     def with_hops(self, costs: DataFrame, hop_rule: str) -> DataFrame:
         """The closed costs with the lowest hop among all equally cheap last joins."""
         c = self.columns
