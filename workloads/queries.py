@@ -12,13 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom import schemas
 from roadloom.durable import fresh_path, path_exists
 from roadloom.functions import cells
 from roadloom.functions.costs import travel_cost
 from roadloom.operators import celled, graph, merge, paths, quality, reports, sampling
 from roadloom.operators.closure import closure
-from roadloom.operators.paths import CELLED, SHORTCUT
+from roadloom.operators.paths import SHORTCUT
 from roadloom.plans import bounded, hierarchy
 from roadloom.sources import network, store
 from workloads import oracle as o
