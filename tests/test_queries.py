@@ -17,8 +17,9 @@ SAMPLE = [
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not here")
 
 
-def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+def test_every_network_query_has_sql():
+    assert entry.QUERIES.keys() == entry.ORACLE.keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
 @pytest.fixture(scope="module")
