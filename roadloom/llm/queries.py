@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import decontamination
+from roadloom.llm import bpe, decontamination
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +49,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Which documents hold benchmark passages, and how much of each."""
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op9_bpe")
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens of each document, as digests of the ids and of the decoded text."""
+    return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
