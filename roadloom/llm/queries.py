@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, decontamination
+from roadloom.llm import bpe, decontamination, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +51,51 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+# The checksum goes over the bytes with a table of 256 remainders, made by its rule.
+@register("op3_sharding", """
+    WITH RECURSIVE step AS (SELECT range AS b, range AS c, 0 AS k FROM range(256)
+            UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+         remainders AS (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
+         sized AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS text FROM documents),
+         summed AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total FROM sized),
+         cut AS (SELECT *, (((2 * start + size) * 24) // (2 * total))::INT AS shard FROM summed)
+    SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
+               list_transform(regexp_extract_all(hex(encode(text)), '..'), x -> ('0x' || x)::BIGINT)),
+               (a, b) -> xor(a >> 8, (SELECT t FROM remainders)[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+           'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard
+    FROM cut
+""")
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard and slot of each document, shards of near equal bytes."""
+    return sharding.assignment(table(spark, folder, "documents"))
+
+
+#: Host, beginning of the path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@register("op5_url_filter", """
+    WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+            ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+         parts AS (SELECT row_number() OVER () AS r, page_id, url,
+            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+         best AS (SELECT r, max(struct_pack(n := length(rules.host || rules.path), rule := rules.host || rules.path, verdict := verdict)) AS b
+            FROM parts JOIN rules ON (parts.host = rules.host OR ends_with(parts.host, '.' || rules.host)) AND starts_with(parts.path, rules.path)
+            GROUP BY r)
+    SELECT page_id, url, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (r)
+""")
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of each page."""
+    return url_filter.judge(table(spark, folder, "pages"), url_filter.rules_table(spark, URL_RULES))
+
+
 @register("op9_bpe")
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """The tokens of each document, as digests of the ids and of the decoded text."""
