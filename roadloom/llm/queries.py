@@ -60,10 +60,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
          summed AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total FROM sized),
          cut AS (SELECT *, (((2 * start + size) * 24) // (2 * total))::INT AS shard FROM summed)
     SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
-               list_transform(regexp_extract_all(hex(encode(text)), '..'), x -> ('0x' || x)::BIGINT)),
-               (a, b) -> xor(a >> 8, (SELECT t FROM remainders)[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+               list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
+               lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
            'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard
-    FROM cut
+    FROM cut, remainders
 """)
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """The shard and slot of each document, shards of near equal bytes."""
