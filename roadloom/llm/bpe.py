@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 
 from roadloom.llm.shipping import ship_package
 
-#: Pieces whose tokens a worker remembers; beyond that it forgets all and starts again.
+#: Pieces in each of the two generations whose tokens a worker remembers: some 60 MB each.
 REMEMBERED_PIECES = 300_000
 REMEMBERED_PAIRS = 2_000_000
 
 # Fixed values of the vocabulary's format.
-WHITE_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+"
+WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE_SPACE + r"\p{L}\p{N}]+"
 
 
 def byte_letters() -> list[str]:
@@ -125,12 +125,13 @@ class Vocabulary:
         added = {token["content"]: token["id"] for token in described.get("added_tokens", [])}
         self.added = added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.white_space, self.pieces = regex.compile(WHITE_SPACE), regex.compile(PIECES)
+        self.pieces = regex.compile(PIECES)
         texts = {token: text for text, token in ids.items()} | {token: text for text, token in added.items()}
         size = max(texts, default=-1) + 1
         self.text_table = OffsetTable([(texts.get(i, "") + " ").encode() for i in range(size)])
         self.number_table = OffsetTable([b"%d " % i for i in range(size)])
         self.known: dict[str, tuple[int, ...]] = {}
+        self.known_before: dict[str, tuple[int, ...]] = {}
 
     def _symbols(self, text: str) -> str:
         if self.end and text.endswith(self.end) and text != self.end:
@@ -143,41 +144,45 @@ class Vocabulary:
         word = "".join([self.letters[b] for b in piece.encode()])
         if self.end:
             word = word[:-1] + chr(ord(word[-1]) + 1000)
-        found: list[list[tuple[int, int]]] = [[] for _ in word]
+        size = len(word)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(size)]
         for last, (token, length) in self.automaton.iter(word):
-            found[last - length + 1].append((length, token))
-        for tokens in found:
-            tokens.sort()
-        may_follow, size = self.merges.may_follow, len(word)
-        taken: list[tuple[int, int, int]] = []  # start, token, how many shorter ones are left there
+            # The tokens of one place are met from short to long.
+            found[last + 1 - length].append((length, token))
+        fits, may_follow = self.merges.fits, self.merges.may_follow
+        taken: list[tuple[int, int, int]] = []  # place, token, how many shorter ones are left there
         dead = bytearray(size + 1)
-        at, choice, before = 0, len(found[0]), None
+        at, left, before = 0, len(found[0]), -1
         while at < size:
             tokens = found[at]
-            while choice:
-                choice -= 1
-                length, token = tokens[choice]
-                if not dead[at + length] and (before is None or may_follow(before, token)):
-                    taken.append((at, token, choice))
+            while left:
+                left -= 1
+                length, token = tokens[left]
+                if dead[at + length]:
+                    continue
+                fit = before < 0 or fits.get((before, token))
+                if fit is None:
+                    fit = may_follow(before, token)
+                if fit:
+                    taken.append((at, token, left))
                     at, before = at + length, token
-                    choice = len(found[at]) if at < size else 0
+                    left = len(found[at]) if at < size else 0
                     break
             else:
                 dead[at] = 1
                 if not taken:
                     raise ValueError(f"the vocabulary cannot express {piece!r}")
-                at, _, choice = taken.pop()
-                before = taken[-1][1] if taken else None
-        return tuple(token for _, token, _ in taken)
+                at, _, left = taken.pop()
+                before = taken[-1][1] if taken else -1
+        return tuple([token for _, token, _ in taken])
 
     def remembered(self, piece: str) -> tuple[int, ...]:
-        tokens = self.known.get(piece)
-        if tokens is None:
+        """The tokens of a piece; what was not asked for lately is forgotten."""
+        tokens = self.known_before.get(piece) or self.encode_piece(piece)
+        if len(piece) <= 64:
             if len(self.known) >= REMEMBERED_PIECES:
-                self.known.clear()
-            tokens = self.encode_piece(piece)
-            if len(piece) <= 64:
-                self.known[piece] = tokens
+                self.known_before, self.known = self.known, {}
+            self.known[piece] = tokens
         return tokens
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -188,11 +193,10 @@ class Vocabulary:
             if part in self.added:
                 runs.append((self.added[part],))
             elif part:
-                part = self.white_space.sub(" ", unicodedata.normalize("NFC", part))
-                # A capital sigma has one lower case here, wherever it stands.
-                part = part.replace("Σ", "σ").lower()
-                known, remembered = self.known, self.remembered
-                runs += [known.get(piece) or remembered(piece) for piece in self.pieces.findall(part)]
+                # White space only parts pieces. A capital sigma has one lower case here, wherever it stands.
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                remembered = self.remembered
+                runs += [self.known.get(piece) or remembered(piece) for piece in self.pieces.findall(part)]
         return np.fromiter(chain.from_iterable(runs), np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
