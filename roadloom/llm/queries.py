@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, decontamination, sharding, url_filter
+from roadloom.llm import bpe, decontamination, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +96,12 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
+@register("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score and prediction for each document."""
+    return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @register("op9_bpe")
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """The tokens of each document, as digests of the ids and of the decoded text."""
