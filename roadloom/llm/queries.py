@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, decontamination, sharding, toxicity, url_filter
+from roadloom.llm import bpe, decontamination, line_quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,9 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """The tokens of each document, as digests of the ids and of the decoded text."""
     return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@register("op10_quality")
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score and prediction for each document."""
+    return line_quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))

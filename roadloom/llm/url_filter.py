@@ -30,7 +30,8 @@ SALTS = 16
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Rules as (host, path, verdict) rows."""
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    rows = [F.struct(*(F.lit(value).cast("string").alias(name) for name, value in zip(("host", "path", "verdict"), rule))) for rule in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def url_parts(url: str):

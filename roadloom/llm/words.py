@@ -114,16 +114,24 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[WordBlock]:
-    """The words of a text column, some texts at a time."""
-    data, offsets = text_bytes(column)
+def text_slices(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """First text and number of texts of slices of at most ``block_bytes``, or of one text."""
+    _, offsets = text_bytes(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + block_bytes, "right")) - 1)
-        yield _block(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        yield first, last - first
         first = last
 
 
+def word_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[WordBlock]:
+    """The words of a text column, some texts at a time."""
+    data, offsets = text_bytes(column)
+    for first, count in text_slices(column, block_bytes):
+        own = offsets[first : first + count + 1]
+        yield _block(first, data[own[0] : own[-1]], own - own[0])
+
+
 def _block(first: int, raw: np.ndarray, text_offsets: np.ndarray) -> WordBlock:
     data = _LOWER[raw]
     inside = np.zeros(len(data) + 2, bool)
