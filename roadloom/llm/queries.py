@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, decontamination, line_quality, sharding, toxicity, url_filter
+from roadloom.llm import bpe, chunk_prints, decontamination, line_quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,12 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assignment(table(spark, folder, "documents"))
 
 
+@register("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and how alike they are."""
+    return chunk_prints.compare_with_edits(table(spark, folder, "documents"))
+
+
 #: Host, beginning of the path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
