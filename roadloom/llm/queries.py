@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, chunk_prints, decontamination, line_quality, sharding, toxicity, url_filter
+from roadloom.llm import bpe, chunk_prints, decontamination, line_quality, sharding, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +102,20 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
+@register("op6_warc", """
+    WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+         named AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32),
+            lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+            row_number() OVER (PARTITION BY payload ORDER BY page_id) AS place, first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id) AS first
+            FROM hashed)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN place > 1 THEN first END AS refers_to FROM named
+""")
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """What the archives of all pages say of each page."""
+    return warc.archive_and_read(table(spark, folder, "pages"))
+
+
 @register("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A toxicity score and prediction for each document."""
