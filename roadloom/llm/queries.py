@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, chunk_prints, decontamination, line_quality, sharding, toxicity, url_filter, warc
+from roadloom.llm import bpe, chunk_prints, conversations, decontamination, line_quality, sharding, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +51,22 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@register("op2_chat", """
+    WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+         placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+                    count(*) OVER (PARTITION BY conv_id) AS n_turns FROM turns),
+         prefixes AS (SELECT conv_id, place, n_turns, list(row(role, text)) OVER (PARTITION BY conv_id ORDER BY place) AS said FROM placed),
+         ends AS (SELECT said, n_turns, min(conv_id) AS conv_id, count(*) AS n_equal FROM prefixes WHERE place = n_turns GROUP BY ALL),
+         kept AS (SELECT * FROM ends WHERE said NOT IN (SELECT said FROM prefixes WHERE place < n_turns))
+    SELECT conv_id, ((place - 1) // 1024)::INT AS piece, kept.n_turns, n_equal,
+           string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+    FROM kept JOIN placed USING (conv_id) GROUP BY ALL
+""")
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations that no longer one begins with, rendered."""
+    return conversations.formatted(table(spark, folder, "conversations"))
+
+
 # The checksum goes over the bytes with a table of 256 remainders, made by its rule.
 @register("op3_sharding", """
     WITH RECURSIVE step AS (SELECT range AS b, range AS c, 0 AS k FROM range(256)
