@@ -39,8 +39,10 @@ MIN, NORMAL, MAX = 16, 64, 256
 STRICT_BITS, LOOSE_BITS = 8, 4
 DIGEST_BYTES = 6
 #: Bytes per range, and the most ranges: the driver keeps one id and one hash for each.
-RANGE_BYTES = 32 << 20
-MAX_RANGES = 16_384
+RANGE_BYTES = 8 << 20
+MAX_RANGES = 131_072
+#: Ranges per partition: several even out how they are dealt.
+RANGES_TOGETHER = 4
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -165,7 +167,7 @@ def by_ranges(docs: DataFrame, doc_id: str, text: str, range_bytes: int = RANGE_
         F.explode("_places").alias("_place"), "doc_id", "_known", "hash", "text"
     )
     return placed.select("_place.range", "doc_id", "_known", "hash", "_place.ahead", "text").repartition(
-        max(1, len(heads)), "range"
+        len(heads) // RANGES_TOGETHER + 1, "range"
     ).sortWithinPartitions("range", "ahead", "_known", "doc_id", "hash").select("range", "doc_id", "hash", "ahead", "text")
 
 

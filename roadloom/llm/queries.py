@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, chunk_prints, conversations, decontamination, line_quality, sharding, toxicity, url_filter, warc
+from roadloom.llm import bpe, chunk_prints, conversations, decontamination, line_quality, near_duplicates, sharding, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,6 +138,12 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@register("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of near duplicates of each document, and its number of links."""
+    return near_duplicates.report(table(spark, folder, "documents"))
+
+
 @register("op9_bpe")
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """The tokens of each document, as digests of the ids and of the decoded text."""
