@@ -1,25 +1,60 @@
-"""The corpus pipeline: each stage keeps what the next one works on."""
+"""The corpus pipeline: each stage keeps what the next one works on.
+
+A stage takes the session, the documents that its predecessor kept and the folder of the
+tables. All stages but the last return the columns of documents; the last returns tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import decontamination
+from roadloom.durable import durable
+from roadloom.llm import bpe, decontamination, line_quality, near_duplicates, toxicity
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic."""
+    return toxicity.keep_harmless(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted to be good."""
+    return line_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that hold benchmark passages."""
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_duplicates.keep_one_of_each(docs)
+
+
+def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not hold benchmark passages."""
     return decontamination.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", _benchmark_decontamination)]
+def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each document, with digests of the ids and of the decoded text."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("toxicity", _toxicity),
+    ("quality classifier", _quality),
+    ("n-gram Jaccard join", _near_duplicates),
+    ("benchmark decontamination", _decontamination),
+    ("BPE encoding and decoding", _tokens),
+]
 
+#: SQL can't express the classifiers, so the pipeline is tested against a plain model of its stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each stored and reread."""
+    """The stages one after the other over documents; each but the last is stored and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = durable(docs, f"stage-{i + 1}")
     return docs
