@@ -53,9 +53,9 @@ def bands_and_rows(similarity: float, recall: float = RECALL, most: int = MOST_H
     best = None
     for rows in range(1, most + 1):
         missed = math.log1p(-(similarity**rows)) if similarity < 1 else -math.inf
-        bands = max(1, math.ceil(math.log(1 - recall) / missed)) if missed else most + 1
-        if bands * rows <= most:
-            best = bands, rows
+        needed = math.log(1 - recall) / missed if missed else math.inf
+        if needed * rows <= most and math.ceil(needed) * rows <= most:
+            best = max(1, math.ceil(needed)), rows
     if best is None:
         raise ValueError("no banding reaches this recall; allow more hashes")
     return best
