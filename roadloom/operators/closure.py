@@ -24,9 +24,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from roadloom.durable import Rounds, durable, fresh_path, write_and_read
 from roadloom.functions.costs import usable_sql
@@ -269,44 +269,68 @@ class _Relaxation:
 
 
 def _by_group_size(
-    paths, columns, grouped_rows, *, about_source, about_target, keep_unusable, **joins
+    paths, columns, grouped_rows, *, about_source, about_target, keep_unusable, max_rounds, **joins
 ) -> DataFrame:
-    """Small groups in grouped-map tasks, groups beyond ``grouped_rows`` by joins."""
+    """Small groups in grouped-map tasks, groups beyond ``grouped_rows`` by joins.
+
+    Only rows that can be part of a path are grouped; the others stay beside as they are
+    unless a path replaces them. Rounds belong to the joins, so with a limit on them all
+    groups are closed by joins.
+    """
     groups = list(columns.groups)
     if not groups:
         raise ValueError("the grouped method needs group columns")
-    rows = durable(paths.select(*columns.all, *about_source, *about_target), "paths")
+    by_joins = dict(about_source=about_source, about_target=about_target, **joins)
+    if max_rounds is not None:
+        return closure(paths, columns, keep_unusable=keep_unusable, max_rounds=max_rounds, **by_joins)
+    about = [*about_source, *about_target]
+    chained = " AND ".join([f"coalesce({_live(columns)}, false)", *(f"{name} IS NOT NULL" for name in groups)])
+    given = paths.select(*columns.all, *about)
+    if not keep_unusable:
+        given = given.where(_live(columns))
+    stored, seen = write_and_read(given, fresh_path(paths.sparkSession, "paths"), beside=F.expr(f"count_if(NOT ({chained}))"))
+    rows = stored.where(chained) if seen["beside"] else stored
     sizes = rows.groupBy(*groups).agg(F.expr("count(*) AS _rows"))
     measured = sizes.selectExpr(
         f"count_if(_rows > {grouped_rows}) AS large",
         f"coalesce(sum(IF(_rows > {grouped_rows}, 0, _rows * _rows)), 0) AS pairs",
     ).first()
     buckets = measured["pairs"] // BUCKET_PAIRS + 1
-    solve = lambda small: _solve_groups(
-        small, columns, about_source, about_target, keep_unusable, buckets
-    )
     if not measured["large"]:
-        return solve(rows)
-    large = durable(sizes.where(f"_rows > {grouped_rows}").select(*groups), "large-groups")
-    closed_by_joins = closure(
-        rows.join(large, groups, "left_semi"), columns, about_source=about_source,
-        about_target=about_target, keep_unusable=keep_unusable, **joins,
-    )
-    return solve(rows.join(large, groups, "left_anti")).unionByName(closed_by_joins)
+        closed = _solve_groups(rows, columns, about_source, about_target, buckets)
+    else:
+        large = durable(sizes.where(f"_rows > {grouped_rows}").select(*groups), "large-groups")
+        closed_by_joins = closure(rows.join(large, groups, "left_semi"), columns, **by_joins).select(*rows.columns)
+        small = rows.join(large, groups, "left_anti").select(*rows.columns)
+        closed = _solve_groups(small, columns, about_source, about_target, buckets).unionByName(closed_by_joins)
+    if not seen["beside"]:
+        return closed
+    closed = durable(closed, "closed")
+    beside = cheapest(stored.where(f"NOT ({chained})"), columns, about).select(*rows.columns)
+    return closed.unionByName(beside.join(closed.select(*columns.keys), columns.keys, "left_anti").select(*rows.columns))
 
 
-def _solve_groups(
-    rows: DataFrame, columns: PathColumns, about_source, about_target, keep_unusable, buckets
-) -> DataFrame:
+def _codes(values: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Each value's place among the distinct ones in order, and these; null comes last."""
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    encoded = values.dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(encoded.dictionary, null_placement="at_end")
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return place[encoded.indices.to_numpy()], encoded.dictionary.take(order)
+
+
+def _solve_groups(rows: DataFrame, columns: PathColumns, about_source, about_target, buckets) -> DataFrame:
     """Close groups of bounded size, many small ones per grouped-map call.
 
-    Groups are dealt out to buckets whose pairs stay near ``BUCKET_PAIRS``. A
-    call runs the rounds of ``stepwise`` on arrays, for all its groups at once.
+    All rows can be part of a path. Groups are dealt out to buckets whose pairs stay near
+    ``BUCKET_PAIRS``. A call runs the rounds of ``stepwise`` on arrays, for all its groups
+    at once. Ids and groups may have any type: they are numbered in their order, never
+    turned into other numbers.
     """
     source, target, hop, cost = columns.source, columns.target, columns.hop, columns.cost
     groups, names = list(columns.groups), rows.columns
     with_source, with_target = [source, *about_source, *groups], [target, *about_target]
-    hop_type = "string" if rows.schema[hop].dataType == T.StringType() else "int64"
 
     def first_of_each(key, *tie_breaks):
         """Positions of the lowest row per key, in key order."""
@@ -316,24 +340,22 @@ def _solve_groups(
     def solve(table: pa.Table) -> pa.Table:
         # Ids and (group, id) nodes become positions in sorted lists, so the
         # lower position is the lower id.
-        group = np.zeros(table.num_rows, int)
+        group = np.zeros(table.num_rows, np.int64)
         for name in groups:
-            values, code = np.unique(table[name].to_numpy(), return_inverse=True)
+            code, values = _codes(table[name])
             group = np.unique(group * len(values) + code, return_inverse=True)[1]
-        ends = np.concatenate([table[name].to_numpy() for name in (source, target, hop)])
-        ids, codes = np.unique(ends, return_inverse=True)
+        ends = pa.concat_arrays([table[name].combine_chunks() for name in (source, target, hop)])
+        codes, ids = _codes(ends)
         source_id, target_id, hop_id = codes.reshape(3, -1)
         node_keys = np.concatenate([group * len(ids) + source_id, group * len(ids) + target_id])
         nodes, positions = np.unique(node_keys, return_inverse=True)
         start, end = positions.reshape(2, -1)
         id_of, n = nodes % len(ids), len(nodes)
-        costs = table[cost].to_numpy().astype(float)
-        live = np.isfinite(costs) & (start != end)
-        row_of_start, row_of_end = np.zeros(n, int), np.zeros(n, int)
+        costs = table[cost].to_numpy()
+        row_of_start, row_of_end = np.zeros(n, np.int64), np.zeros(n, np.int64)
         row_of_start[start] = row_of_end[end] = np.arange(len(start))
 
-        chosen = first_of_each(start * n + end, costs, hop_id)
-        arcs = chosen[live[chosen]]
+        arcs = first_of_each(start * n + end, costs, hop_id)
         arc_end, arc_cost = end[arcs], costs[arcs]
         slices = np.searchsorted(start[arcs], np.arange(n + 1))
 
@@ -370,14 +392,9 @@ def _solve_groups(
 
         solved = {name: table[name].take(row_of_start[found // n]) for name in with_source}
         solved |= {name: table[name].take(row_of_end[found % n]) for name in with_target}
-        solved[cost] = pa.array(best, pa.float64())
-        solved[hop] = pa.array(ids[via], hop_type)
-        closed = pa.table({name: solved[name] for name in names})
-        if keep_unusable:
-            left_over = chosen[~live[chosen]]
-            left_over = left_over[~np.isin(start[left_over] * n + end[left_over], found)]
-            closed = pa.concat_tables([closed, table.select(names).take(left_over).cast(closed.schema)])
-        return closed
+        solved[cost] = pa.array(best)
+        solved[hop] = ids.take(pa.array(via))
+        return pa.table({name: solved[name].cast(table.schema.field(name).type) for name in names})
 
     bucket = F.expr(f"pmod(hash({', '.join(groups)}), {buckets})")
     return rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(solve, rows.schema)
