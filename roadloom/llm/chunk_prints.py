@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.labelled import among_lowest
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import mix
 
@@ -139,12 +140,13 @@ def by_ranges(docs: DataFrame, doc_id: str, text: str, range_bytes: int = RANGE_
         F.col(doc_id).isNotNull().alias("_known"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"),
     )
     key = F.struct("_known", "doc_id", "hash")
-    extent = rows.agg(F.sum(F.octet_length("text")), F.min(key)).first()
+    extent = rows.agg(F.sum(F.octet_length("text")), F.min(key), F.count(F.lit(1))).first()
     if extent[1] is None:
         return rows.select(F.lit(0).alias("range"), "doc_id", "hash", F.lit(False).alias("ahead"), "text")
     ranges = min(MAX_RANGES, extent[0] // range_bytes + 1)
-    # The rows with the lowest hashes of all are a fair sample, the same at every run.
-    sampled = rows.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(ranges - 1).collect() if ranges > 1 else []
+    # Rows with low hashes are a fair sample, the same at every run; equal rows are one.
+    keys = rows.select(key.alias("k"), F.xxhash64(key).alias("h"))
+    sampled = keys.where(among_lowest(F.col("h"), ranges, extent[2])).distinct().orderBy("h", "k").limit(ranges - 1).collect() if ranges > 1 else []
     plain = lambda k: (k[0], k[1] if k[0] else 0, k[2])
     first = plain(extent[1])
     heads = [first, *sorted({plain(row.k) for row in sampled} - {first})]

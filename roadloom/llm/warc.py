@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.durable import fresh_path
+from roadloom.llm.labelled import among_lowest
 from roadloom.llm.shipping import ship_package
 
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1_000, 16_384, 65_536, 3
@@ -90,9 +91,10 @@ def build_dictionary(samples: list[bytes]) -> bytes:
 
 
 def dictionary_of(pages: DataFrame, payload: str) -> bytes:
+    filled = pages.where(F.octet_length(payload) > 0).select(F.col(payload).cast("binary").alias("p"), F.xxhash64(payload).alias("h"))
     sampled = (
-        pages.where(F.octet_length(payload) > 0).select(F.xxhash64(payload).alias("h"), F.col(payload).cast("binary").alias("p"))
-        .select("h", F.substring("p", 1, SAMPLE_BYTES).alias("p")).orderBy("h", "p").limit(SAMPLE_RECORDS)
+        filled.where(among_lowest(F.col("h"), SAMPLE_RECORDS, filled.count()))
+        .groupBy("h").agg(F.first(F.substring("p", 1, SAMPLE_BYTES)).alias("p")).orderBy("h").limit(SAMPLE_RECORDS)
     )
     return build_dictionary([bytes(row.p) for row in sampled.collect()])
 
