@@ -2,7 +2,8 @@
 
 ``trade``      nations; an arc per customer nation and supplier nation.
 ``lines``      order lines; arcs to the next and the next but one line of the
-               same order. One cell per order, so cells are many and small.
+               same order, and from the last one back to the first. One cell
+               per order, so cells are many and small, and hold cycles.
 ``suppliers``  every supplier is an edge between two nodes that lie in a
                three-level cell hierarchy.
 ``parts``      parts; an edge per pair of consecutive lines of an order.
@@ -15,13 +16,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.cells import common_ancestor, resolution
 from roadloom.operators.paths import PathColumns
 from roadloom.sources.network import initial_shortcuts, with_cost
 
+#: A total order of the lines of an order; line numbers may repeat.
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+#: Line ids are the order's key times this, plus the place in the order.
+LINE_NUMBERS = 1000
+
 ORDER = PathColumns(groups=("l_orderkey",))
 REGION = PathColumns(
     source="src", target="dst", hop="next_node", groups=("l_orderkey", "l_returnflag")
@@ -80,25 +86,32 @@ class Networks:
 
     @property
     def order_lines(self) -> DataFrame:
-        """One row per order and line number; repeated numbers are put together."""
-        return self.tables.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
-            F.min("l_quantity").alias("quantity"),
-            F.min("l_returnflag").alias("l_returnflag"),
-            F.min("l_partkey").alias("part"),
+        """Every order line, numbered within its order, with the lines it leads to."""
+        in_order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+        whole = Window.partitionBy("l_orderkey")
+        line = F.col("l_orderkey") * LINE_NUMBERS + F.row_number().over(in_order)
+        numbered = self.tables.lineitem.select(
+            "l_orderkey", *LINE_ORDER, line.alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_partkey").alias("part")
+        )
+        here = F.struct("line", "part")
+        return numbered.select(
+            "l_orderkey", "l_returnflag", "quantity", "part", "line",
+            F.lead(here, 1).over(in_order).alias("following"), F.lead(here, 2).over(in_order).alias("next_but_one"),
+            F.min(here).over(whole).alias("opening"), F.count(F.lit(1)).over(whole).alias("lines"),
         )
 
     @property
     def consecutive(self) -> DataFrame:
-        """Lines joined to the next and the next but one line of their order."""
-        line_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-        here = self.order_lines.select(
-            "l_orderkey", "l_returnflag", "quantity", "part", line_id.alias("line"),
-            F.explode(F.array(F.lit(1), F.lit(2))).alias("gap"), "l_linenumber",
-        ).withColumn("l_linenumber", F.col("l_linenumber") + F.col("gap"))
-        there = self.order_lines.select(
-            "l_orderkey", "l_linenumber", line_id.alias("next_line"), F.col("part").alias("next_part")
+        """Lines with the next and the next but one line of their order; the last one leads back to the first."""
+        step = lambda gap, line: F.struct(F.lit(gap).alias("gap"), F.col(line).alias("to"))
+        last = F.col("following").isNull() & (F.col("lines") > 1)
+        steps = F.array(step(1, "following"), step(2, "next_but_one"), F.when(last, step(1, "opening")))
+        return self.order_lines.select("l_orderkey", "l_returnflag", "quantity", "part", "line", F.explode(steps).alias("step")).where(
+            "step.to IS NOT NULL"
+        ).select(
+            "l_orderkey", "l_returnflag", "quantity", "part", "line",
+            F.col("step.gap").alias("gap"), F.col("step.to.line").alias("next_line"), F.col("step.to.part").alias("next_part"),
         )
-        return here.join(there, ["l_orderkey", "l_linenumber"])
 
     @property
     def lines(self) -> DataFrame:
@@ -128,7 +141,7 @@ class Networks:
 
     @property
     def line_vertices(self) -> DataFrame:
-        return self.order_lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+        return self.order_lines.select(F.col("line").alias("id"))
 
     # -- parts ----------------------------------------------------------------
 

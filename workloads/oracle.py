@@ -1,11 +1,14 @@
 """The same networks, rules and passes as plain SQL.
 
 Loops become a fixed number of unrolled rounds; closures double their reach
-per round, so ``rounds`` of them cover paths of 2**rounds arcs.
+per round, so ``rounds`` of them cover paths of 2**rounds arcs. ``LINE_ROUNDS``
+cover orders of up to 33 lines; the tables have at most 17 at any scale.
 """
 
 from __future__ import annotations
 
+LINE_ROUNDS = 5
+
 # -- networks -----------------------------------------------------------------
 
 TRADE = """
@@ -19,14 +22,16 @@ trade AS MATERIALIZED (
 
 CONSECUTIVE = """
 order_lines AS MATERIALIZED (
-  SELECT l_orderkey, l_linenumber, min(l_quantity) AS quantity, min(l_returnflag) AS l_returnflag,
-         min(l_partkey) AS part, l_orderkey * 10 + l_linenumber AS line
-  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+  SELECT l_orderkey, l_quantity AS quantity, l_returnflag, l_partkey AS part,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+           l_extendedprice, l_returnflag) AS place,
+         count(*) OVER (PARTITION BY l_orderkey) AS places, l_orderkey * 1000 + place AS line
+  FROM lineitem),
 consecutive AS MATERIALIZED (
   SELECT a.l_orderkey, a.l_returnflag, a.quantity, a.part, a.line, b.line AS next_line, b.part AS next_part,
-         b.l_linenumber - a.l_linenumber AS gap
+         CASE WHEN b.place > a.place THEN b.place - a.place ELSE 1 END AS gap
   FROM order_lines a JOIN order_lines b ON a.l_orderkey = b.l_orderkey
-   AND b.l_linenumber - a.l_linenumber IN (1, 2))"""
+   AND (b.place - a.place IN (1, 2) OR (a.place = a.places AND b.place = 1 AND a.places > 1)))"""
 
 LINES = CONSECUTIVE + """,
 lines AS MATERIALIZED (

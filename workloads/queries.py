@@ -182,7 +182,7 @@ def filter_global(n):
     return celled.at_resolution(placed_suppliers(n), celled.GLOBAL_RESOLUTION)
 
 
-LINES_CLOSED = o.closure("closed", "lines", 3, ("l_orderkey",))
+LINES_CLOSED = o.closure("closed", "lines", o.LINE_ROUNDS, ("l_orderkey",))
 LINE_COLUMNS = "incoming_edge, outgoing_edge, via_edge, cost, l_orderkey"
 
 
@@ -232,11 +232,16 @@ def merge_shortcuts(n):
     return merge.merge_shortcuts(n.trade, paths.below_cost(paths.improve_once(n.trade, SHORTCUT), 20))
 
 
-@register("merge_by_partition", o.query(o.LINES, o.improved_once("better", "lines", ("l_orderkey",)), select=f"""
-SELECT {LINE_COLUMNS} FROM lines WHERE l_orderkey NOT IN (SELECT l_orderkey FROM better_chains)
-UNION ALL SELECT {LINE_COLUMNS} FROM better_chains"""))
+RETURNED = "l_orderkey IN (SELECT l_orderkey FROM order_lines WHERE l_returnflag = 'R')"
+
+
+@register("merge_by_partition", o.query(o.LINES, f"returned AS MATERIALIZED (SELECT * FROM lines WHERE {RETURNED})",
+    o.closure("closed", "returned", o.LINE_ROUNDS, ("l_orderkey",)), select=f"""
+SELECT {LINE_COLUMNS} FROM lines WHERE NOT {RETURNED} UNION ALL SELECT {LINE_COLUMNS} FROM closed"""))
 def merge_by_partition(n):
-    return merge.merge_partitions(n.lines, paths.extend(n.lines, n.lines, ORDER), ["l_orderkey"])
+    """Orders with a returned line are closed and replace their former rows."""
+    returned = n.order_lines.where("l_returnflag = 'R'").select("l_orderkey")
+    return merge.merge_partitions(n.lines, closure(n.lines.join(returned, "l_orderkey", "left_semi"), ORDER), ["l_orderkey"])
 
 
 FLAGGED = """
@@ -479,10 +484,9 @@ FINAL = (o.SUPPLIERS, o.PLACES, ALL_PASSES, final_sql(LAST))
 
 @register("cell_stats", o.query(*FINAL, select="""
 SELECT cell, count(*) AS shortcut_count, round(avg(cost), 6) AS avg_cost, min(cost) AS min_cost, max(cost) AS max_cost
-FROM final WHERE cost < 'inf'::DOUBLE GROUP BY cell"""))
+FROM final GROUP BY cell"""))
 def cell_stats(n):
-    finite = paths.below_cost(final_suppliers(n), float("inf"))
-    return reports.cell_stats(finite).withColumn("avg_cost", F.round("avg_cost", 6))
+    return reports.cell_stats(final_suppliers(n)).withColumn("avg_cost", F.round("avg_cost", 6))
 
 
 def ledger_sql() -> str:
@@ -595,7 +599,7 @@ def final_info(n):
 
 # -- G. closures --------------------------------------------------------------
 
-@register("cell_closure", o.query(o.LINES, o.closure("closed", "lines", 3, ("l_orderkey",), "middle"), select=f"SELECT {LINE_COLUMNS} FROM closed"))
+@register("cell_closure", o.query(o.LINES, o.closure("closed", "lines", o.LINE_ROUNDS, ("l_orderkey",), "middle"), select=f"SELECT {LINE_COLUMNS} FROM closed"))
 def cell_closure(n):
     return closure(n.lines, ORDER, method="doubling", hop_rule="middle")
 
@@ -610,6 +614,22 @@ def cell_closure_grouped(n):
     return closure(n.lines, ORDER, method="grouped")
 
 
+FAR = 1 << 60  # ids that a double cannot tell apart
+
+
+@register("closure_of_odd_ids", o.query(o.LINES, f"""
+far AS MATERIALIZED (SELECT incoming_edge + {FAR} AS incoming_edge, outgoing_edge + {FAR} AS outgoing_edge,
+  via_edge + {FAR} AS via_edge, cost, l_orderkey FROM lines)""", o.closure("closed", "far", o.LINE_ROUNDS, ("l_orderkey",)), select=f"""
+SELECT {LINE_COLUMNS} FROM closed UNION ALL
+SELECT NULL::BIGINT AS incoming_edge, outgoing_edge, min(via_edge) AS via_edge, min(cost) AS cost, l_orderkey FROM far WHERE cost > 40
+GROUP BY outgoing_edge, l_orderkey"""))
+def closure_of_odd_ids(n):
+    """Ids beyond 2^53 in small cells, beside rows whose id could not be read."""
+    far = n.lines.withColumns({c: F.col(c) + FAR for c in ("incoming_edge", "outgoing_edge", "via_edge")})
+    unread = far.where("cost > 40").withColumn("incoming_edge", F.lit(None).cast("long"))
+    return closure(far.unionByName(unread), ORDER, method="grouped", keep_unusable=True)
+
+
 @register("closure_first_hop", o.query(o.TRADE, o.closure("closed", "trade", 4, (), "first"), select=f"SELECT {o.PAIR} FROM closed"))
 def closure_first_hop(n):
     return closure(n.trade, SHORTCUT, hop_rule="first")
@@ -624,7 +644,7 @@ REGION_COLUMNS = "src, dst, cost, next_node, l_orderkey, l_returnflag"
 
 
 def region_closure_sql(name: str, table: str) -> str:
-    return o.closure(name, table, 3, REGION.groups, "first", "src", "dst", "next_node")
+    return o.closure(name, table, o.LINE_ROUNDS, REGION.groups, "first", "src", "dst", "next_node")
 
 
 @register("region_closure", o.query(o.REGIONS, region_closure_sql("closed", "regions"), select=f"SELECT {REGION_COLUMNS} FROM closed"))
@@ -657,10 +677,11 @@ def resolution_step(n):
     return hierarchy.resolution_step(n.supplier_shortcuts, n.supplier_edges, 1)
 
 
-@register("single_resolution", o.query(o.SUPPLIERS, o.PLACES, ONE_STEP, select=f"SELECT {o.PAIR} FROM s0_closed"))
+@register("single_resolution", o.query(o.SUPPLIERS, o.PLACES, ONE_STEP, select=f"""
+SELECT {o.PAIR} FROM s0_closed UNION ALL SELECT {o.PAIR} FROM s0_level
+WHERE NOT coalesce(cost < 'inf'::DOUBLE, false) AND (incoming_edge, outgoing_edge) NOT IN (SELECT (incoming_edge, outgoing_edge) FROM s0_closed)"""))
 def single_resolution(n):
-    finite = paths.below_cost(n.supplier_shortcuts, float("inf"))
-    return hierarchy.single_resolution(finite, n.supplier_edges, 1)
+    return hierarchy.single_resolution(n.supplier_shortcuts, n.supplier_edges, 1)
 
 
 @register("downward_pass", o.query(o.SUPPLIERS, o.PLACES, DOWN_PASSES, select=f"SELECT {o.PAIR} FROM {DOWN_STEPS[-1][0]}"))
@@ -689,13 +710,20 @@ def hierarchical_shortcuts(n):
     return three_passes(n).final()
 
 
+@register("forced_methods", o.query(*FINAL, select=f"SELECT {FINAL_COLUMNS} FROM final"))
+def forced_methods(n):
+    """The whole job with the way of closing cells fixed for every resolution that holds rows."""
+    options = hierarchy.Options(grouped_resolutions=(2, 0), distributed_resolutions=(1, -1))
+    return hierarchy.three_passes(n.supplier_shortcuts, n.supplier_edges, options).final()
+
+
 @register("method_by_cell_size", o.query(*PLACED, "levels AS (" + " UNION ALL ".join(
     f"SELECT {res} AS resolution, {o.ancestor('via_cell', res)} AS current_cell FROM placed WHERE {o.level_condition(res)}"
     for res in range(-1, 16)) + ")", select="""
 SELECT resolution, current_cell, count(*) AS rows,
-  CASE WHEN count(*) <= 40 THEN 'grouped' ELSE 'distributed' END AS method FROM levels GROUP BY ALL"""))
+  CASE WHEN count(*) <= 1000 THEN 'grouped' ELSE 'distributed' END AS method FROM levels GROUP BY ALL"""))
 def method_by_cell_size(n):
-    return hierarchy.cell_methods(placed_suppliers(n), range(-1, 16), grouped_rows=40)
+    return hierarchy.cell_methods(placed_suppliers(n), range(-1, 16))
 
 
 # -- G. whole graphs ----------------------------------------------------------
@@ -744,8 +772,8 @@ def components_sql(edges: str, vertices: str, rounds: int) -> str:
 
 @register("connected_components", o.query(o.CONSECUTIVE, """
 line_edges AS (SELECT line AS src, next_line AS dst FROM consecutive WHERE gap = 1),
-line_vertices AS (SELECT line AS id FROM order_lines)""", components_sql("line_edges", "line_vertices", 7),
-    select="SELECT id, component FROM label_7"))
+line_vertices AS (SELECT line AS id FROM order_lines)""", components_sql("line_edges", "line_vertices", 9),
+    select="SELECT id, component FROM label_9"))
 def connected_components(n):
     return graph.connected_components(n.line_vertices, n.line_edges)
 
