@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from roadloom.llm.rows import parts
 from roadloom.llm.shipping import ship_package
 
 #: Pieces in each of the two generations whose tokens a worker remembers: some 60 MB each.
@@ -253,7 +254,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: tupl
 
     def run(batches):
         words = vocabulary(sent.value)
-        for batch in batches:
+        for batch in parts(batches, len(keep)):
             counts, ids_digests, text_digests, all_ids = [], [], [], []
             for one in batch.column(len(keep)):
                 ids = words.encode(one.as_py())

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.rows import by_place, parts
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import WordBlock, hash_runs, sums_by_text, word_blocks
 
@@ -117,13 +118,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[str],
 
         def scan(batches, sent=sent, names=tuple(names)):
             windows = sent.value
-            for batch in batches:
-                known = batch.column("hits").to_pylist()
+            for part in parts(batches, 0):
+                known = part.column("hits").to_pylist()
                 found = []
-                for block in word_blocks(batch.column(text)):
+                for block in word_blocks(part.column(0)):
                     found += _block_hits(block, windows, known)
-                columns = [batch.column(name) for name in names[:-1]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, batch.schema.field("hits").type)], names=list(names))
+                columns = [part.column(name) for name in names[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, part.schema.field("hits").type)], names=list(names))
 
         result = result.mapInArrow(scan, schema)
     return result
@@ -159,22 +160,22 @@ def contaminated(hits: str = "hits"):
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the contaminated documents, columns as they were."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return find_hits(rows, benchmark, "text", ["row"]).where(~contaminated()).select("row.*")
+    plain = by_place(docs)
+    found = find_hits(plain, benchmark, f"c{docs.columns.index(text)}", plain.columns)
+    return found.where(~contaminated()).drop("hits").toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the hit words, and what stands between neighbouring ones, cut out of the text."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    scanned = find_hits(rows, benchmark, "text", ["row", "text"])
+    plain, text = by_place(docs), f"c{docs.columns.index(text)}"
     pieces = F.expr(
-        "array_join(transform(sequence(0, size(hits.spans)), i -> decode(substring(encode(text, 'UTF-8'),"
+        f"array_join(transform(sequence(0, size(hits.spans)), i -> decode(substring(encode({text}, 'UTF-8'),"
         " CAST(IF(i = 0, 1, hits.spans[greatest(i, 1) - 1].stop + 1) AS INT),"
-        " CAST(IF(i = size(hits.spans), octet_length(text), hits.spans[least(i, size(hits.spans) - 1)].start)"
+        f" CAST(IF(i = size(hits.spans), octet_length({text}), hits.spans[least(i, size(hits.spans) - 1)].start)"
         " - IF(i = 0, 0, hits.spans[greatest(i, 1) - 1].stop) AS INT)), 'UTF-8')), '')"
     )
-    cut = F.when(F.col("hits.n_hit") > 0, pieces).otherwise(F.col("text"))
-    return scanned.withColumn("row", F.col("row").withField(text, cut)).select("row.*")
+    cut = F.when(F.col("hits.n_hit") > 0, pieces).otherwise(F.col(text))
+    return find_hits(plain, benchmark, text, plain.columns).withColumn(text, cut).drop("hits").toDF(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

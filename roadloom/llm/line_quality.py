@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.labelled import bucket, sample
+from roadloom.llm.rows import keep_rows, parts
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import text_bytes, text_slices, word_blocks
 
@@ -277,9 +278,9 @@ def with_scores(docs: DataFrame, field: Field, text: str, keep: tuple[str, ...])
     schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
 
     def run(batches):
-        for batch in batches:
-            scores = pa.array(sent.value.scores(batch.column(len(keep))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], names=[*keep, "score"])
+        for part in parts(batches, len(keep)):
+            scores = pa.array(sent.value.scores(part.column(len(keep))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], scores], names=[*keep, "score"])
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -294,5 +295,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents whose score falls short, columns as they were."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    return with_scores(rows, learn(docs, labels), "text", ("row",)).where(F.col("score") >= GOOD_SCORE).select("row.*")
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    return keep_rows(docs, "text", lambda texts: sent.value.scores(texts) >= GOOD_SCORE)

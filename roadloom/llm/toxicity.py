@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.labelled import bucket, sample
+from roadloom.llm.rows import keep_rows, parts
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import WordBlock, hash_runs, mix, word_blocks
 
@@ -153,9 +154,9 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", keep: tuple[s
     schema = docs.select(*kept, F.lit(0.0).alias(score)).schema
 
     def run(batches):
-        for batch in batches:
-            scores = pa.array(sent.value.scores(batch.column(place)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], scores], names=[*kept, score])
+        for part in parts(batches, place):
+            scores = pa.array(sent.value.scores(part.column(place)), pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], scores], names=[*kept, score])
 
     return given.mapInArrow(run, schema)
 
@@ -170,5 +171,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that are predicted to be toxic, columns as they were."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    return with_scores(rows, learn(docs, labels), keep=("row",)).where("score < 0.5").select("row.*")
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    return keep_rows(docs, "text", lambda texts: sent.value.scores(texts) < 0.5)
