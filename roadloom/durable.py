@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -51,6 +52,24 @@ def scratch(spark: SparkSession):
         delete_path(spark, f"{shared_folder(spark)}/{folder}")
 
 
+def tidy(name: str):
+    """A decorator: what a function stores on its way is deleted, its result is stored and returned.
+
+    The function's first argument is a DataFrame, and so is its result.
+    """
+
+    def around(work):
+        @wraps(work)
+        def run(first: DataFrame, *args, **kwargs) -> DataFrame:
+            spark, outside = first.sparkSession, _folder.get()
+            with scratch(spark):
+                return write_and_read(work(first, *args, **kwargs), fresh_path(spark, name, outside))[0]
+
+        return run
+
+    return around
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.durable import Rounds, durable, fresh_path, write_and_read
+from roadloom.durable import Rounds, durable, fresh_path, tidy, write_and_read
 from roadloom.operators.skew import HOT_ROWS, SLOT, copy_to_slots, deal_out, hot_keys, spread_join
 
 
@@ -33,6 +33,7 @@ class _EdgesByNode:
         return self.edges.join(copy_to_slots(per_node, self.hot, [self.node]), [self.node, SLOT]).drop(SLOT)
 
 
+@tidy("landmarks")
 def landmark_distances(
     vertices: DataFrame, edges: DataFrame, landmarks: Sequence, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -70,6 +71,7 @@ def distance_maps(distances: DataFrame) -> DataFrame:
     return distances.groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("distances"))
 
 
+@tidy("pagerank")
 def pagerank(
     vertices: DataFrame, edges: DataFrame, reset: float = 0.15, rounds: int = 5, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -78,8 +80,8 @@ def pagerank(
     Every vertex starts at one and passes its rank on along its edges, parallel
     edges counting each.
     """
-    links = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_links"))
-    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_degree"))
+    links = durable(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_links")), "links")
+    degrees = links.groupBy("src").agg(F.sum("_links").alias("_degree"))
     weighted = spread_join(links, degrees, ["src"], ["dst"], hot_rows=hot_rows).select(
         "src", "dst", (F.col("_links") / F.col("_degree")).alias("_weight")
     )
@@ -102,6 +104,7 @@ def pagerank(
     return ranks.select("id", (F.col("rank") * F.lit(scale)).alias("pagerank"))
 
 
+@tidy("components")
 def connected_components(vertices: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The lowest vertex id of each vertex's component, edges taken both ways.
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.durable import durable
+
 HOT_ROWS = 100_000
 SLOT = "_slot"
 SLOTS = "_slots"
@@ -67,6 +69,7 @@ def spread_join(
     hot = hot_keys(large, keys, hot_rows)
     if hot is None:
         return large.join(small, keys, how)
+    hot = durable(hot, "hubs")
     return (
         deal_out(large, hot, keys, spread_by)
         .join(copy_to_slots(small, hot, keys), [*keys, SLOT], how)

@@ -54,6 +54,13 @@ def stored(n: Networks, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     return store.read_shortcuts(n.spark, path, schema)
 
 
+def write_stored(spark: SparkSession, folder: str) -> None:
+    """Write the closed tables the reports read, before anything is timed."""
+    networks = Networks(spark, folder)
+    closed_trade(networks)
+    closed_lines(networks)
+
+
 def closed_trade(n: Networks) -> DataFrame:
     return stored(n, "closed-trade", lambda: closure(n.trade, SHORTCUT))
 
