@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.durable import durable, fresh_path, scratch, write_and_read
+from roadloom.durable import durable, tidy
 
 PIECE_TURNS = 1024
 #: What is put before the role, between role and text, and after the text.
@@ -37,17 +37,15 @@ def _earlier():
     return Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
+@tidy("placed-turns")
 def placed_turns(turns: DataFrame) -> DataFrame:
     """Distinct turns with their place in the conversation, stored; ``_part`` numbers the ranges of the order."""
-    spark = turns.sparkSession
     rows = turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id", *_TURN).agg(F.count(F.lit(1)).alias("_copies")).drop("_copies")
-    with scratch(spark):
-        ranged = durable(rows.repartitionByRange("conv_id", *_TURN).withColumn("_part", F.spark_partition_id()), "turns")
-        here = Window.partitionBy("_part", "conv_id").orderBy(*_TURN)
-        sizes = ranged.groupBy("_part", "conv_id").agg(F.count(F.lit(1)).alias("_size"))
-        before = sizes.select("_part", "conv_id", F.coalesce(F.sum("_size").over(_earlier()), F.lit(0)).alias("_before"))
-        placed = ranged.join(before, ["_part", "conv_id"]).withColumn("place", F.col("_before") + F.row_number().over(here)).drop("_before")
-        return write_and_read(placed, fresh_path(spark, "placed-turns", "roadloom"))[0]
+    ranged = durable(rows.repartitionByRange("conv_id", *_TURN).withColumn("_part", F.spark_partition_id()), "turns")
+    here = Window.partitionBy("_part", "conv_id").orderBy(*_TURN)
+    sizes = ranged.groupBy("_part", "conv_id").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", "conv_id", F.coalesce(F.sum("_size").over(_earlier()), F.lit(0)).alias("_before"))
+    return ranged.join(before, ["_part", "conv_id"]).withColumn("place", F.col("_before") + F.row_number().over(here)).drop("_before")
 
 
 def rolling_hashes(placed: DataFrame) -> DataFrame:
@@ -65,6 +63,7 @@ def rolling_hashes(placed: DataFrame) -> DataFrame:
     return durable(rolled, "rolling")
 
 
+@tidy("maximal")
 def maximal_conversations(placed: DataFrame) -> DataFrame:
     """``(conv_id, n_turns, n_equal)`` of the conversations that stay; ``n_equal`` have the same turns."""
     rolling = rolling_hashes(placed)

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.durable import durable
+from roadloom.durable import durable, tidy
+from roadloom.llm.rows import by_place, release_memory
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import WordBlock, hash_runs, mix, word_blocks
 from roadloom.operators.graph import connected_components
@@ -43,7 +44,7 @@ RECALL, MOST_HASHES = 0.9999, 128
 #: Signatures may agree less than the similarity by so many standard deviations.
 DEVIATIONS = 5
 #: Members per block of a bucket; classes and set elements per block of a cell.
-BUCKET_BLOCK, CELL_BLOCK, CELL_BLOCK_ELEMENTS = 2_000, 1_000, 3_000_000
+BUCKET_BLOCK, CELL_BLOCK, CELL_BLOCK_ELEMENTS = 1_000, 500, 1_000_000
 #: Columns of a matrix product.
 COLUMNS = 2_048
 
@@ -146,6 +147,7 @@ def in_groups(rows: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray],
             held.append(batch.slice(changes[-1]) if len(changes) else batch)
         if held:
             yield pa.Table.from_batches(held)
+        release_memory()
 
     def run(batches):
         for table in whole(batches):
@@ -264,6 +266,7 @@ def verified(sets: DataFrame, similarity: Fraction) -> DataFrame:
     return in_groups(dealt, "cell", work, "key BINARY, links BIGINT, root BINARY, blocks BIGINT")
 
 
+@tidy("links")
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: Fraction = SIMILARITY) -> DataFrame:
     """A row per document: ``class_id`` of its group, ``copy_of`` (the class's first id), ``n_links``, ``kept``.
 
@@ -330,10 +333,14 @@ def _components(checked: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near duplicates, with the columns as they were."""
-    kept = link_documents(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("_own"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_own_hash"))
-    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_own", "_own_hash"]).select("row.*")
+    plain = by_place(docs)
+    own_id, own_text = (F.col(f"c{docs.columns.index(name)}") for name in (doc_id, text))
+    linked = link_documents(plain.select(own_id.alias("doc_id"), own_text.alias("text")))
+    kept = linked.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = plain.withColumn("_own_hash", F.xxhash64(F.coalesce(own_text, F.lit(""))))
+    same = own_id.eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    one_each = rows.join(kept, same, "left_semi").dropDuplicates([f"c{docs.columns.index(doc_id)}", "_own_hash"])
+    return one_each.drop("_own_hash").toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
