@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.durable import durable
+from roadloom.durable import Rounds
 from roadloom.llm import bpe, decontamination, line_quality, near_duplicates, toxicity
 
 
@@ -52,9 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents; each but the last is stored and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = durable(docs, f"stage-{i + 1}")
-    return docs
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), Rounds(spark, "kept-documents")
+    for _, stage in STAGES[:-1]:
+        docs, _ = stored.save(stage(spark, docs, sf_dir))
+    stored.drop_superseded()
+    return STAGES[-1][1](spark, docs, sf_dir)
