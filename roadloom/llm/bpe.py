@@ -33,7 +33,7 @@ from roadloom.llm.shipping import ship_package
 
 #: Pieces in each of the two generations whose tokens a worker remembers: some 60 MB each.
 REMEMBERED_PIECES = 300_000
-REMEMBERED_PAIRS = 2_000_000
+REMEMBERED_PAIRS = 300_000
 
 # Fixed values of the vocabulary's format.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

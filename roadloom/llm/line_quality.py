@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.labelled import bucket, sample
-from roadloom.llm.rows import keep_rows, parts
+from roadloom.llm.rows import keep_rows, parts, release_memory
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import text_bytes, text_slices, word_blocks
 
@@ -259,6 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_exampl
         stacked = np.concatenate(parts)
         lines = Lines(stacked[:, :-1], stacked[:, -1], np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
         field = fit(lines, group.column("label").to_numpy().astype(int))
+        release_memory()
         return pa.table({"value": np.concatenate([[field.fitted], field.curve, field.transitions.ravel(), field.weights])})
 
     values = (

@@ -12,11 +12,17 @@ from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import text_slices
 
 
+def release_memory() -> None:
+    """Give what Arrow holds for later back: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, so many at a time as have a megabyte of text in column ``text``."""
     for batch in batches:
         for first, count in text_slices(batch.column(text)):
             yield batch.slice(first, count)
+    release_memory()
 
 
 def by_place(docs: DataFrame) -> DataFrame:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.labelled import bucket, sample
-from roadloom.llm.rows import keep_rows, parts
+from roadloom.llm.rows import keep_rows, parts, release_memory
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import WordBlock, hash_runs, mix, word_blocks
 
 #: Examples that are learned from, at most.
-MAX_EXAMPLES = 16_000
+MAX_EXAMPLES = 10_000
 MIN_EXAMPLES = 5
 HELD_OUT = 5
 
@@ -53,15 +53,23 @@ def feature_hashes(block: WordBlock) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32), np.concatenate(texts)
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes, their weights and the bias, from examples in the order given."""
-    every, times = np.unique(np.concatenate(features) if features else np.zeros(0, np.uint32), return_counts=True)
-    roomy = every[times >= MIN_EXAMPLES]
+def roomy_hashes(flat: np.ndarray) -> np.ndarray:
+    """The hashes that at least ``MIN_EXAMPLES`` examples have, in order; ``flat`` is sorted in place."""
+    flat.sort()
+    first = np.flatnonzero(flat[MIN_EXAMPLES - 1 :] == flat[: len(flat) - MIN_EXAMPLES + 1]) if len(flat) >= MIN_EXAMPLES else np.zeros(0, int)
+    return np.unique(flat[first])
+
+
+def fit(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes, their weights and the bias, from examples in the order given.
+
+    Example ``i`` has the distinct hashes ``flat[offsets[i]:offsets[i + 1]]``.
+    """
+    roomy = roomy_hashes(flat.copy())
     examples = []
-    for own in features:
-        at = np.searchsorted(roomy, own)
-        at = at[at < len(roomy)] if len(roomy) else at[:0]
-        examples.append(np.append(np.intersect1d(at[np.isin(roomy[at], own)], at), len(roomy)) if len(at) else np.array([len(roomy)]))
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        at = np.minimum(np.searchsorted(roomy, flat[a:b]), len(roomy) - 1) if len(roomy) else np.zeros(0, int)
+        examples.append(np.append(at[roomy[at] == flat[a:b]] if len(roomy) else at, len(roomy)).astype(np.int32))
     z, n = np.zeros(len(roomy) + 1), np.zeros(len(roomy) + 1)
     penalty = np.full(len(roomy) + 1, L1)
     penalty[-1] = 0  # the bias
@@ -129,8 +137,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
 
     def fitted(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")
-        features = [row.values.to_numpy(zero_copy_only=False).astype(np.uint32) for row in group.column("features")]
-        hashes, weights, bias = fit(features, group.column("label").to_numpy().astype(float))
+        features = group.column("features").combine_chunks()
+        flat = features.flatten().to_numpy().view(np.uint32)
+        offsets = features.offsets.to_numpy() - features.offsets[0].as_py()
+        hashes, weights, bias = fit(flat, offsets, group.column("label").to_numpy().astype(float))
+        release_memory()
         return pa.table({"hash": np.append(hashes.astype(np.int64), -1), "weight": np.append(weights, bias)})
 
     rows = (

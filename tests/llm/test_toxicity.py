@@ -35,7 +35,8 @@ def test_fit_equals_the_plain_loop():
     labels = rng.integers(0, 2, 200)
     examples = [np.unique(np.append(rng.integers(0, 40, 6), 50 + label * rng.integers(0, 2))).astype(np.uint32) for label in labels]
     times = {i: sum(i in e for e in examples) for i in range(60)}
-    hashes, weights, bias = toxicity.fit(examples, labels.astype(float))
+    offsets = np.cumsum([0, *map(len, examples)])
+    hashes, weights, bias = toxicity.fit(np.concatenate(examples), offsets, labels.astype(float))
     want = plain_fit([[i for i in e.tolist() if times[i] >= toxicity.MIN_EXAMPLES] for e in examples], labels)
     got = dict(zip(hashes.tolist(), weights)) | {"bias": bias}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
