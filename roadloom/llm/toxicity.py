@@ -9,7 +9,8 @@ every coordinate at zero whose sum stays small, so what is left is a short list
 
 FTRL sees one example at a time. It is fitted on a bounded sample of labelled documents
 (``MAX_EXAMPLES``); features are made where the documents are, the pass over them is one
-task's work. Coordinates get room only when ``MIN_EXAMPLES`` examples have them.
+task's work. Coordinates get room only when ``MIN_EXAMPLES`` examples have them; these are
+counted range by range of the hashes, and only they are sent to the task that fits.
 
 A null or empty text has no features and scores as the bias says. Equal texts score
 equally. Without any labelled example every score is 0.
@@ -24,15 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.durable import durable, scratch
 from roadloom.llm.labelled import bucket, sample
 from roadloom.llm.rows import keep_rows, parts, release_memory
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import WordBlock, hash_runs, mix, word_blocks
 
 #: Examples that are learned from, at most.
-MAX_EXAMPLES = 10_000
+MAX_EXAMPLES = 16_000
 MIN_EXAMPLES = 5
 HELD_OUT = 5
+#: Ranges of hashes that are counted apart.
+RANGES = 256
 
 ALPHA, BETA, L1, L2, PASSES = 6.0, 1.0, 4.0, 0.0, 5
 
@@ -135,6 +139,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
                 features += [part.astype(np.uint32).astype(np.int32) for part in np.split(pairs, cuts)]
             yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), pa.array(features, pa.list_(pa.int32()))], names=["place", "label", "features"])
 
+    def in_ranges(batches):
+        for batch in batches:
+            flat = np.sort(batch.column("features").flatten().to_numpy().view(np.uint32))
+            cuts = np.searchsorted(flat, np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 32) // RANGES))
+            pieces = [piece.tobytes() for piece in np.split(flat, cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(pieces, pa.binary())], names=["range", "hashes"])
+        release_memory()
+
+    def counted(group: pa.Table) -> pa.Table:
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("hashes")])
+        return pa.table({"hash": roomy_hashes(flat).view(np.int32)})
+
     def fitted(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")
         features = group.column("features").combine_chunks()
@@ -144,10 +160,25 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
         release_memory()
         return pa.table({"hash": np.append(hashes.astype(np.int64), -1), "weight": np.append(weights, bias)})
 
-    rows = (
-        examples.mapInArrow(featured, "place BIGINT, label INT, features ARRAY<INT>")
-        .withColumn("every", F.lit(True)).groupBy("every").applyInArrow(fitted, "hash BIGINT, weight DOUBLE").toArrow()
-    )
+    with scratch(docs.sparkSession):
+        described = durable(examples.mapInArrow(featured, "place BIGINT, label INT, features ARRAY<INT>"), "features")
+        counts = described.select("features").mapInArrow(in_ranges, "range INT, hashes BINARY").groupBy("range").applyInArrow(counted, "hash INT")
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(counts.toArrow().column("hash").to_numpy().view(np.uint32)))
+
+        def with_room(batches):
+            for batch in batches:
+                features = batch.column("features")
+                flat = features.flatten().to_numpy()
+                known = np.isin(flat.view(np.uint32), sent.value)
+                offsets = np.append(0, np.cumsum(known))[features.offsets.to_numpy() - features.offsets[0].as_py()]
+                left = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[known], pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), left], names=["place", "label", "features"])
+            release_memory()
+
+        rows = (
+            described.mapInArrow(with_room, described.schema)
+            .withColumn("every", F.lit(True)).groupBy("every").applyInArrow(fitted, "hash BIGINT, weight DOUBLE").toArrow()
+        )
     hashes, weights = rows.column("hash").to_numpy(), rows.column("weight").to_numpy()
     bias = weights[hashes < 0]
     order = np.argsort(hashes[hashes >= 0])

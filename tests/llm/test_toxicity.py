@@ -80,3 +80,22 @@ def test_model_counts_a_feature_once():
     alone = np.unique(hashes[where == 1])
     a, b = toxicity.Model(alone, np.ones(len(alone)), 0.0).scores(text)
     assert a == b
+
+
+def test_learns_from_all_of_16000_examples(spark):
+    rng = np.random.default_rng(7)
+    words = [[f"w{k}" for k in rng.integers(0, 300, 6)] + (["nasty"] if i % 7 == 0 else []) for i in range(14_000)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 7 = 0 OR doc_id % 11 = 0 AS INT) AS toxic")
+    rows = docs.join(labels, "doc_id").selectExpr("doc_id", "text", "toxic", "xxhash64(doc_id) AS place").orderBy("place").collect()
+    rows = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % toxicity.HELD_OUT]
+    assert 10_000 < len(rows) < 16_000
+    from roadloom.llm.words import word_blocks
+
+    examples = []
+    for block in word_blocks(pa.array([r.text for r in rows])):
+        hashes, where = toxicity.feature_hashes(block)
+        examples += [np.unique(hashes[where == i]) for i in range(block.texts)]
+    hashes, weights, bias = toxicity.fit(np.concatenate(examples), np.cumsum([0, *map(len, examples)]), np.array([float(r.toxic) for r in rows]))
+    model = toxicity.learn(docs, labels)
+    assert len(hashes) and np.array_equal(model.hashes, hashes) and np.allclose(model.weights, weights) and np.isclose(model.bias, bias)
