@@ -161,20 +161,21 @@ def in_groups(rows: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray],
 def by_block_pairs(rows: DataFrame, group: str, blocks: str) -> DataFrame:
     """Each row once for every pair of blocks that its own takes part in: ``cell`` names the pair, ``side`` its own side.
 
-    ``blocks`` is the number of blocks of the row's group. A pair of a block with itself has
-    side 0 only.
+    ``blocks`` is the number of blocks of the row's group. ``crossing`` tells that the pair's
+    blocks are two, also where only one of them has rows: only pairs across sides count there.
+    A pair of a block with itself has side 0 only.
     """
     return rows.withColumn("_block", F.expr(f"pmod(xxhash64(key), {blocks})")).withColumn(
         "_other", F.explode(F.expr(f"sequence(CAST(0 AS BIGINT), {blocks} - 1)"))
-    ).withColumn("side", F.expr("CAST(_block > _other AS INT)")).withColumn(
+    ).withColumn("side", F.expr("CAST(_block > _other AS INT)")).withColumn("crossing", F.expr("_block <> _other")).withColumn(
         "cell", F.xxhash64(group, F.least("_block", "_other"), F.greatest("_block", "_other"))
     ).drop("_block", "_other")
 
 
-def trees(agree: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray) -> np.ndarray:
-    """The lowest member that each member hangs together with; pairs count across sides if there are two sides."""
+def trees(agree: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray, crossing: bool) -> np.ndarray:
+    """The lowest member that each member hangs together with; if ``crossing``, only pairs across sides count."""
     n = len(side)
-    root, free, crossing = np.arange(n), np.arange(1, n), side.any()
+    root, free = np.arange(n), np.arange(1, n)
     for seed in range(n):
         if root[seed] != seed:
             continue
@@ -197,18 +198,18 @@ def ties(members: DataFrame, hashes: int, similarity: float) -> DataFrame:
 
     def work(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
         keys = np.array(table.column("key").to_pylist(), dtype=object)
-        side = table.column("side").to_numpy()
+        side, crossing = table.column("side").to_numpy(), table.column("crossing").to_numpy()
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(keys), hashes)
         sizes = np.diff(edges)
         found = []
         two = edges[:-1][sizes == 2]
         if len(two):
             alike = (signatures[two] == signatures[two + 1]).sum(axis=1) >= least
-            alike &= (side[two] != side[two + 1]) | (side[two] == 0)
+            alike &= (side[two] != side[two + 1]) | ~crossing[two]
             found += [(two[alike], two[alike] + 1)]
         for a, b in zip(edges[:-1][sizes > 2], edges[1:][sizes > 2]):
             own = signatures[a:b]
-            root = trees(lambda one, others: (own[others] == own[one]).sum(axis=1) >= least, side[a:b])
+            root = trees(lambda one, others: (own[others] == own[one]).sum(axis=1) >= least, side[a:b], crossing[a])
             tied = np.flatnonzero(root != np.arange(b - a))
             found.append((root[tied] + a, tied + a))
         left = np.concatenate([x for x, _ in found] or [np.zeros(0, int)])
@@ -216,7 +217,7 @@ def ties(members: DataFrame, hashes: int, similarity: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys[left], pa.binary()), pa.array(keys[right], pa.binary())], names=["src", "dst"])
 
     dealt = by_block_pairs(members, "bucket", f"CAST(ceil(members / {BUCKET_BLOCK}) AS BIGINT)")
-    return in_groups(dealt.select("cell", "side", "key", "signature"), "cell", work, "src BINARY, dst BINARY")
+    return in_groups(dealt.select("cell", "side", "crossing", "key", "signature"), "cell", work, "src BINARY, dst BINARY")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -244,7 +245,7 @@ def verified(sets: DataFrame, similarity: Fraction) -> DataFrame:
     def work(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
         keys = np.array(table.column("key").to_pylist(), dtype=object)
         elements = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
-        copies, side = table.column("copies").to_numpy(), table.column("side").to_numpy()
+        copies, side, crossing = (table.column(name).to_numpy() for name in ("copies", "side", "crossing"))
         links, root = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a < 2:
@@ -254,15 +255,15 @@ def verified(sets: DataFrame, similarity: Fraction) -> DataFrame:
             # common / (x + y - common) >= p / q, in whole numbers
             linked = common_counts(own) * (p + q) >= p * (sizes[:, None] + sizes[None, :])
             np.fill_diagonal(linked, False)
-            if side[a:b].any():
+            if crossing[a]:
                 linked &= side[a:b][:, None] != side[a:b][None, :]
             links[a:b] = linked @ copies[a:b]
-            root[a:b] = trees(lambda one, others: linked[one, others], side[a:b]) + a
+            root[a:b] = trees(lambda one, others: linked[one, others], side[a:b], crossing[a]) + a
         return pa.RecordBatch.from_arrays([
             pa.array(keys, pa.binary()), pa.array(links, pa.int64()), pa.array(keys[root], pa.binary()), table.column("blocks").combine_chunks(),
         ], names=list("abcd"))
 
-    dealt = by_block_pairs(sets, "component", "blocks").select("cell", "side", "key", "copies", "blocks", "elements")
+    dealt = by_block_pairs(sets, "component", "blocks").select("cell", "side", "crossing", "key", "copies", "blocks", "elements")
     return in_groups(dealt, "cell", work, "key BINARY, links BIGINT, root BINARY, blocks BIGINT")
 
 

@@ -71,6 +71,14 @@ def test_links_equal_all_pairs(spark, monkeypatch, seed, small_blocks):
     assert sorted(((r.doc_id, r.class_id, r.copy_of, r.n_links) for r in got), key=repr) == model(rows)
 
 
+def test_links_are_counted_once_where_blocks_are_empty(spark, monkeypatch):
+    monkeypatch.setattr(n, "CELL_BLOCK_ELEMENTS", 40)
+    monkeypatch.setattr(n, "BUCKET_BLOCK", 1)
+    rows = made(5, groups=12, members=3)
+    got = n.report(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.copy_of, r.n_links) for r in got), key=repr) == model(rows)
+
+
 def test_one_of_each_group_stays(spark):
     rows = made(3, groups=3, members=5)
     docs = spark.createDataFrame(rows, SCHEMA)
