@@ -9,8 +9,9 @@ curve.
 Only documents are labelled. All lines of a good document are good; of a bad one, at
 least the worst line is bad, and which others are is settled by fitting the field and
 relabelling a few times (``ROUNDS``), starting from "all bad". Fitting takes a bounded
-sample of labelled documents (``MAX_EXAMPLES``), of which lines beyond ``MAX_LINES`` per
-document are left out of the fitting only; scoring reads every line of every text.
+sample of whole labelled documents: at most ``MAX_EXAMPLES`` that have at most ``MAX_LINES``
+lines together, those with the lowest hashes. Documents that alone have more lines than that
+are not learned from; scoring reads every line of every text.
 
 A text without lines that hold anything scores like one empty good line: it shows nothing
 bad. Null counts as empty. Equal texts score equally. Without labelled examples of both
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.durable import durable, scratch
 from roadloom.llm.labelled import bucket, sample
 from roadloom.llm.rows import keep_rows, parts, release_memory
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import text_bytes, text_slices, word_blocks
 
 MAX_EXAMPLES = 8_000
-MAX_LINES = 200
+MAX_LINES = 1_600_000
 HELD_OUT = 4
 HELD_OUT_BUCKET = 2
 GOOD_SCORE = 0.7
@@ -239,8 +241,8 @@ def fit(lines: Lines, labels: np.ndarray) -> Field:
     return Field(field.weights, field.transitions, (float(a), float(b)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_examples: int = MAX_EXAMPLES) -> Field:
-    """The field of a bounded sample of the labelled documents that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_examples: int = MAX_EXAMPLES, max_lines: int = MAX_LINES) -> Field:
+    """The field of a bounded sample of the labelled documents that are not held out, each whole."""
     ship_package(docs.sparkSession)
     examples = sample(docs, labels, label, bucket("doc_id", HELD_OUT) != HELD_OUT_BUCKET, max_examples)
 
@@ -249,8 +251,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_exampl
             lines = lines_of(batch.column("text"))
             features = []
             for first, last in zip(lines.offsets[:-1], lines.offsets[1:]):
-                features.append(np.column_stack([lines.features[first:last], lines.sizes[first:last]])[:MAX_LINES].astype(np.float32).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), pa.array(features, pa.list_(pa.float32()))], names=["place", "label", "features"])
+                features.append(np.column_stack([lines.features[first:last], lines.sizes[first:last]]).astype(np.float32).ravel())
+            counts = pa.array(np.diff(lines.offsets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), counts, pa.array(features, pa.list_(pa.float32()))], names=["place", "label", "lines", "features"])
 
     def fitted(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")
@@ -262,10 +265,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_exampl
         release_memory()
         return pa.table({"value": np.concatenate([[field.fitted], field.curve, field.transitions.ravel(), field.weights])})
 
-    values = (
-        examples.mapInArrow(described, "place BIGINT, label INT, features ARRAY<FLOAT>")
-        .withColumn("every", F.lit(True)).groupBy("every").applyInArrow(fitted, "value DOUBLE").toArrow().column("value").to_numpy()
-    )
+    with scratch(docs.sparkSession):
+        fitting = durable(examples.mapInArrow(described, "place BIGINT, label INT, lines BIGINT, features ARRAY<FLOAT>"), "lines").where(F.col("lines") <= max_lines)
+        counts = fitting.select("place", "lines").toArrow().sort_by("place")
+        taken = np.flatnonzero(np.cumsum(counts.column("lines").to_numpy()) <= max_lines)
+        if len(taken):
+            fitting = fitting.where(F.col("place") <= counts.column("place")[int(taken[-1])].as_py())
+        values = (
+            fitting.select("place", "label", "features")
+            .withColumn("every", F.lit(True)).groupBy("every").applyInArrow(fitted, "value DOUBLE").toArrow().column("value").to_numpy()
+        )
     if not len(values):
         return Field(np.zeros(1), np.zeros((2, 2)), (0.0, 0.0), fitted=False)
     return Field(values[7:], values[3:7].reshape(2, 2), (values[1], values[2]), bool(values[0]))

@@ -68,3 +68,17 @@ def test_odd_rows(spark, tables):
     assert q.report(frame.limit(0), labels).count() == 0
     strange = spark.createDataFrame([(2, 1), (2, 0), (2, None), (None, 1), (99, 1)], "doc_id long, quality int")
     assert {r.score for r in q.report(frame, strange).collect()} == {1.0}
+
+
+def test_learns_from_whole_documents(spark):
+    texts = [f"A good line of text, number {i}.\n" * 250 + ("$$ ## BUY 1234 !!\n" * 60 if i % 2 else "") for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 = 0 AS INT) AS quality")
+    rows = docs.join(labels, "doc_id").selectExpr("doc_id", "text", "quality", "xxhash64(doc_id) AS place").orderBy("place").collect()
+    rows = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % q.HELD_OUT != q.HELD_OUT_BUCKET]
+    # No document is taken in part: the bound is reached inside the eleventh.
+    for bound, taken in ((q.MAX_LINES, rows), (sum(r.text.count("\n") + 1 for r in rows[:11]) - 1, rows[:10])):
+        lines = q.lines_of(pa.array([r.text for r in taken]))
+        lines = q.Lines(lines.features.astype(np.float32), lines.sizes.astype(np.float32), lines.offsets)
+        want, got = q.fit(lines, np.array([r.quality for r in taken])), q.learn(docs, labels, max_lines=bound)
+        assert np.allclose(got.weights, want.weights) and np.allclose(got.curve, want.curve) and np.allclose(got.transitions, want.transitions)
