@@ -16,7 +16,8 @@ Buckets and cells beyond a block are dealt out to pairs of blocks, so no task ho
 large group and no row stands for a pair. Nothing is capped: the work inside a group of
 different near copies grows with its pairs, as the exact number of links asks for.
 
-A null or empty text has the empty set; all such documents are one class. Ids may repeat
+A null or empty text, or one without any word (only ASCII marks, such as ``!!!``), has the
+empty set; all such documents are one class, and one of them is kept. Ids may repeat
 and may be null; every row is counted. A group's ``class_id`` is its smallest id (null
 only if all its ids are), ties inside a class are settled by the texts' hashes.
 """
