@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, chunk_prints, conversations, decontamination, line_quality, near_duplicates, sharding, toxicity, url_filter, warc
+from roadloom.llm import bpe, chunk_prints, conversations, decontamination, line_quality, near_duplicates, sharding, token_records, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,3 +154,9 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """A quality score and prediction for each document."""
     return line_quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op12_token_records")
+def op12_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    """What the record files of all documents' token ids say of each document."""
+    return token_records.report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
