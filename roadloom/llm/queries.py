@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, chunk_prints, conversations, decontamination, line_quality, near_duplicates, sharding, token_records, toxicity, url_filter, warc
+from roadloom.llm import bpe, chunk_prints, conversations, decontamination, hard_negatives, line_quality, near_duplicates, ranked_search, sharding, token_records, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,7 +156,45 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@register("op11_ranked_search", """
+    WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+         item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+         total AS (SELECT count(*) AS N, sum(len(words))::BIGINT AS L FROM doc WHERE len(words) > 0),
+         tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(words) AS t FROM doc) WHERE t IN (SELECT t FROM item) GROUP BY r, t),
+         weight AS (SELECT t, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t, N),
+         part AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(words) * N) // L))) AS s
+                  FROM tf JOIN weight USING (t) JOIN doc USING (r), total),
+         scored AS (SELECT item_id, r, sum(s)::BIGINT AS score FROM item JOIN part USING (t) GROUP BY item_id, r HAVING score > 0)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score
+    FROM scored JOIN doc USING (r) QUALIFY rank <= 10
+""")
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that match each benchmark item best."""
+    return ranked_search.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @register("op12_token_records")
 def op12_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """What the record files of all documents' token ids say of each document."""
     return token_records.report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op13_hard_negatives", """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         s AS (SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+               FROM v AS a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+         p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+               QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+""")
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives for every hundredth vector and each of its nearest rows of the same label."""
+    return hard_negatives.report(table(spark, folder, "embeddings"))
