@@ -24,11 +24,14 @@ table gives no records. Only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from functools import cache
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +44,12 @@ from roadloom.durable import fresh_path, write_and_read
 from roadloom.llm.rows import parts
 from roadloom.llm.shipping import ship_package
 
-#: Words in each of the two generations whose ids a worker remembers.
-REMEMBERED = 200_000
-#: Segments that are put together before they become an array.
-SEGMENTS = 1 << 18
+#: A worker that remembers the ids of more segments than this forgets them all.
+REMEMBERED = 500_000
+#: Segments that the library gets as one text.
+JOINED = 100
+#: Texts of more characters together are looked up one by one, so many segments at a time.
+LONG_TEXT, SEGMENTS = 1 << 22, 1 << 18
 END_ID = 0
 
 # Fixed values of the frame format.
@@ -65,6 +70,14 @@ def _byte_table() -> np.ndarray:
 _TABLE = _byte_table()
 
 
+@cache
+def _pair_table() -> np.ndarray:
+    """The remainder of each pair of bytes."""
+    pairs = np.arange(1 << 16, dtype=np.uint32)
+    first = _TABLE[pairs & 255]
+    return _TABLE[(first ^ (pairs >> np.uint32(8))) & 255] ^ (first >> np.uint32(8))
+
+
 def _apply(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
     """A linear map of 32-bit values, given as what each of their four bytes becomes."""
     out = tables[0][crc & 255]
@@ -95,10 +108,11 @@ def crc32c(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     zeros in front don't change a remainder. What the start value adds depends on the
     length alone.
     """
-    counts = np.diff(offsets)
-    lengths = counts.copy()
-    values = _TABLE[data[offsets[0] : offsets[-1]]]
-    level = 0
+    lengths = np.diff(offsets)
+    run = data[offsets[0] : offsets[-1]]
+    level = int(not (lengths & 1).any())
+    counts = lengths >> level
+    values = _pair_table()[np.ascontiguousarray(run).view("<u2")] if level else _TABLE[run]
     while len(values) and counts.max() > 1:
         odd = counts & 1
         padded = np.zeros(int(counts.sum() + odd.sum()), np.uint32)
@@ -178,44 +192,79 @@ class Encoder:
     SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 
     def __init__(self, content: str):
+        # A task has one core; threads of its own would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        described = self.tokenizer.get_added_tokens_decoder().values()
-        self.whole = any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in described)
-        self.width = 2 if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, segments: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of segments that are not known; short ones are remembered."""
-        new = {}
-        for segment in set(segments):
-            ids = self.known.get(segment) or self.before.get(segment)
-            if ids is None:
-                new[segment] = ()
-            else:
-                new[segment] = self.known[segment] = ids
-        todo = [s for s, ids in new.items() if not ids]
-        for segment, encoding in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            new[segment] = tuple(encoding.ids)
-            if len(segment) <= 64:
-                self.known[segment] = new[segment]
+        described = json.loads(content)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = described.get("added_tokens") or []
+        # Texts are cut only where a byte-level vocabulary is known to; with others they are encoded whole.
+        self.whole = (
+            (described.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or described["pre_tokenizer"].get("add_prefix_space")
+            or described.get("normalizer") is not None or any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        )
+        self.width = 2 if max(vocabulary.values(), default=0) < 1 << 16 else 4
+        # A letter of a token stands for one byte; added tokens are plain text.
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.sizes[number] = len(token)
+        for token in added:
+            self.sizes[token["id"]] = len(token["content"].encode())
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        """Segments' places in a table of ids laid end to end, and where each one's ids begin."""
+        self.known: dict[str, int] = {}
+        self.data, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, segments: list[str]) -> None:
+        """Have the library encode segments, many in one call; its tokens' sizes tell where each one ends."""
+        # After one another only segments that begin and end as their neighbours in a text would.
+        alike = [s for s in segments if s[0] in " \n" and not s[-1].isspace()]
+        others = [s for s in segments if s[0] not in " \n" or s[-1].isspace()]
+        joined = ["".join(alike[i : i + JOINED]) for i in range(0, len(alike), JOINED)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined + others, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(s.encode()) for s in alike + others])) + 1
+        self.known.update(zip(alike + others, range(len(self.known), len(self.known) + len(segments))))
+        self.starts = np.concatenate([self.starts, len(self.data) + stops])
+        self.data = np.concatenate([self.data, ids])
+
+    def _looked_up(self, segments: list[list[str]]) -> list[np.ndarray]:
+        """The ids of texts, given as their segments."""
+        flat = list(chain.from_iterable(segments))
+        slots = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(slots < 0).tolist()
+        if missing:
+            self._learn(list({flat[i] for i in missing}))
+            slots[missing] = [self.known[flat[i]] for i in missing]
+        sizes = self.starts[slots + 1] - self.starts[slots]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.data[np.repeat(self.starts[slots] - stops[:-1], sizes) + np.arange(stops[-1])]
+        texts = stops[np.cumsum([0, *map(len, segments)])]
         if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}
-        return new
+            self._start_anew()
+        return [ids[a:b] for a, b in zip(texts[:-1], texts[1:])]
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of some texts, which are looked up together unless they are very long."""
         if self.whole:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        found, arrays = self.SEGMENT.finditer(text), []
+            return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) for text in texts]
+        if sum(map(len, texts)) > LONG_TEXT:
+            return [self._ids_of_long(text) for text in texts]
+        return self._looked_up(list(map(self.SEGMENT.findall, texts)))
+
+    def _ids_of_long(self, text: str) -> np.ndarray:
+        """The ids of one text, some of its segments at a time."""
+        found, arrays = self.SEGMENT.finditer(text), [np.zeros(0, np.uint32)]
         while segments := [m.group() for m in islice(found, SEGMENTS)]:
-            known = self.known
-            unknown = [s for s in segments if s not in known]
-            if unknown:
-                known = {**{s: known[s] for s in set(segments).difference(unknown)}, **self._learn(unknown)}
-            arrays.append(np.fromiter(chain.from_iterable([known[s] for s in segments]), np.uint32))
-        return np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
+            arrays += self._looked_up([segments])
+        return np.concatenate(arrays)
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.ids_of([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -254,8 +303,9 @@ def write_records(
         end = np.array([end_id], np.uint32)
         for part in parts(batches, 1):
             rows = []
-            for name, content in zip(part.column(0).to_pylist(), part.column(1)):
-                ids = np.concatenate([words.ids(content.as_py() or ""), end])
+            texts = [text or "" for text in part.column(1).to_pylist()]
+            for name, ids in zip(part.column(0).to_pylist(), words.ids_of(texts)):
+                ids = np.concatenate([ids, end])
                 rows.append((name, before, offset, file, ids, words.width))
                 before += len(ids)
                 offset += frame_size(len(ids), words.width) + len(mark)

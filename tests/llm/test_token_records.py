@@ -40,14 +40,24 @@ def test_checksums():
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
     got = tr.crc32c(np.frombuffer(b"".join(pieces), np.uint8), offsets)
     assert got.tolist() == [plain_crc32c(p) for p in pieces]
+    even = [p[: len(p) // 2 * 2] for p in pieces]
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in even])])
+    got = tr.crc32c(np.frombuffer(b"".join(even), np.uint8), offsets)
+    assert got.tolist() == [plain_crc32c(p) for p in even]
 
 
-def test_encoder_equals_library():
+def test_encoder_equals_library(monkeypatch):
     rng = random.Random(6)
     alphabet = " \n\t\r\x0b\x1c\x85   ab'sl1.é漢<|>"
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
     words = tr.Encoder(open(PATH, encoding="utf-8").read())
     assert [[*words.ids(t).tolist(), 0] for t in texts] == library(texts)
+    assert [[*ids.tolist(), 0] for ids in words.ids_of(texts)] == library(texts)
+    monkeypatch.setattr(tr, "LONG_TEXT", 100)
+    monkeypatch.setattr(tr, "SEGMENTS", 3)
+    monkeypatch.setattr(tr, "JOINED", 2)
+    monkeypatch.setattr(tr, "REMEMBERED", 50)
+    assert [[*ids.tolist(), 0] for ids in words.ids_of(texts)] == library(texts)
 
 
 def rows():
