@@ -12,7 +12,11 @@ Three ways to the same costs:
               leaves larger ones to ``stepwise``.
 
 The loop carries costs only, as primitive hash aggregates; hops are found in
-one pass at the end. Rows of NULL or infinite cost and rows that lead an edge to
+one pass at the end. A round joins what changed with all paths and all paths with
+what changed, never all with all again. Rows that an earlier closing has already
+closed with each other say so (``Closed``) and are not joined with each other at
+all, so closing a table again costs about its changed rows times their degree.
+Nodes where very many pairs meet are split on both sides of the join. Rows of NULL or infinite cost and rows that lead an edge to
 itself never take part in a path.
 With equal costs the lowest hop wins; on cycles of zero-cost arcs the hops of
 equally cheap pairs may refer to each other.
@@ -21,6 +25,7 @@ equally cheap pairs may refer to each other.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from roadloom.durable import Rounds, durable, fresh_path, write_and_read
 from roadloom.functions.costs import usable_sql
 from roadloom.operators.paths import CELLED, PathColumns, cheapest
-from roadloom.operators.skew import HOT_ROWS, SLOT, copy_to_slots, deal_out, hot_keys
+from roadloom.operators.skew import GRID_SIDE, meeting_join
 
 GROWTH = 8.0
 REWRITE_ROWS = 10_000_000
@@ -45,6 +50,20 @@ class NotConverged(RuntimeError):
     """The round limit was reached while paths were still improving."""
 
 
+@dataclass(frozen=True)
+class Closed:
+    """Two columns that tell what an earlier closing has done for the rows.
+
+    Rows with the same value in ``group`` were closed with each other and have not changed
+    since. ``stepped`` has the same value where the row was as it is now when that closing
+    began, so that hops over it are known as well; else it is NULL. Both are NULL in rows
+    the closing knows nothing about.
+    """
+
+    group: str
+    stepped: str
+
+
 def closure(
     paths: DataFrame,
     columns: PathColumns = CELLED,
@@ -53,11 +72,13 @@ def closure(
     hop_rule: str = "last",
     about_source: Sequence[str] = (),
     about_target: Sequence[str] = (),
+    closed_before: Sequence[Closed] = (),
+    carried: Sequence[str] = (),
     max_rounds: int | None = None,
     allow_partial: bool = False,
     keep_unusable: bool = False,
     growth: float = GROWTH,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = GRID_SIDE,
     rewrite_rows: int = REWRITE_ROWS,
     grouped_rows: int = GROUPED_ROWS,
 ) -> DataFrame:
@@ -70,28 +91,36 @@ def closure(
 
     ``about_source`` and ``about_target`` are columns that depend on the source
     or the target alone; composed paths inherit them, which saves joining them
-    on again. ``keep_unusable`` keeps input rows that cannot take part as long
-    as no path replaces them. ``max_rounds`` limits the rounds of the joins;
+    on again. ``carried`` columns stay with the rows whose cost does not change and
+    are NULL in all others. ``keep_unusable`` keeps input rows that cannot take part
+    as long as no path replaces them. ``max_rounds`` limits the rounds of the joins;
     reaching it raises ``NotConverged`` unless ``allow_partial``.
+
+    ``closed_before`` names what earlier closings have done; such tables have one row per
+    key, and hops are found with the ``last`` rule. A node where more than ``hot_rows``
+    squared pairs meet is split.
     """
+    if closed_before and hop_rule != "last":
+        raise ValueError("closings are remembered for the last hop only")
     if method == "grouped":
         if hop_rule != "last":
             raise ValueError("the grouped method stores the last hop")
         return _by_group_size(
             paths, columns, grouped_rows, about_source=about_source, about_target=about_target,
+            closed_before=closed_before, carried=carried,
             keep_unusable=keep_unusable, max_rounds=max_rounds, allow_partial=allow_partial,
             growth=growth, hot_rows=hot_rows, rewrite_rows=rewrite_rows,
         )
-    about = [*about_source, *about_target]
-    arcs = paths.select(*columns.all, *about)
+    about, marks = [*about_source, *about_target], [name for c in closed_before for name in (c.group, c.stepped)]
+    arcs = paths.select(*columns.all, *about, *marks, *carried)
     if not keep_unusable:
         arcs = arcs.where(_live(columns))
     arcs, seen = write_and_read(
-        cheapest(arcs, columns, about), fresh_path(paths.sparkSession, "arcs"), rows=F.expr("count(*)")
+        cheapest(arcs, columns, [*about, *marks], carried), fresh_path(paths.sparkSession, "arcs"), rows=F.expr("count(*)")
     )
     if allow_partial and max_rounds == 0:
-        return arcs
-    loop = _Relaxation(arcs, seen["rows"], columns, about_source, about_target, hot_rows, rewrite_rows)
+        return arcs.drop(*marks)
+    loop = _Relaxation(arcs, seen["rows"], columns, about_source, about_target, closed_before, carried, hot_rows, rewrite_rows)
     # Finding the hops extends the paths once more: it is the last round.
     limit = max_rounds - 1 if allow_partial and max_rounds else max_rounds
     costs = loop.closed_costs(float("inf") if method == "doubling" else growth, limit, allow_partial)
@@ -103,84 +132,105 @@ def _live(columns: PathColumns) -> str:
     return f"({usable_sql(columns.cost)} AND {columns.source} <> {columns.target})"
 
 
-class _Steps:
-    """Paths that others are extended by, split where one node has too many."""
-
-    def __init__(self, table: DataFrame, rows: int, columns: PathColumns, hot_rows: int):
-        self.at_source = [columns.source, *columns.groups]
-        self.at_target = [columns.target, *columns.groups]
-        self.table, self.hubs = table, None
-        # No node can have more than hot_rows paths when there are no more in all.
-        if rows > hot_rows:
-            self.hubs = hot_keys(table, self.at_source, hot_rows)
-        if self.hubs is not None:
-            self.hubs = durable(self.hubs, "hubs")
-            self.table = durable(deal_out(table, self.hubs, self.at_source, [columns.target]), "dealt")
-            self.hubs = self.hubs.withColumnRenamed(columns.source, columns.target)
-
-    def beside(self, left: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Left paths, copied to the slots of the node they end at, and the steps."""
-        if self.hubs is None:
-            return left, self.table
-        return copy_to_slots(left, self.hubs, self.at_target), self.table
-
-
 class _Relaxation:
     """The rounds of one closure over a stored table of arcs."""
 
-    def __init__(self, arcs, rows, columns, about_source, about_target, hot_rows, rewrite_rows):
+    def __init__(self, arcs, rows, columns, about_source, about_target, closed_before, carried, hot_rows, rewrite_rows):
         self.arcs = arcs
         self.rows = rows
         self.columns = columns
         self.about_source = list(about_source)
         self.about_target = list(about_target)
         self.about = [*about_source, *about_target]
+        self.groups_before = [c.group for c in closed_before]
+        self.stepped_before = [c.stepped for c in closed_before]
+        self.carried = list(carried)
         self.hot_rows = hot_rows
         self.rewrite_rows = rewrite_rows
+        self.closed_rows = rows
         self.live_arcs = arcs.where(_live(columns))
 
-    def _steps(self, table: DataFrame, rows: int) -> _Steps:
-        return _Steps(table, rows, self.columns, self.hot_rows)
-
     def _costs_only(self, paths: DataFrame) -> DataFrame:
-        return paths.select(*self.columns.keys, self.columns.cost, *self.about)
+        return paths.select(*self.columns.keys, self.columns.cost, *self.about, *self.groups_before)
+
+    def chain(self, left: DataFrame, right: DataFrame, *extra: str, pairs: int | None = None, unless: str = "false") -> DataFrame:
+        """Left paths joined to the right paths that start where they end.
 
-    def chain(self, left: DataFrame, right: DataFrame, *extra: str) -> DataFrame:
-        """Left paths joined to the right paths that start where they end."""
+        Columns named ``_left_*`` and ``_right_*`` go along for ``extra`` and ``unless``;
+        ``pairs`` is the most that can meet in one node.
+        """
         c = self.columns
         left = left.selectExpr(
             c.source, *c.groups, f"{c.target} AS _mid", f"{c.cost} AS _left_cost", *self.about_source,
-            *[name for name in left.columns if name in (SLOT, "_left_hop", "_left_changed")],
+            *[name for name in left.columns if name.startswith("_left_")],
         )
         right = right.selectExpr(
             c.target, *c.groups, f"{c.source} AS _mid", f"{c.cost} AS _right_cost", *self.about_target,
-            *[name for name in right.columns if name in (SLOT, "_right_changed")],
+            *[name for name in right.columns if name.startswith("_right_")],
         )
-        keys = ["_mid", *c.groups, *([SLOT] if SLOT in left.columns else [])]
-        return left.join(right, keys).where(f"{c.source} <> {c.target}").selectExpr(
+        met = meeting_join(left, right, ["_mid", *c.groups], [c.source], [c.target], self.hot_rows, pairs)
+        return met.where(f"{c.source} <> {c.target} AND NOT ({unless})").selectExpr(
             *c.keys, f"_left_cost + _right_cost AS {c.cost}", *self.about, *extra
         )
 
+    def _unmet(self, left: DataFrame, right: DataFrame, left_marks: list[str], right_marks: list[str], *extra: str, pairs: int) -> DataFrame:
+        """Chains of all pairs but those that an earlier closing has met.
+
+        Rows without marks meet all others. Of the rest, only nodes whose rows do not all
+        come from one group are joined.
+        """
+        c = self.columns
+        if not left_marks:
+            return self.chain(left, right, *extra, pairs=pairs)
+        new_left, new_right = (f"coalesce({', '.join(marks)}) IS NULL" for marks in (left_marks, right_marks))
+        met = self.chain(left.where(new_left), right, *extra, pairs=pairs).unionByName(
+            self.chain(left.where(f"NOT ({new_left})"), right.where(new_right), *extra, pairs=pairs)
+        )
+        left, right = left.where(f"NOT ({new_left})"), right.where(f"NOT ({new_right})")
+        numbered = range(len(left_marks))
+        ends = left.selectExpr(f"{c.target} AS _node", *c.groups, *[f"{m} AS _mark{i}" for i, m in zip(numbered, left_marks)]).unionByName(
+            right.selectExpr(f"{c.source} AS _node", *c.groups, *[f"{m} AS _mark{i}" for i, m in zip(numbered, right_marks)])
+        )
+        told = [f"{f}(_mark{i}) AS _{f}{i}" for i in numbered for f in ("min", "max", "count")]
+        one_group = " OR ".join(f"(_count{i} = _rows AND _min{i} = _max{i})" for i in numbered)
+        mixed, seen = write_and_read(
+            ends.groupBy("_node", *c.groups).agg(F.expr("count(*) AS _rows"), *map(F.expr, told)).where(f"NOT ({one_group})").select("_node", *c.groups),
+            fresh_path(left.sparkSession, "mixed"), rows=F.expr("count(*)"),
+        )
+        if not seen["rows"]:
+            return met
+        left = left.join(mixed.withColumnRenamed("_node", c.target), [c.target, *c.groups], "left_semi").withColumnsRenamed(
+            {m: f"_left_mark{i}" for i, m in zip(numbered, left_marks)})
+        right = right.join(mixed.withColumnRenamed("_node", c.source), [c.source, *c.groups], "left_semi").withColumnsRenamed(
+            {m: f"_right_mark{i}" for i, m in zip(numbered, right_marks)})
+        known = " OR ".join(f"coalesce(_left_mark{i} = _right_mark{i}, false)" for i in numbered)
+        return met.unionByName(self.chain(left, right, *extra, pairs=pairs, unless=known))
+
     def _merged(self, state: DataFrame, candidates: DataFrame) -> DataFrame:
         """Old state and candidates reduced to the minimum, improvements marked."""
         c = self.columns
         names = [*c.keys, c.cost, *self.about]
-        both = state.selectExpr(*names, f"{c.cost} AS {OLD}").unionByName(
-            candidates.selectExpr(*names, f"CAST(NULL AS {state.schema[c.cost].dataType.simpleString()}) AS {OLD}")
+
+        def null(name: str) -> str:
+            return f"CAST(NULL AS {state.schema[name].dataType.simpleString()})"
+
+        both = state.selectExpr(*names, *self.groups_before, f"{c.cost} AS {OLD}").unionByName(
+            candidates.selectExpr(*names, *[f"{null(name)} AS {name}" for name in self.groups_before], f"{null(c.cost)} AS {OLD}")
         )
         lowest = both.groupBy(*c.keys).agg(
-            *[F.expr(f"min({name}) AS {name}") for name in [c.cost, OLD, *self.about]]
+            *[F.expr(f"min({name}) AS {name}") for name in [c.cost, OLD, *self.about, *self.groups_before]]
         )
-        better = f"{_live(c)} AND ({OLD} IS NULL OR {c.cost} < {OLD})"
-        return lowest.selectExpr(*names, f"{better} AS {CHANGED}")
+        better = f"({_live(c)} AND ({OLD} IS NULL OR {c.cost} < {OLD}))"
+        return lowest.selectExpr(*names, *[f"IF({better}, NULL, {name}) AS {name}" for name in self.groups_before], f"{better} AS {CHANGED}")
 
-    def _doubled(self, state: DataFrame, rows: int) -> DataFrame:
+    def _doubled(self, state: DataFrame, rows: int, changed: int, first: bool) -> DataFrame:
         """Known paths chained with known paths, unless both were there a round ago."""
         known = state.where(_live(self.columns))
-        right = self._steps(known.withColumnRenamed(CHANGED, "_right_changed"), rows)
-        left = known.withColumnRenamed(CHANGED, "_left_changed")
-        chained = self.chain(*right.beside(left), "_left_changed", "_right_changed")
-        return chained.where("_left_changed OR _right_changed")
+        pairs = changed * self._most_at_a_node(known, changed, rows)
+        if first:
+            return self._unmet(known, known, self.groups_before, self.groups_before, pairs=pairs)
+        new, old = known.where(CHANGED), known.where(f"NOT {CHANGED}")
+        return self.chain(new, known, pairs=pairs).unionByName(self.chain(old, new, pairs=pairs))
 
     def closed_costs(self, growth: float, limit: int | None, allow_partial: bool) -> DataFrame:
         """Rounds until no cost improves.
@@ -191,32 +241,45 @@ class _Relaxation:
         A table beyond ``rewrite_rows`` is left in place from then on.
         """
         state = self._costs_only(self.arcs).selectExpr("*", f"{_live(self.columns)} AS {CHANGED}")
-        store, rows, steps, done = Rounds(state.sparkSession, "paths"), self.rows, None, 0
+        store, rows, changed, steps, done = Rounds(state.sparkSession, "paths"), self.rows, self.rows, None, 0
         while limit is None or done < limit:
             if steps is None:
-                candidates = self._doubled(state, rows)
+                candidates = self._doubled(state, rows, changed, done == 0)
             else:
-                candidates = self.chain(*steps.beside(state.where(CHANGED)))
+                candidates = self.chain(state.where(CHANGED), steps, pairs=changed * most)
             following, seen = store.save(
                 self._merged(state, candidates),
                 improved=F.expr(f"count_if({CHANGED})"), rows=F.expr("count(*)"),
             )
             done += 1
+            self.closed_rows = seen["rows"]
             if seen["improved"] == 0:
                 store.drop_superseded()
                 return following
             if steps is None and seen["rows"] > growth * self.rows:
                 store.keep_superseded()
-                steps = self._steps(state.where(_live(self.columns)), rows)
-            state, rows = following, seen["rows"]
+                steps = state.where(_live(self.columns))
+                most = self._most_at_a_node(steps, float("inf"), rows)
+            state, rows, changed = following, seen["rows"], seen["improved"]
             if steps is not None and rows > self.rewrite_rows:
                 store.drop_superseded()
-                return self._appended(store.newest_path, state, steps, done, limit, allow_partial)
+                return self._appended(store.newest_path, state, steps, most, changed, done, limit, allow_partial)
         if not allow_partial:
             raise NotConverged(f"paths still improved in round {done}")
         return state
 
-    def _appended(self, path, state, steps, done, limit, allow_partial) -> DataFrame:
+    def _most_at_a_node(self, table: DataFrame, others: float, rows: int) -> int:
+        """The most rows that begin or end in one node, or a bound that is good enough for ``others`` rows."""
+        if others * rows <= self.hot_rows**2 or rows <= self.hot_rows:
+            return rows
+        c = self.columns
+        ends = table.selectExpr(f"{c.source} AS _node", *c.groups, "1 AS _out", "0 AS _in").unionByName(
+            table.selectExpr(f"{c.target} AS _node", *c.groups, "0 AS _out", "1 AS _in")
+        )
+        counts = ends.groupBy("_node", *c.groups).agg(F.greatest(F.sum("_out"), F.sum("_in")).alias("_rows"))
+        return counts.agg(F.max("_rows")).first()[0] or 0
+
+    def _appended(self, path, state, steps, most, changed, done, limit, allow_partial) -> DataFrame:
         """Further rounds that only add their improvements to the stored table.
 
         A candidate counts unless a stored row of its pair costs no more. Few
@@ -225,51 +288,57 @@ class _Relaxation:
         """
         c, spark = self.columns, state.sparkSession
         paths, frontier = [path], state.where(CHANGED)
+        # What is known of a pair from before only holds for its first cost.
         lowest = [F.expr(f"min({name}) AS {name}") for name in [c.cost, *self.about]]
+        unmarked = [F.lit(None).cast(state.schema[name].dataType).alias(name) for name in self.groups_before]
         while limit is None or done < limit:
-            found = durable(self.chain(*steps.beside(frontier)).groupBy(*c.keys).agg(*lowest), "found")
+            candidates = self.chain(frontier, steps, pairs=changed * most)
+            found = durable(candidates.groupBy(*c.keys).agg(*lowest), "found")
             known = spark.read.schema(state.schema).parquet(*paths)
             beaten = (
                 known.join(found.selectExpr(*c.keys, f"{c.cost} AS _found"), c.keys)
                 .where(f"{c.cost} <= _found")
                 .select(*c.keys)
             )
-            better = found.join(beaten, c.keys, "left_anti").selectExpr("*", f"true AS {CHANGED}")
+            better = found.join(beaten, c.keys, "left_anti").select("*", *unmarked, F.lit(True).alias(CHANGED)).select(*state.columns)
             paths.append(fresh_path(spark, "improved"))
             frontier, seen = write_and_read(better, paths[-1], rows=F.expr("count(*)"))
-            done += 1
-            if seen["rows"] == 0:
+            done, changed = done + 1, seen["rows"]
+            self.closed_rows += changed
+            if changed == 0:
                 break
         else:
             if not allow_partial:
                 raise NotConverged(f"paths still improved in round {done}")
         known = spark.read.schema(state.schema).parquet(*paths)
-        return durable(known.groupBy(*c.keys).agg(*lowest), "paths")
+        marks = [F.expr(f"min_by({name}, {c.cost}) AS {name}") for name in self.groups_before]
+        return durable(known.groupBy(*c.keys).agg(*lowest, *marks), "paths")
 
     def with_hops(self, costs: DataFrame, hop_rule: str) -> DataFrame:
         """The closed costs with the lowest hop among all equally cheap last joins."""
         c = self.columns
         known = self._costs_only(costs.where(_live(c)))
         middle = f"_mid AS {c.hop}"
-        if hop_rule == "last":
-            composed = self.chain(*self._steps(self.live_arcs, self.rows).beside(known), middle)
-        elif hop_rule == "first":
-            composed = self.chain(
-                self.live_arcs.withColumnRenamed(c.hop, "_left_hop"), known,
-                f"_left_hop AS {c.hop}",
-            )
-        elif hop_rule == "middle":
-            composed = self.chain(known, known, middle)
+        if hop_rule == "middle":
+            composed = self.chain(known, known, middle, pairs=self.closed_rows * self._most_at_a_node(known, self.closed_rows, self.closed_rows))
         else:
-            raise ValueError(f"unknown hop rule {hop_rule!r}")
+            pairs = self.closed_rows * self._most_at_a_node(self.live_arcs, self.closed_rows, self.rows)
+            if hop_rule == "last":
+                composed = self._unmet(known, self.live_arcs, self.groups_before, self.stepped_before, middle, pairs=pairs)
+            elif hop_rule == "first":
+                composed = self.chain(self.live_arcs.withColumnRenamed(c.hop, "_left_hop"), known, f"_left_hop AS {c.hop}", pairs=pairs)
+            else:
+                raise ValueError(f"unknown hop rule {hop_rule!r}")
+        names = [*c.all, *self.about, *self.carried]
+        nothing = [f"CAST(NULL AS {self.arcs.schema[name].dataType.simpleString()}) AS {name}" for name in self.carried]
         # A key has one candidate per node before its target at most, so placing
         # the rows by key first lets both aggregations run without a shuffle.
-        rows = self.arcs.unionByName(composed.select(*self.arcs.columns)).repartition(*c.keys)
-        return cheapest(rows, c, self.about).select(*self.arcs.columns)
+        rows = self.arcs.select(*names).unionByName(composed.selectExpr("*", *nothing).select(*names)).repartition(*c.keys)
+        return cheapest(rows, c, self.about, self.carried).select(*names)
 
 
 def _by_group_size(
-    paths, columns, grouped_rows, *, about_source, about_target, keep_unusable, max_rounds, **joins
+    paths, columns, grouped_rows, *, about_source, about_target, closed_before, carried, keep_unusable, max_rounds, **joins
 ) -> DataFrame:
     """Small groups in grouped-map tasks, groups beyond ``grouped_rows`` by joins.
 
@@ -280,12 +349,13 @@ def _by_group_size(
     groups = list(columns.groups)
     if not groups:
         raise ValueError("the grouped method needs group columns")
-    by_joins = dict(about_source=about_source, about_target=about_target, **joins)
+    by_joins = dict(about_source=about_source, about_target=about_target, closed_before=closed_before, carried=carried, **joins)
     if max_rounds is not None:
         return closure(paths, columns, keep_unusable=keep_unusable, max_rounds=max_rounds, **by_joins)
-    about = [*about_source, *about_target]
+    about, marks = [*about_source, *about_target], [name for c in closed_before for name in (c.group, c.stepped)]
+    names = [*columns.all, *about, *carried]
     chained = " AND ".join([f"coalesce({_live(columns)}, false)", *(f"{name} IS NOT NULL" for name in groups)])
-    given = paths.select(*columns.all, *about)
+    given = paths.select(*columns.all, *about, *marks, *carried)
     if not keep_unusable:
         given = given.where(_live(columns))
     stored, seen = write_and_read(given, fresh_path(paths.sparkSession, "paths"), beside=F.expr(f"count_if(NOT ({chained}))"))
@@ -296,18 +366,19 @@ def _by_group_size(
         f"coalesce(sum(IF(_rows > {grouped_rows}, 0, _rows * _rows)), 0) AS pairs",
     ).first()
     buckets = measured["pairs"] // BUCKET_PAIRS + 1
+    solver = _Solver(columns, about_source, about_target, closed_before, carried)
     if not measured["large"]:
-        closed = _solve_groups(rows, columns, about_source, about_target, buckets)
+        closed = solver.solved(rows, buckets)
     else:
         large = durable(sizes.where(f"_rows > {grouped_rows}").select(*groups), "large-groups")
-        closed_by_joins = closure(rows.join(large, groups, "left_semi"), columns, **by_joins).select(*rows.columns)
+        closed_by_joins = closure(rows.join(large, groups, "left_semi"), columns, **by_joins).select(*names)
         small = rows.join(large, groups, "left_anti").select(*rows.columns)
-        closed = _solve_groups(small, columns, about_source, about_target, buckets).unionByName(closed_by_joins)
+        closed = solver.solved(small, buckets).unionByName(closed_by_joins)
     if not seen["beside"]:
         return closed
     closed = durable(closed, "closed")
-    beside = cheapest(stored.where(f"NOT ({chained})"), columns, about).select(*rows.columns)
-    return closed.unionByName(beside.join(closed.select(*columns.keys), columns.keys, "left_anti").select(*rows.columns))
+    beside = cheapest(stored.where(f"NOT ({chained})"), columns, about, carried).select(*names)
+    return closed.unionByName(beside.join(closed.select(*columns.keys), columns.keys, "left_anti").select(*names))
 
 
 def _codes(values: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -320,81 +391,145 @@ def _codes(values: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
     return place[encoded.indices.to_numpy()], encoded.dictionary.take(order)
 
 
-def _solve_groups(rows: DataFrame, columns: PathColumns, about_source, about_target, buckets) -> DataFrame:
-    """Close groups of bounded size, many small ones per grouped-map call.
+def _first_of_each(key, *tie_breaks):
+    """Positions of the lowest row per key, in key order."""
+    order = np.lexsort((*reversed(tie_breaks), key))
+    return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
+
+
+class _Solver:
+    """Closes groups of bounded size, many small ones per grouped-map call.
 
     All rows can be part of a path. Groups are dealt out to buckets whose pairs stay near
     ``BUCKET_PAIRS``. A call runs the rounds of ``stepwise`` on arrays, for all its groups
     at once. Ids and groups may have any type: they are numbered in their order, never
     turned into other numbers.
     """
-    source, target, hop, cost = columns.source, columns.target, columns.hop, columns.cost
-    groups, names = list(columns.groups), rows.columns
-    with_source, with_target = [source, *about_source, *groups], [target, *about_target]
 
-    def first_of_each(key, *tie_breaks):
-        """Positions of the lowest row per key, in key order."""
-        order = np.lexsort((*reversed(tie_breaks), key))
-        return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
+    def __init__(self, columns: PathColumns, about_source, about_target, closed_before, carried):
+        self.columns, self.closed_before, self.carried = columns, list(closed_before), list(carried)
+        self.with_source = [columns.source, *about_source, *columns.groups]
+        self.with_target = [columns.target, *about_target]
 
-    def solve(table: pa.Table) -> pa.Table:
+    def solved(self, rows: DataFrame, buckets: int) -> DataFrame:
+        marks = [name for c in self.closed_before for name in (c.group, c.stepped)]
+        bucket = F.expr(f"pmod(hash({', '.join(self.columns.groups)}), {buckets})")
+        wanted = rows.drop(*marks).schema
+        return rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(lambda table: self._solve(table, wanted.names), wanted)
+
+    def _solve(self, table: pa.Table, names: list[str]) -> pa.Table:
+        c = self.columns
         # Ids and (group, id) nodes become positions in sorted lists, so the
         # lower position is the lower id.
         group = np.zeros(table.num_rows, np.int64)
-        for name in groups:
+        for name in c.groups:
             code, values = _codes(table[name])
             group = np.unique(group * len(values) + code, return_inverse=True)[1]
-        ends = pa.concat_arrays([table[name].combine_chunks() for name in (source, target, hop)])
+        ends = pa.concat_arrays([table[name].combine_chunks() for name in (c.source, c.target, c.hop)])
         codes, ids = _codes(ends)
         source_id, target_id, hop_id = codes.reshape(3, -1)
         node_keys = np.concatenate([group * len(ids) + source_id, group * len(ids) + target_id])
         nodes, positions = np.unique(node_keys, return_inverse=True)
         start, end = positions.reshape(2, -1)
         id_of, n = nodes % len(ids), len(nodes)
-        costs = table[cost].to_numpy()
+        costs = table[c.cost].to_numpy()
         row_of_start, row_of_end = np.zeros(n, np.int64), np.zeros(n, np.int64)
         row_of_start[start] = row_of_end[end] = np.arange(len(start))
 
-        arcs = first_of_each(start * n + end, costs, hop_id)
-        arc_end, arc_cost = end[arcs], costs[arcs]
-        slices = np.searchsorted(start[arcs], np.arange(n + 1))
-
-        def extended(key, price):
-            """Every path continued by every arc: key, cost and meeting node."""
-            origin, middle = key // n, key % n
-            degree = slices[middle + 1] - slices[middle]
-            path = np.repeat(np.arange(len(key)), degree)
-            skipped = np.repeat(np.cumsum(degree) - degree, degree)
-            arc = np.arange(len(path)) - skipped + slices[middle[path]]
-            ok = origin[path] != arc_end[arc]
-            path, arc = path[ok], arc[ok]
-            return origin[path] * n + arc_end[arc], price[path] + arc_cost[arc], middle[path]
-
-        known, best = start[arcs] * n + arc_end, arc_cost
-        frontier, price = known, best
-        while len(frontier):
-            key, price, _ = extended(frontier, price)
-            lowest = first_of_each(key, price)
+        arcs = _first_of_each(start * n + end, costs, hop_id)
+        arc_key, arc_cost = (start * n + end)[arcs], costs[arcs]
+        grouped, stepped = self._marks(table, arcs)
+        chains = _Chains(arc_key, arc_cost, n)
+        known, best = arc_key, arc_cost
+        key, price, _ = chains.unmet(known, best, grouped, grouped)
+        while len(key):
+            lowest = _first_of_each(key, price)
             key, price = key[lowest], price[lowest]
             place = np.minimum(np.searchsorted(known, key), len(known) - 1)
             old = np.where(known[place] == key, best[place], np.inf)
-            frontier, price = key[price < old], price[price < old]
-            merged, value = np.concatenate([frontier, known]), np.concatenate([price, best])
-            kept = first_of_each(merged, value)
+            key, price = key[price < old], price[price < old]
+            merged, value = np.concatenate([key, known]), np.concatenate([price, best])
+            kept = _first_of_each(merged, value)
             known, best = merged[kept], value[kept]
+            key, price, _ = chains.extended(key, price)
 
-        key, price, middle = extended(known, best)
-        key = np.concatenate([start[arcs] * n + arc_end, key])
-        price = np.concatenate([arc_cost, price])
+        place = np.minimum(np.searchsorted(arc_key, known), len(arc_key) - 1)
+        unchanged = (arc_key[place] == known) & (arc_cost[place] == best)
+        left = [np.where(unchanged, mark[place], -1) for mark in grouped]
+        key, price, middle = chains.unmet(known, best, left, stepped)
+        key, price = np.concatenate([arc_key, key]), np.concatenate([arc_cost, price])
         via = np.concatenate([hop_id[arcs], id_of[middle]])
-        kept = first_of_each(key, price, via)
-        found, via = key[kept], via[kept]
+        via = via[_first_of_each(key, price, via)]
 
-        solved = {name: table[name].take(row_of_start[found // n]) for name in with_source}
-        solved |= {name: table[name].take(row_of_end[found % n]) for name in with_target}
-        solved[cost] = pa.array(best)
-        solved[hop] = ids.take(pa.array(via))
+        solved = {name: table[name].take(row_of_start[known // n]) for name in self.with_source}
+        solved |= {name: table[name].take(row_of_end[known % n]) for name in self.with_target}
+        solved |= {name: table[name].take(pa.array(arcs[place], mask=~unchanged)) for name in self.carried}
+        solved[c.cost] = pa.array(best)
+        solved[c.hop] = ids.take(pa.array(via))
         return pa.table({name: solved[name].cast(table.schema.field(name).type) for name in names})
 
-    bucket = F.expr(f"pmod(hash({', '.join(groups)}), {buckets})")
-    return rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(solve, rows.schema)
+    def _marks(self, table: pa.Table, arcs: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The arcs' marks as numbers, -1 for none."""
+        grouped, stepped = [], []
+        for c in self.closed_before:
+            both = pa.concat_arrays([table[name].combine_chunks() for name in (c.group, c.stepped)])
+            codes = np.where(both.is_null().to_numpy(zero_copy_only=False), -1, _codes(both)[0]).reshape(2, -1)
+            grouped.append(codes[0][arcs])
+            stepped.append(codes[1][arcs])
+        return grouped, stepped
+
+
+class _Chains:
+    """Paths continued by arcs, on arrays; a key is the start times the number of nodes, plus the end."""
+
+    def __init__(self, arc_key: np.ndarray, arc_cost: np.ndarray, nodes: int):
+        self.n, self.key, self.cost = nodes, arc_key, arc_cost
+        self.begins = self._begins(np.arange(len(arc_key)))
+
+    def _begins(self, arcs: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.key[arcs] // self.n, np.arange(self.n + 1))
+
+    def _pairs(self, key, arcs=None):
+        """Positions of paths and arcs that meet and do not return to the path's start."""
+        begins = self.begins if arcs is None else self._begins(arcs)
+        middle = key % self.n
+        degree = begins[middle + 1] - begins[middle]
+        path = np.repeat(np.arange(len(key)), degree)
+        arc = np.arange(len(path)) - np.repeat(np.cumsum(degree) - degree, degree) + begins[middle[path]]
+        arc = arc if arcs is None else arcs[arc]
+        ok = key[path] // self.n != self.key[arc] % self.n
+        return path[ok], arc[ok]
+
+    def _made(self, key, price, path, arc):
+        return key[path] // self.n * self.n + self.key[arc] % self.n, price[path] + self.cost[arc], key[path] % self.n
+
+    def extended(self, key, price):
+        """Every path continued by every arc: key, cost and meeting node."""
+        return self._made(key, price, *self._pairs(key))
+
+    def unmet(self, key, price, left, right):
+        """As ``extended``, without the pairs that an earlier closing has met."""
+        if not left:
+            return self.extended(key, price)
+        new_path, new_arc = np.max(left, axis=0) < 0, np.max(right, axis=0) < 0
+        low, high = (np.full((len(left), self.n), value) for value in (np.iinfo(np.int64).max, -1))
+        for i, (path_marks, arc_marks) in enumerate(zip(left, right)):
+            for nodes, marks in ((key[~new_path] % self.n, path_marks[~new_path]), (self.key[~new_arc] // self.n, arc_marks[~new_arc])):
+                np.minimum.at(low[i], nodes, marks)
+                np.maximum.at(high[i], nodes, marks)
+        mixed = ~((low == high) & (low >= 0)).any(axis=0)
+        parts = []
+        for paths, arcs in (
+            (new_path, None),
+            (~new_path, np.flatnonzero(new_arc)),
+            (~new_path & mixed[key % self.n], np.flatnonzero(~new_arc & mixed[self.key // self.n])),
+        ):
+            paths = np.flatnonzero(paths)
+            path, arc = self._pairs(key[paths], arcs)
+            parts.append((paths[path], arc))
+        path, arc = parts[2]
+        met = np.zeros(len(path), bool)
+        for path_marks, arc_marks in zip(left, right):
+            met |= (path_marks[path] == arc_marks[arc]) & (path_marks[path] >= 0)
+        parts[2] = path[~met], arc[~met]
+        return self._made(key, price, *(np.concatenate(x) for x in zip(*parts)))

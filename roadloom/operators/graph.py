@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.durable import Rounds, durable, fresh_path, tidy, write_and_read
-from roadloom.operators.skew import HOT_ROWS, SLOT, copy_to_slots, deal_out, hot_keys, spread_join
+from roadloom.operators.skew import GRID_SIDE, HOT_ROWS, SLOT, copy_to_slots, deal_out, hot_keys, meeting_join, spread_join
 
 
 class _EdgesByNode:
@@ -153,14 +153,14 @@ def _to_lowest(links: DataFrame, hot_rows: int, lowest) -> DataFrame:
     return spread_join(links, per_node, ["u"], ["v"], hot_rows=hot_rows)
 
 
-def two_step_paths(vertices: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def two_step_paths(vertices: DataFrame, edges: DataFrame, side: int = GRID_SIDE) -> DataFrame:
     """All matches of a -> b -> c: the three vertices and two edges as structs.
 
-    ``a`` and ``c`` may be the same vertex.
+    ``a`` and ``c`` may be the same vertex. A ``b`` with many edges on both sides is split on both.
     """
     first = edges.select(F.struct(*edges.columns).alias("e"), F.col("src").alias("_a"), F.col("dst").alias("_b"))
     second = edges.select(F.struct(*edges.columns).alias("e2"), F.col("src").alias("_b"), F.col("dst").alias("_c"))
-    matches = spread_join(first, second, ["_b"], ["_a"], hot_rows=hot_rows)
+    matches = meeting_join(first, second, ["_b"], ["_a", "e"], ["_c", "e2"], side)
     for name in ("a", "b", "c"):
         matches = matches.join(
             vertices.select(F.col("id").alias(f"_{name}"), F.struct(*vertices.columns).alias(name)), f"_{name}"

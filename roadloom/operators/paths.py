@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.operators.skew import GRID_SIDE, meeting_join
+
 
 @dataclass(frozen=True)
 class PathColumns:
@@ -43,17 +45,22 @@ def cost_order_sql(cost: str) -> str:
     return f"coalesce({cost}, double('NaN'))"
 
 
-def cheapest(paths: DataFrame, columns: PathColumns, extra: Sequence[str] = ()) -> DataFrame:
+def cheapest(
+    paths: DataFrame, columns: PathColumns, extra: Sequence[str] = (), carried: Sequence[str] = ()
+) -> DataFrame:
     """One row per key: lowest cost, then lowest hop.
 
     Two hash aggregations with map-side combine; ``extra`` columns must depend
-    on the key alone.
+    on the key alone. ``carried`` columns come from a row of the lowest cost that
+    has them, and are NULL if none does.
     """
     kept = [F.expr(f"min({name}) AS {name}") for name in extra]
     cost, hop = columns.cost, columns.hop
-    per_cost = paths.groupBy(*columns.keys, cost).agg(F.expr(f"min({hop}) AS {hop}"), *kept)
+    per_cost = paths.groupBy(*columns.keys, cost).agg(
+        F.expr(f"min({hop}) AS {hop}"), *kept, *[F.expr(f"max({name}) AS {name}") for name in carried]
+    )
     return per_cost.groupBy(*columns.keys).agg(
-        *[F.expr(f"min_by({name}, {cost_order_sql(cost)}) AS {name}") for name in (cost, hop)], *kept
+        *[F.expr(f"min_by({name}, {cost_order_sql(cost)}) AS {name}") for name in (cost, hop, *carried)], *kept
     )
 
 
@@ -80,29 +87,22 @@ def cheapest_with_ties(paths: DataFrame, columns: PathColumns) -> DataFrame:
 
 
 def extend(
-    left: DataFrame, right: DataFrame, columns: PathColumns, hop_rule: str = "middle"
+    left: DataFrame, right: DataFrame, columns: PathColumns, hop_rule: str = "middle", side: int = GRID_SIDE
 ) -> DataFrame:
     """Chain each left path with each right path that starts where it ends.
 
     Costs add. The hop is the meeting point (``middle``) or the left path's own
-    hop (``first``). A path never returns to its own start.
+    hop (``first``). A path never returns to its own start. Nodes where more than
+    ``side`` squared pairs meet are split on both sides.
     """
-    start, end = F.col("L." + columns.source), F.col("R." + columns.target)
-    meets = F.col("L." + columns.target) == F.col("R." + columns.source)
-    for group in columns.groups:
-        meets = meets & (F.col("L." + group) == F.col("R." + group))
-    hop = {"middle": "L." + columns.target, "first": "L." + columns.hop}[hop_rule]
-    return (
-        left.alias("L")
-        .join(right.alias("R"), meets)
-        .where(start != end)
-        .select(
-            start.alias(columns.source),
-            end.alias(columns.target),
-            *[F.col("L." + group).alias(group) for group in columns.groups],
-            (F.col("L." + columns.cost) + F.col("R." + columns.cost)).alias(columns.cost),
-            F.col(hop).alias(columns.hop),
-        )
+    hop = {"middle": "_mid", "first": "_left_hop"}[hop_rule]
+    left = left.selectExpr(
+        columns.source, *columns.groups, f"{columns.target} AS _mid", f"{columns.cost} AS _left_cost", f"{columns.hop} AS _left_hop"
+    )
+    right = right.selectExpr(columns.target, *columns.groups, f"{columns.source} AS _mid", f"{columns.cost} AS _right_cost")
+    pairs = meeting_join(left, right, ["_mid", *columns.groups], [columns.source], [columns.target], side)
+    return pairs.where(F.col(columns.source) != F.col(columns.target)).selectExpr(
+        *columns.keys, f"_left_cost + _right_cost AS {columns.cost}", f"{hop} AS {columns.hop}"
     )
 
 

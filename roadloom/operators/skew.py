@@ -1,8 +1,15 @@
 """Joins that spread hot keys over many tasks.
 
-A key with more than ``hot_rows`` rows on the large side gets several slots:
-its large-side rows are dealt out over the slots, its small-side rows are
-copied to each of them. No row is lost and no pair is made twice.
+Joins to rows of which there are few per key: a key with more than ``hot_rows``
+rows on the large side gets several slots; its large-side rows are dealt out
+over the slots, its small-side rows are copied to each of them.
+
+Joins where both sides may have many rows of a key: the key gets a grid of
+slots. Its left rows are dealt out over the grid's rows and copied along them,
+its right rows over the columns, so each pair meets in one slot and no slot
+makes more than about ``side`` times ``side`` pairs.
+
+No row is lost and no pair is made twice.
 """
 
 from __future__ import annotations
@@ -12,11 +19,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.durable import durable
+from roadloom.durable import delete_path, durable, fresh_path, write_and_read
 
 HOT_ROWS = 100_000
+#: A slot of a grid has about as many rows of each side: 64 million pairs.
+GRID_SIDE = 8_000
 SLOT = "_slot"
 SLOTS = "_slots"
+GRID_ROW, GRID_COLUMN = "_grid_row", "_grid_column"
+GRID_ROWS, GRID_COLUMNS = "_grid_rows", "_grid_columns"
 
 
 def hot_keys(large: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -75,3 +86,59 @@ def spread_join(
         .join(copy_to_slots(small, hot, keys), [*keys, SLOT], how)
         .drop(SLOT)
     )
+
+
+def grid_of(left: DataFrame, right: DataFrame, keys: Sequence[str], side: int = GRID_SIDE) -> DataFrame | None:
+    """Keys with more than ``side`` squared pairs and the grid of each, stored; None when there are none.
+
+    One pass counts both sides. A side with few rows is not split, and the other one then
+    gets as many slots as the pairs ask for.
+    """
+    ends = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    )
+    counts = ends.groupBy(*keys).agg(F.sum("_l").cast("double").alias("_l"), F.sum("_r").cast("double").alias("_r"))
+    most = float(side) * side
+    slots = F.expr(f"_l * _r / double({most!r})")
+    rows = F.when(F.col("_l") <= side, F.lit(1.0)).when(F.col("_r") <= side, slots).otherwise(F.col("_l") / side)
+    columns = F.when(F.col("_r") <= side, F.lit(1.0)).when(F.col("_l") <= side, slots).otherwise(F.col("_r") / side)
+    hubs = counts.where(F.col("_l") * F.col("_r") > most).select(
+        *keys, F.ceil(rows).cast("int").alias(GRID_ROWS), F.ceil(columns).cast("int").alias(GRID_COLUMNS)
+    )
+    path = fresh_path(left.sparkSession, "hubs")
+    stored, seen = write_and_read(hubs, path, hubs=F.count(F.lit(1)))
+    if seen["hubs"]:
+        return stored
+    delete_path(left.sparkSession, path)
+    return None
+
+
+def onto_grid(left: DataFrame, right: DataFrame, hubs: DataFrame, keys: Sequence[str], left_by: Sequence[str], right_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the slots of each row; rows of other keys have one slot."""
+    keys = list(keys)
+    rows, columns = F.coalesce(GRID_ROWS, F.lit(1)), F.coalesce(GRID_COLUMNS, F.lit(1))
+    left = left.join(hubs, keys, "left").withColumns({
+        GRID_ROW: F.pmod(F.hash(*left_by), rows), GRID_COLUMN: F.explode(F.sequence(F.lit(0), columns - 1))
+    })
+    right = right.join(hubs, keys, "left").withColumns({
+        GRID_COLUMN: F.pmod(F.hash(*right_by), columns), GRID_ROW: F.explode(F.sequence(F.lit(0), rows - 1))
+    })
+    return left.drop(GRID_ROWS, GRID_COLUMNS), right.drop(GRID_ROWS, GRID_COLUMNS)
+
+
+def meeting_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_by: Sequence[str], right_by: Sequence[str],
+    side: int = GRID_SIDE, most_pairs: int | None = None,
+) -> DataFrame:
+    """All pairs of left and right rows with equal keys; keys with many pairs are split on both sides.
+
+    ``left_by`` and ``right_by`` tell the rows of a key apart. With ``most_pairs``, the most
+    that a single key can have, nothing is counted where no key can be too large.
+    """
+    hubs = None
+    if most_pairs is None or most_pairs > side * side:
+        hubs = grid_of(left, right, keys, side)
+    if hubs is None:
+        return left.join(right, list(keys))
+    left, right = onto_grid(left, right, hubs, keys, left_by, right_by)
+    return left.join(right, [*keys, GRID_ROW, GRID_COLUMN]).drop(GRID_ROW, GRID_COLUMN)
