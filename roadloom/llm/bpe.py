@@ -11,14 +11,19 @@ linearly with the piece.
 
 Decoding gathers the tokens' texts from one byte string by an offset table.
 
+Letters, numbers, lower case and composition are those of the library's Unicode tables.
+
 Null is encoded like the empty text, to no tokens. Repeated documents are encoded each on
-their own; columns other than the named ones are not looked at.
+their own; columns other than the named ones are not looked at, and of a kept column that is
+named like a result's only the result stays. A very long text is encoded as a whole, so a
+task holds its tokens at once; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
 from itertools import chain
 
@@ -27,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from roadloom.llm.rows import parts
 from roadloom.llm.shipping import ship_package
@@ -37,7 +43,51 @@ REMEMBERED_PAIRS = 300_000
 
 # Fixed values of the vocabulary's format.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE_SPACE + r"\p{L}\p{N}]+"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+
+def _ranges(codes: list[int]) -> str:
+    """Ascending code points as the ranges of a character class."""
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+class Characters:
+    """Letters, numbers, composition and lower case as in the library's Unicode tables.
+
+    Python's and the regular expressions' tables may be of other versions. They agree on
+    what Python knows, which hardly changes any more; of the characters that Python does not
+    assign, the library's own tables say which are letters or numbers, and texts that hold
+    one are composed and lower-cased by the library.
+    """
+
+    def __init__(self):
+        codes = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+        text = "".join(map(chr, codes))
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        classes = []
+        for name in ("L", "N"):
+            found = pre_tokenizers.Split(Regex(rf"\p{{{name}}}"), "isolated").pre_tokenize_str(text)
+            theirs = [ord(piece) for piece, _ in found if len(piece) == 1 and self._is(name, piece)]
+            classes.append(rf"[[\p{{{name}}}--[{_ranges(codes)}]]{'[' + _ranges(theirs) + ']' if theirs else ''}]")
+        letter, number = classes
+        self.known_pieces = regex.compile(CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^" + WHITE_SPACE + r"\p{L}\p{N}]+")
+        self.all_pieces = regex.compile(rf"{CONTRACTIONS}|{letter}+|{number}|[^{WHITE_SPACE}{letter}{number}]+", regex.V1)
+
+    def _is(self, name: str, character: str) -> bool:
+        return not pre_tokenizers.Split(Regex(rf"\p{{{name}}}"), "removed").pre_tokenize_str(character)
+
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text, composed and in lower case; white space only parts them."""
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return self.all_pieces.findall(self.normalizer.normalize_str(text))
+        # A capital sigma has one lower case, wherever it stands.
+        return self.known_pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
 def byte_letters() -> list[str]:
@@ -126,7 +176,7 @@ class Vocabulary:
         added = {token["content"]: token["id"] for token in described.get("added_tokens", [])}
         self.added = added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.pieces = regex.compile(PIECES)
+        self.pieces = Characters().pieces
         texts = {token: text for text, token in ids.items()} | {token: text for text, token in added.items()}
         size = max(texts, default=-1) + 1
         self.text_table = OffsetTable([(texts.get(i, "") + " ").encode() for i in range(size)])
@@ -194,10 +244,8 @@ class Vocabulary:
             if part in self.added:
                 runs.append((self.added[part],))
             elif part:
-                # White space only parts pieces. A capital sigma has one lower case here, wherever it stands.
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 remembered = self.remembered
-                runs += [self.known.get(piece) or remembered(piece) for piece in self.pieces.findall(part)]
+                runs += [self.known.get(piece) or remembered(piece) for piece in self.pieces(part)]
         return np.fromiter(chain.from_iterable(runs), np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -248,6 +296,8 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: tupl
     ship_package(spark)
     with open(vocabulary_path, encoding="utf-8") as file:
         sent = spark.sparkContext.broadcast(file.read())
+    results = ["n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
+    keep = tuple(name for name in keep if name not in results)
     kept = docs.select(*keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["n_tokens BIGINT"]
                        + ["ids ARRAY<INT>"] * with_ids + ["ids_sha256 STRING", "decoded_sha256 STRING"])

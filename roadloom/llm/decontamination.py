@@ -5,8 +5,10 @@ words (but some). A document word inside any occurrence of a window is *hit*. Th
 looks rolling window hashes up in the broadcast set and then compares the words
 themselves, so a hash collision is never a hit.
 
-The benchmark is sent to the executors in slices of at most ``max_windows`` windows;
-a larger benchmark means more scans, never a larger broadcast or another result.
+The benchmark is sent to the executors in slices of about ``max_windows`` windows, with long
+items cut into runs of words that overlap by a window. Each slice is a scan of its own, whose
+hits are stored before the next one begins: a larger benchmark means more scans, never a
+larger broadcast, more live workers or another result.
 
 Null or empty texts have no words and no hits; an item without words has no window.
 Repeated documents are judged one by one, repeated items count once per ``item_id``, a
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.durable import Rounds
 from roadloom.llm.rows import by_place, parts
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import WordBlock, hash_runs, sums_by_text, word_blocks
@@ -84,14 +87,33 @@ class Windows:
         return hit, items
 
 
+def item_runs(items: DataFrame, max_windows: int, window_words: int = WINDOW_WORDS) -> DataFrame:
+    """``(item_id, text)`` with the texts of long items as overlapping runs of words that have all their windows.
+
+    Shorter items stay as they are; their words are as many as half their bytes at most.
+    """
+    step = max(1, max_windows // 4)
+    long = F.octet_length("text") > 2 * step
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = F.expr(f"regexp_extract_all({lowered}, r'{WORD_CHARS}', 0)")
+    runs = F.expr(
+        f"transform(sequence(0, greatest(size(_words) - {window_words}, 0), {step}), "
+        f"i -> array_join(slice(_words, i + 1, {step + window_words - 1}), ' '))"
+    )
+    cut = items.where(long).select("item_id", words.alias("_words")).select("item_id", F.explode(runs).alias("text"))
+    return items.where(F.coalesce(~long, F.lit(False))).unionByName(cut)
+
+
 def benchmark_slices(benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> Iterator[tuple[Windows, bool]]:
-    """The benchmark's windows, at most about ``max_windows`` at a time, and whether they are the last ones."""
+    """The benchmark's windows, about ``max_windows`` at a time, and whether they are the last ones."""
     items = benchmark.select("item_id", "text")
     # Words are one byte or more and have a gap between them, so this bounds the windows.
     bound = items.agg(F.sum((F.octet_length("text") + 1) / 2)).first()[0] or 0
     slices = max(1, math.ceil(bound / max_windows))
+    if slices > 1:
+        items = item_runs(items, max_windows)
     for k in range(slices):
-        mine = items if slices == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k)
+        mine = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         yield Windows([tuple(row) for row in mine.toLocalIterator()]), k == slices - 1
 
 
@@ -109,6 +131,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[str],
     """
     spark = docs.sparkSession
     ship_package(spark)
+    store = Rounds(spark, "hits")
     result = docs.select(text, *(c for c in keep if c != text), F.expr(f"CAST(NULL AS {HITS}) AS hits"))
     hits_type = F.expr(f"CAST(NULL AS {HITS})")
     for windows, last in benchmark_slices(benchmark, max_windows):
@@ -127,6 +150,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[str],
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, part.schema.field("hits").type)], names=list(names))
 
         result = result.mapInArrow(scan, schema)
+        if not last:
+            # A scan by itself: chained scans would all be live in one task.
+            result, _ = store.save(result)
+            store.drop_superseded()
     return result
 
 

@@ -45,7 +45,7 @@ from roadloom.llm.rows import parts
 from roadloom.llm.shipping import ship_package
 
 #: A worker that remembers the ids of more segments than this forgets them all.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Segments that the library gets as one text.
 JOINED = 100
 #: Texts of more characters together are looked up one by one, so many segments at a time.
@@ -214,6 +214,28 @@ class Encoder:
             self.sizes[token["id"]] = len(token["content"].encode())
         self._start_anew()
 
+    OTHER_SPACE = re.compile(r"[^\S \n]")
+
+    def segments(self, text: str) -> list[str]:
+        """The parts of a text that are encoded on their own; a space that begins one is left out, a mark says where none was.
+
+        The mark is a space in front, so that what is left out and what isn't never look alike.
+        """
+        twice = "  " in text or "\n" in text and (" \n" in text or "\n " in text or "\n\n" in text)
+        if not text or twice or text[0].isspace() or text[-1].isspace() or self.OTHER_SPACE.search(text):
+            return self._marked(self.SEGMENT.findall(text))
+        # Single spaces and line feeds between other characters: a part begins at each of them.
+        first, *others = text.replace("\n", " \n").split(" ")
+        return [" " + first, *others]
+
+    @staticmethod
+    def _marked(segments: list[str]) -> list[str]:
+        return [s if s[0] == "\n" else s[1:] if s[0] == " " and s[1:2] not in ("", " ", "\n") else " " + s for s in segments]
+
+    @staticmethod
+    def _text_of(segment: str) -> str:
+        return segment[1:] if segment[0] == " " else segment if segment[0] == "\n" else " " + segment
+
     def _start_anew(self) -> None:
         """Segments' places in a table of ids laid end to end, and where each one's ids begin."""
         self.known: dict[str, int] = {}
@@ -222,12 +244,14 @@ class Encoder:
     def _learn(self, segments: list[str]) -> None:
         """Have the library encode segments, many in one call; its tokens' sizes tell where each one ends."""
         # After one another only segments that begin and end as their neighbours in a text would.
-        alike = [s for s in segments if s[0] in " \n" and not s[-1].isspace()]
-        others = [s for s in segments if s[0] not in " \n" or s[-1].isspace()]
-        joined = ["".join(alike[i : i + JOINED]) for i in range(0, len(alike), JOINED)]
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined + others, add_special_tokens=False)]
+        alike = [s for s in segments if s[0] != " " and not s[-1].isspace()]
+        others = [s for s in segments if s[0] == " " or s[-1].isspace()]
+        texts = list(map(self._text_of, alike))
+        joined = ["".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
+        texts += map(self._text_of, others)
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined + texts[len(alike) :], add_special_tokens=False)]
         ids = np.concatenate(found)
-        stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(s.encode()) for s in alike + others])) + 1
+        stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(t.encode()) for t in texts])) + 1
         self.known.update(zip(alike + others, range(len(self.known), len(self.known) + len(segments))))
         self.starts = np.concatenate([self.starts, len(self.data) + stops])
         self.data = np.concatenate([self.data, ids])
@@ -254,13 +278,13 @@ class Encoder:
             return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) for text in texts]
         if sum(map(len, texts)) > LONG_TEXT:
             return [self._ids_of_long(text) for text in texts]
-        return self._looked_up(list(map(self.SEGMENT.findall, texts)))
+        return self._looked_up(list(map(self.segments, texts)))
 
     def _ids_of_long(self, text: str) -> np.ndarray:
         """The ids of one text, some of its segments at a time."""
         found, arrays = self.SEGMENT.finditer(text), [np.zeros(0, np.uint32)]
         while segments := [m.group() for m in islice(found, SEGMENTS)]:
-            arrays += self._looked_up([segments])
+            arrays += self._looked_up([self._marked(segments)])
         return np.concatenate(arrays)
 
     def ids(self, text: str) -> np.ndarray:

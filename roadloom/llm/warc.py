@@ -8,9 +8,10 @@ of any size into records when it reads it. The writer makes sure that no other f
 these bytes: a record that does is compressed in blocks that part them, and should a frame
 hold them by accident, a filler header changes it.
 
-The dictionary is built once from a bounded sample of payloads (``SAMPLE_RECORDS`` with the
-lowest hashes, of each at most ``SAMPLE_BYTES``), so equal tables give equal archives; with
-too little to build one from, the sample itself is the dictionary.
+The dictionary is built once from a bounded sample of the distinct payloads
+(``SAMPLE_RECORDS`` with the lowest hashes, of each the first ``SAMPLE_BYTES``), so equal
+tables give equal archives; with too little to build one from, the sample itself is the
+dictionary. Very long payloads are one record each; an empty table gives no records.
 
 Of pages with equal payloads the one with the smallest page id becomes a response record
 and the others become revisit records that refer to it and carry no payload. A null
@@ -30,7 +31,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.durable import fresh_path
-from roadloom.llm.labelled import among_lowest
 from roadloom.llm.shipping import ship_package
 
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1_000, 16_384, 65_536, 3
@@ -91,12 +91,17 @@ def build_dictionary(samples: list[bytes]) -> bytes:
 
 
 def dictionary_of(pages: DataFrame, payload: str) -> bytes:
+    """The dictionary of the ``SAMPLE_RECORDS`` distinct payloads with the lowest hashes, or of all where there are fewer.
+
+    The hashes are found first, as narrow rows, so tasks do not send payloads that are not
+    sampled, however often payloads repeat.
+    """
     filled = pages.where(F.octet_length(payload) > 0).select(F.col(payload).cast("binary").alias("p"), F.xxhash64(payload).alias("h"))
-    sampled = (
-        filled.where(among_lowest(F.col("h"), SAMPLE_RECORDS, filled.count()))
-        .groupBy("h").agg(F.first(F.substring("p", 1, SAMPLE_BYTES)).alias("p")).orderBy("h").limit(SAMPLE_RECORDS)
-    )
-    return build_dictionary([bytes(row.p) for row in sampled.collect()])
+    lowest = [row.h for row in filled.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS).collect()]
+    if not lowest:
+        return b""
+    sampled = filled.where(F.col("h") <= F.lit(lowest[-1])).groupBy("h").agg(F.first(F.substring("p", 1, SAMPLE_BYTES)).alias("p"))
+    return build_dictionary([bytes(row.p) for row in sorted(sampled.collect(), key=lambda row: row.h)])
 
 
 def _zdict(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:

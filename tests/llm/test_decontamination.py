@@ -48,3 +48,17 @@ def test_empty_tables(spark):
     docs, items = frames(spark)
     assert d.report(docs.limit(0), items).count() == 0
     assert {r.n_hit for r in d.report(docs, items.limit(0)).collect()} == {0}
+
+
+def test_long_items_are_cut_and_scans_do_not_pile_up(spark):
+    words = [f"v{i}" for i in range(4_000)]
+    items = [(1, " ".join(words)), (2, LONG), (3, "Kurz, und; GUT"), (None, None), (4, "")]
+    texts = [(1, " ".join(words[990:1030])), (2, " ".join(words[:12])), (3, " ".join(words[-13:]) + " x"), (4, " ".join(words[500:3500])), (5, LONG + " kurz und gut"), (6, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [sum(map(len, windows.words.values())) for windows, _ in d.benchmark_slices(benchmark, 3000)]
+    assert len(sizes) > 3 and max(sizes) < 3000
+    found = d.find_hits(docs, benchmark, "text", ["doc_id"], 3000)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = [(r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in found.select("doc_id", "hits.*").collect()]
+    assert sorted(got) == [(1, 40, 40, 1), (2, 12, 0, 0), (3, 14, 13, 1), (4, 3000, 3000, 1), (5, 33, 33, 2), (6, 0, 0, 0)]

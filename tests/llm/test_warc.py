@@ -65,3 +65,21 @@ def test_random_payloads(spark):
 def test_small_tables(spark):
     assert warc.archive_and_read(frame(spark).limit(0)).count() == 0
     assert sorted(map(tuple, warc.archive_and_read(frame(spark, PAGES[:1])).collect()), key=repr) == model(PAGES[:1])
+
+
+def test_the_dictionary_comes_from_distinct_payloads(spark, monkeypatch):
+    """200,000 pages of 100 payloads: all of them are sampled, and a dictionary is trained."""
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(500)]
+    bodies = ["<html>" + " ".join(rng.choices(words, k=300)) + "</html>" for _ in range(100)]
+    kept = spark.createDataFrame(list(enumerate(bodies)), "k long, html string")
+    pages = spark.range(200_000).selectExpr("id AS page_id", "id % 100 AS k").join(kept, "k")
+    seen = []
+    build = warc.build_dictionary
+    monkeypatch.setattr(warc, "build_dictionary", lambda samples: seen.append(samples) or build(samples))
+    dictionary = warc.dictionary_of(pages, "html")
+    assert sorted(seen[0]) == sorted(b.encode() for b in bodies)
+    assert dictionary[:4] == bytes.fromhex("37a430ec")  # a trained dictionary begins so
+    monkeypatch.setattr(warc, "SAMPLE_RECORDS", 30)
+    warc.dictionary_of(pages, "html")
+    assert len(seen[1]) == 30 and set(seen[1]) < set(seen[0])
