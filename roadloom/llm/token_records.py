@@ -14,8 +14,8 @@ and a header says where in its file the frame begins and how many ids of the fil
 before it. The index is made by reading the files, with every checksum verified; sums over
 the files give the number of ids before each document.
 
-Null ids come first, rows of one id are ordered by their text's hash, then as they were
-read; equal rows are records of their own. A null text is an empty one and has the end id
+Null ids come first, rows of one id are in the order in which they were read; each row is a
+record of its own. A null text is an empty one and has the end id
 only. Very long texts are encoded about a megabyte at a time, cut before a space or line
 feed that follows another character, where the vocabulary's pieces always end. An empty
 table gives no records. Only the named columns are read.
@@ -343,10 +343,9 @@ def write_records(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
-        F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"),
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row")
     )
-    order = ["doc_id", "_hash", "_row"]
+    order = ["doc_id", "_row"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     placed.mapInArrow(run, "frame BINARY").select(F.col("frame").cast("string").alias("value")).write.options(
         **_options(mark)

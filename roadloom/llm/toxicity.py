@@ -8,12 +8,15 @@ every coordinate at zero whose sum stays small, so what is left is a short list
 (hash, weight) that all tasks get.
 
 FTRL sees one example at a time. It is fitted on a bounded sample of labelled documents
-(``MAX_EXAMPLES``); features are made where the documents are, the pass over them is one
+(``MAX_EXAMPLES`` whole documents, fewer where they have more than ``MAX_FEATURES`` features
+together: those with the lowest hashes of their ids); features are made where the documents are, the pass over them is one
 task's work. Coordinates get room only when ``MIN_EXAMPLES`` examples have them; these are
 counted range by range of the hashes, and only they are sent to the task that fits.
 
 A null or empty text has no features and scores as the bias says. Equal texts score
-equally. Without any labelled example every score is 0.
+equally, repeated rows each get a row. A null id is never held out nor learned from. Columns
+other than the named ones are kept or not looked at, as the caller asks. An empty table gives
+no rows; without any labelled example every score is 0.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from roadloom.llm.rows import keep_rows, parts, release_memory
 from roadloom.llm.shipping import ship_package
 from roadloom.llm.words import WordBlock, hash_runs, mix, word_blocks
 
-#: Examples that are learned from, at most.
-MAX_EXAMPLES = 16_000
+#: Examples that are learned from, at most, and their features together: some 400 MB where they are fitted.
+MAX_EXAMPLES, MAX_FEATURES = 16_000, 40_000_000
 MIN_EXAMPLES = 5
 HELD_OUT = 5
 #: Ranges of hashes that are counted apart.
@@ -124,7 +127,7 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
     """The model of a bounded sample of the labelled documents that are not held out."""
     ship_package(docs.sparkSession)
     examples = sample(docs, labels, label, bucket("doc_id", HELD_OUT) != 0, max_examples)
@@ -161,7 +164,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples
         return pa.table({"hash": np.append(hashes.astype(np.int64), -1), "weight": np.append(weights, bias)})
 
     with scratch(docs.sparkSession):
-        described = durable(examples.mapInArrow(featured, "place BIGINT, label INT, features ARRAY<INT>"), "features")
+        described = durable(examples.mapInArrow(featured, "place BIGINT, label INT, features ARRAY<INT>"), "features").where(F.size("features") <= max_features)
+        # At most max_examples narrow rows.
+        sizes = described.select("place", F.size("features").alias("n")).toArrow().sort_by("place")
+        taken = np.flatnonzero(np.cumsum(sizes.column("n").to_numpy()) <= max_features)
+        if 0 < len(taken) < sizes.num_rows:
+            described = described.where(F.col("place") <= sizes.column("place")[int(taken[-1])].as_py())
         counts = described.select("features").mapInArrow(in_ranges, "range INT, hashes BINARY").groupBy("range").applyInArrow(counted, "hash INT")
         sent = docs.sparkSession.sparkContext.broadcast(np.sort(counts.toArrow().column("hash").to_numpy().view(np.uint32)))
 

@@ -82,3 +82,35 @@ def test_learns_from_whole_documents(spark):
         lines = q.Lines(lines.features.astype(np.float32), lines.sizes.astype(np.float32), lines.offsets)
         want, got = q.fit(lines, np.array([r.quality for r in taken])), q.learn(docs, labels, max_lines=bound)
         assert np.allclose(got.weights, want.weights) and np.allclose(got.curve, want.curve) and np.allclose(got.transitions, want.transitions)
+
+
+def test_scores_equal_a_plain_loop(spark, tables):
+    """The report's scores from each text alone, its chain summed step by step."""
+    docs, labels = tables
+    field = q.learn(docs, labels)
+    texts = [(i, f"Line one of {i}.\nAnother line, a bit longer.\n" + "$$ BUY ##\n" * (i % 4)) for i in range(60)] + [(3, None), (4, ""), (5, "twice"), (5, "twice"), (6, "x " * 700_000)]
+    got = {(r.doc_id, r.score) for r in q.with_scores(spark.createDataFrame(texts, "doc_id long, text string"), field, "text", ("doc_id",)).collect()}
+    assert len({s for i, s in got if i == 5}) <= 2
+
+    def plain(text):
+        lines = q.lines_of(pa.array([text], pa.string()))
+        emission = lines.features.astype(float) @ field.weights
+        e, t = [np.array([0.0, x]) for x in emission], field.transitions
+        forward = [e[0]]
+        for x in e[1:]:
+            forward.append(x + np.log(np.exp(forward[-1][:, None] + t).sum(axis=0)))
+        backward = [np.zeros(2)]
+        for x in e[:0:-1]:
+            backward.insert(0, np.log(np.exp(t + (x + backward[0])[None]).sum(axis=1)))
+        good = []
+        for f, b in zip(forward, backward):
+            p = np.exp(f + b - np.logaddexp(*(f + b)))
+            good.append(p[q.GOOD])
+        total = lines.sizes.sum()
+        mean = (np.array(good) * lines.sizes).sum() / total if total else 1.0
+        a, b = field.curve
+        return 1 / (1 + np.exp(-np.clip(a * mean + b, -35, 35)))
+
+    for i, text in texts:
+        want = plain(text)
+        assert any(j == i and abs(s - want) < 1e-6 for j, s in got), (i, want)

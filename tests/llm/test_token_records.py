@@ -81,7 +81,7 @@ def model():
 
 def test_report_equals_model(docs):
     got = tr.report(docs, PATH).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
-    # Rows of one id are in the order of a hash: starts tell them apart.
+    # Rows of one id are in the order of reading: starts tell them apart.
     same_id = [r for r in model() if r[0] == 3]
     assert sorted(map(tuple, got), key=lambda r: r[1])[:4] == model()[:4]
     assert sorted((r[0], r[2], r[3]) for r in got if r[0] == 3) == sorted((r[0], r[2], r[3]) for r in same_id)

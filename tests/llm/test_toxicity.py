@@ -99,3 +99,32 @@ def test_learns_from_all_of_16000_examples(spark):
     hashes, weights, bias = toxicity.fit(np.concatenate(examples), np.cumsum([0, *map(len, examples)]), np.array([float(r.toxic) for r in rows]))
     model = toxicity.learn(docs, labels)
     assert len(hashes) and np.array_equal(model.hashes, hashes) and np.allclose(model.weights, weights) and np.isclose(model.bias, bias)
+
+
+def test_scores_equal_a_plain_loop(spark, tables):
+    """The report's scores from each text alone, word by word; a text seen twice and one over several batches."""
+    from roadloom.llm.words import word_blocks
+
+    docs, labels = tables
+    model = toxicity.learn(docs, labels)
+    weights = dict(zip(model.hashes.tolist(), model.weights))
+    own = [r.text for r in docs.limit(40).collect()]
+    texts = [*enumerate(own), (100, None), (101, ""), (102, own[0]), (102, own[0]), (103, " ".join(t or "" for t in own) * 12)]
+    scored = toxicity.with_scores(spark.createDataFrame(texts, "doc_id long, text string"), model, keep=("doc_id",)).collect()
+    got = sorted((r.doc_id, r.score) for r in scored)
+    want = []
+    for i, text in texts:
+        hashes = {int(h) for block in word_blocks(pa.array([text], pa.string())) for h in toxicity.feature_hashes(block)[0]}
+        margin = model.bias + sum(weights.get(h, 0.0) for h in hashes)
+        want.append((i, 1 / (1 + np.exp(-np.clip(margin, -35, 35)))))
+    assert len(got) == len(want) and all(a == b and abs(x - y) < 1e-9 for (a, x), (b, y) in zip(got, sorted(want)))
+
+
+def test_the_sample_is_bounded_by_its_features(spark):
+    """Documents with the lowest hashes, whole, until their features are as many as the bound."""
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(50)) + (" vile" if i % 2 else " kind")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    few, all_ = toxicity.learn(docs, labels, max_features=3000), toxicity.learn(docs, labels)
+    assert few.bias is not None and few.bias != all_.bias
+    assert toxicity.learn(docs, labels, max_features=10).bias is None
