@@ -86,6 +86,30 @@ def delete_path(spark: SparkSession, path: str) -> None:
     files.delete(hadoop_path, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds; none if there is no such folder."""
+    hadoop_path, files = _hadoop_path(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(hadoop_path)] if files.exists(hadoop_path) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears under its name once it is whole."""
+    hadoop_path, files = _hadoop_path(spark, path)
+    unfinished, _ = _hadoop_path(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = files.create(unfinished)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not files.rename(unfinished, hadoop_path):
+        raise OSError(f"{path} cannot be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file that ``write_text`` wrote."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def write_and_read(df: DataFrame, path: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """Write ``df`` to ``path`` and return the stored table with observed metrics.
 
@@ -138,3 +162,10 @@ class Rounds:
         if self._superseded is not None:
             delete_path(self.spark, self._superseded)
             self._superseded = None
+
+    def drop_all(self) -> None:
+        """Delete what is left."""
+        self.drop_superseded()
+        if self._newest is not None:
+            delete_path(self.spark, self._newest)
+            self._newest = None

@@ -16,6 +16,8 @@ one pass at the end. A round joins what changed with all paths and all paths wit
 what changed, never all with all again. Rows that an earlier closing has already
 closed with each other say so (``Closed``) and are not joined with each other at
 all, so closing a table again costs about its changed rows times their degree.
+The table is kept in buckets of its key, in layers: a round shuffles its
+candidates to where the known costs lie and adds the better ones as a layer.
 Nodes where very many pairs meet are split on both sides of the join. Rows of NULL or infinite cost and rows that lead an edge to
 itself never take part in a path.
 With equal costs the lowest hop wins; on cycles of zero-cost arcs the hops of
@@ -33,17 +35,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.durable import Rounds, durable, fresh_path, write_and_read
+from roadloom.durable import durable, fresh_path, write_and_read
 from roadloom.functions.costs import usable_sql
-from roadloom.operators.paths import CELLED, PathColumns, cheapest
+from roadloom.keyed import BUCKET_ROWS, MOST_LAYERS, Layers, write_in_buckets
+from roadloom.operators.paths import CELLED, PathColumns, cheapest, cost_order_sql
 from roadloom.operators.skew import GRID_SIDE, meeting_join
 
 GROWTH = 8.0
-REWRITE_ROWS = 10_000_000
+#: Rounds that can't make more pairs than this always double: fewer rounds are worth more then.
+DOUBLING_PAIRS = 200_000_000
 GROUPED_ROWS = 1_000
 BUCKET_PAIRS = 2_000_000
-OLD = "_old_cost"
-CHANGED = "_changed"
+ROWS = "count(*)"
 
 
 class NotConverged(RuntimeError):
@@ -79,7 +82,7 @@ def closure(
     keep_unusable: bool = False,
     growth: float = GROWTH,
     hot_rows: int = GRID_SIDE,
-    rewrite_rows: int = REWRITE_ROWS,
+    most_layers: int = MOST_LAYERS,
     grouped_rows: int = GROUPED_ROWS,
 ) -> DataFrame:
     """Cheapest path per (source, target, groups) over the given paths.
@@ -109,18 +112,18 @@ def closure(
             paths, columns, grouped_rows, about_source=about_source, about_target=about_target,
             closed_before=closed_before, carried=carried,
             keep_unusable=keep_unusable, max_rounds=max_rounds, allow_partial=allow_partial,
-            growth=growth, hot_rows=hot_rows, rewrite_rows=rewrite_rows,
+            growth=growth, hot_rows=hot_rows, most_layers=most_layers,
         )
     about, marks = [*about_source, *about_target], [name for c in closed_before for name in (c.group, c.stepped)]
     arcs = paths.select(*columns.all, *about, *marks, *carried)
     if not keep_unusable:
         arcs = arcs.where(_live(columns))
     arcs, seen = write_and_read(
-        cheapest(arcs, columns, [*about, *marks], carried), fresh_path(paths.sparkSession, "arcs"), rows=F.expr("count(*)")
+        cheapest(arcs, columns, [*about, *marks], carried), fresh_path(paths.sparkSession, "arcs"), rows=F.expr(ROWS)
     )
     if allow_partial and max_rounds == 0:
         return arcs.drop(*marks)
-    loop = _Relaxation(arcs, seen["rows"], columns, about_source, about_target, closed_before, carried, hot_rows, rewrite_rows)
+    loop = _Relaxation(arcs, seen["rows"], columns, about_source, about_target, closed_before, carried, hot_rows, most_layers)
     # Finding the hops extends the paths once more: it is the last round.
     limit = max_rounds - 1 if allow_partial and max_rounds else max_rounds
     costs = loop.closed_costs(float("inf") if method == "doubling" else growth, limit, allow_partial)
@@ -135,7 +138,7 @@ def _live(columns: PathColumns) -> str:
 class _Relaxation:
     """The rounds of one closure over a stored table of arcs."""
 
-    def __init__(self, arcs, rows, columns, about_source, about_target, closed_before, carried, hot_rows, rewrite_rows):
+    def __init__(self, arcs, rows, columns, about_source, about_target, closed_before, carried, hot_rows, most_layers):
         self.arcs = arcs
         self.rows = rows
         self.columns = columns
@@ -146,8 +149,9 @@ class _Relaxation:
         self.stepped_before = [c.stepped for c in closed_before]
         self.carried = list(carried)
         self.hot_rows = hot_rows
-        self.rewrite_rows = rewrite_rows
+        self.most_layers = most_layers
         self.closed_rows = rows
+        self._most_nodes: int | None = None
         self.live_arcs = arcs.where(_live(columns))
 
     def _costs_only(self, paths: DataFrame) -> DataFrame:
@@ -206,72 +210,82 @@ class _Relaxation:
         known = " OR ".join(f"coalesce(_left_mark{i} = _right_mark{i}, false)" for i in numbered)
         return met.unionByName(self.chain(left, right, *extra, pairs=pairs, unless=known))
 
-    def _merged(self, state: DataFrame, candidates: DataFrame) -> DataFrame:
-        """Old state and candidates reduced to the minimum, improvements marked."""
+    def _lowest(self, rows: DataFrame) -> DataFrame:
+        """One row per key: the lowest cost, and the marks that go with it."""
         c = self.columns
-        names = [*c.keys, c.cost, *self.about]
+        return rows.groupBy(*c.keys).agg(
+            *[F.expr(f"min({name}) AS {name}") for name in (c.cost, *self.about)],
+            *[F.expr(f"min_by({name}, {cost_order_sql(c.cost)}) AS {name}") for name in self.groups_before],
+        ).select(*c.keys, c.cost, *self.about, *self.groups_before)
 
-        def null(name: str) -> str:
-            return f"CAST(NULL AS {state.schema[name].dataType.simpleString()})"
+    def better(self, candidates: DataFrame, table: Layers) -> DataFrame:
+        """The lowest candidate of each key that no known row matches, without marks.
 
-        both = state.selectExpr(*names, *self.groups_before, f"{c.cost} AS {OLD}").unionByName(
-            candidates.selectExpr(*names, *[f"{null(name)} AS {name}" for name in self.groups_before], f"{null(c.cost)} AS {OLD}")
-        )
-        lowest = both.groupBy(*c.keys).agg(
-            *[F.expr(f"min({name}) AS {name}") for name in [c.cost, OLD, *self.about, *self.groups_before]]
-        )
-        better = f"({_live(c)} AND ({OLD} IS NULL OR {c.cost} < {OLD}))"
-        return lowest.selectExpr(*names, *[f"IF({better}, NULL, {name}) AS {name}" for name in self.groups_before], f"{better} AS {CHANGED}")
-
-    def _doubled(self, state: DataFrame, rows: int, changed: int, first: bool) -> DataFrame:
-        """Known paths chained with known paths, unless both were there a round ago."""
-        known = state.where(_live(self.columns))
-        pairs = changed * self._most_at_a_node(known, changed, rows)
-        if first:
-            return self._unmet(known, known, self.groups_before, self.groups_before, pairs=pairs)
-        new, old = known.where(CHANGED), known.where(f"NOT {CHANGED}")
-        return self.chain(new, known, pairs=pairs).unionByName(self.chain(old, new, pairs=pairs))
+        Known rows lie in buckets of their key: the candidates alone are shuffled.
+        """
+        c = self.columns
+        lowest = candidates.groupBy(*c.keys).agg(*[F.expr(f"min({name}) AS {name}") for name in (c.cost, *self.about)])
+        unmarked = [F.lit(None).cast(self.arcs.schema[name].dataType).alias(name) for name in self.groups_before]
+        return table.without_matched(lowest, c.cost).select(*c.keys, c.cost, *self.about, *unmarked)
 
     def closed_costs(self, growth: float, limit: int | None, allow_partial: bool) -> DataFrame:
         """Rounds until no cost improves.
 
-        While the table stays within ``growth`` times the arcs, paths double.
-        The last table within it then serves as steps: a path that improved is
-        extended by each of them. Whatever did not improve met them a round ago.
-        A table beyond ``rewrite_rows`` is left in place from then on.
+        While the table stays within ``growth`` times the arcs, paths double: what the last
+        round improved is joined with all paths on both sides. The last table within it then
+        serves as steps: a path that improved is extended by each of them. Whatever did not
+        improve met them a round ago. Rows that a later layer beats may still be met; what
+        they make is beaten as well.
         """
-        state = self._costs_only(self.arcs).selectExpr("*", f"{_live(self.columns)} AS {CHANGED}")
-        store, rows, changed, steps, done = Rounds(state.sparkSession, "paths"), self.rows, self.rows, None, 0
+        table = Layers(self.arcs.sparkSession, "paths", self.columns.keys, self._lowest)
+        costs = self._costs_only(self.arcs)
+        if self.rows >= BUCKET_ROWS:
+            costs, _ = write_in_buckets(costs, fresh_path(self.arcs.sparkSession, "costs"), self.columns.keys)
+        table.put(costs, self.rows)
+        live = _live(self.columns)
+        frontier, changed, steps, done = table.all().where(live), self.rows, None, 0
         while limit is None or done < limit:
-            if steps is None:
-                candidates = self._doubled(state, rows, changed, done == 0)
+            known = table.all().where(live)
+            if steps is not None:
+                candidates = self.chain(frontier, steps, pairs=changed * most)
             else:
-                candidates = self.chain(state.where(CHANGED), steps, pairs=changed * most)
-            following, seen = store.save(
-                self._merged(state, candidates),
-                improved=F.expr(f"count_if({CHANGED})"), rows=F.expr("count(*)"),
-            )
-            done += 1
-            self.closed_rows = seen["rows"]
-            if seen["improved"] == 0:
-                store.drop_superseded()
-                return following
-            if steps is None and seen["rows"] > growth * self.rows:
-                store.keep_superseded()
-                steps = state.where(_live(self.columns))
-                most = self._most_at_a_node(steps, float("inf"), rows)
-            state, rows, changed = following, seen["rows"], seen["improved"]
-            if steps is not None and rows > self.rewrite_rows:
-                store.drop_superseded()
-                return self._appended(store.newest_path, state, steps, most, changed, done, limit, allow_partial)
-        if not allow_partial:
-            raise NotConverged(f"paths still improved in round {done}")
-        return state
+                pairs = changed * self._most_at_a_node(known, changed, table.rows)
+                if done == 0:
+                    candidates = self._unmet(known, known, self.groups_before, self.groups_before, pairs=pairs)
+                else:
+                    candidates = self.chain(frontier, known, pairs=pairs).unionByName(self.chain(older, frontier, pairs=pairs))
+            older = known
+            frontier, seen = table.add(self.better(candidates, table), F.expr(ROWS))
+            done, changed = done + 1, seen["rows"]
+            if changed == 0:
+                table.layers.pop()
+                break
+            # A caller who asks for less growth than usual gets steps as soon as it is passed.
+            few = growth >= GROWTH and changed * min(table.rows, self.most_nodes()) <= DOUBLING_PAIRS
+            if steps is None and table.rows > growth * self.rows and not few:
+                steps = older
+                most = self._most_at_a_node(steps, float("inf"), table.rows)
+            table.compact(F.expr(ROWS), self.most_layers)
+        else:
+            if not allow_partial:
+                raise NotConverged(f"paths still improved in round {done}")
+        self.closed_rows = table.rows
+        return table.merged() if len(table.layers) == 1 else durable(table.merged(), "paths")
+
+    def most_nodes(self) -> int:
+        """A bound on the nodes of one group: each of its arcs brings two at most."""
+        if self._most_nodes is None:
+            c = self.columns
+            largest = self.arcs.groupBy(*c.groups).count().agg(F.max("count")).first()[0] if c.groups and self.rows > self.hot_rows else self.rows
+            self._most_nodes = 2 * (largest or 0)
+        return self._most_nodes
 
     def _most_at_a_node(self, table: DataFrame, others: float, rows: int) -> int:
         """The most rows that begin or end in one node, or a bound that is good enough for ``others`` rows."""
         if others * rows <= self.hot_rows**2 or rows <= self.hot_rows:
             return rows
+        if others * self.most_nodes() <= self.hot_rows**2:
+            return self.most_nodes()
         c = self.columns
         ends = table.selectExpr(f"{c.source} AS _node", *c.groups, "1 AS _out", "0 AS _in").unionByName(
             table.selectExpr(f"{c.target} AS _node", *c.groups, "0 AS _out", "1 AS _in")

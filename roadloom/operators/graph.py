@@ -71,6 +71,26 @@ def distance_maps(distances: DataFrame) -> DataFrame:
     return distances.groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("distances"))
 
 
+def distance_bounds(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """``pairs`` of ``id`` and ``target`` with ``bound``, a lower bound on the hops from one to the other.
+
+    By the triangle inequality the way to a landmark is no longer than the way over the
+    target: the bound is the most by which a landmark is farther from the vertex than from
+    the target, over the landmarks both reach, and at least 0. A landmark that the target
+    reaches and the vertex does not rules the way out: the bound is then NULL, and
+    ``reachable`` is false. Maps are of one entry per landmark, joined once for each end.
+    """
+    joined = pairs.join(maps.withColumnRenamed("distances", "_from"), "id", "left").join(
+        maps.select(F.col("id").alias("target"), F.col("distances").alias("_to")), "target", "left"
+    )
+    beyond = F.expr("coalesce(forall(map_keys(_to), x -> _from IS NOT NULL AND map_contains_key(_from, x)), true)")
+    gaps = F.expr("transform(map_keys(_to), x -> _from[x] - _to[x])")
+    bound = F.greatest(F.lit(0), F.coalesce(F.array_max(gaps), F.lit(0)))
+    return joined.select(
+        *pairs.columns, beyond.alias("reachable"), F.when(beyond, bound).cast("int").alias("bound")
+    )
+
+
 @tidy("pagerank")
 def pagerank(
     vertices: DataFrame, edges: DataFrame, reset: float = 0.15, rounds: int = 5, hot_rows: int = HOT_ROWS

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,13 +102,21 @@ def cost_stats(shortcuts: DataFrame, exact: bool = False, unit: float = 1.0) ->
 
 
 def distinct_edges(shortcuts: DataFrame, approximate: bool = False) -> DataFrame:
-    """How many different edges occur in each role."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return shortcuts.agg(
-        count("incoming_edge").alias("unique_incoming"),
-        count("outgoing_edge").alias("unique_outgoing"),
-        count("via_edge").alias("unique_via"),
-    )
+    """How many different edges occur in each role.
+
+    Exactly, each role is counted by itself over its own column: no row is expanded, and
+    only a role's distinct edges are shuffled.
+    """
+    roles = {"incoming_edge": "unique_incoming", "outgoing_edge": "unique_outgoing", "via_edge": "unique_via"}
+    if approximate:
+        return shortcuts.agg(*[F.approx_count_distinct(column).alias(name) for column, name in roles.items()])
+    counts = [
+        shortcuts.select(column).where(F.col(column).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.lit(name))
+        for column, name in roles.items()
+    ]
+    # One row per role.
+    together = reduce(DataFrame.unionByName, counts)
+    return together.agg(*[F.max(F.when(F.col("role") == name, F.col("n"))).alias(name) for name in roles.values()])
 
 
 def reach_out(shortcuts: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ WAYS = [
     dict(method="stepwise"), dict(method="doubling"), dict(method="grouped"),
     dict(method="doubling", hop_rule="middle"), dict(method="stepwise", hop_rule="first"),
     dict(method="stepwise", growth=1), dict(method="stepwise", growth=1, hot_rows=2),
-    dict(method="stepwise", growth=2, hot_rows=2), dict(method="stepwise", growth=1, rewrite_rows=0, hot_rows=3), dict(method="doubling", hot_rows=2), dict(method="grouped", grouped_rows=30),
+    dict(method="stepwise", growth=2, hot_rows=2), dict(method="stepwise", growth=1, most_layers=0, hot_rows=3), dict(method="doubling", hot_rows=2), dict(method="grouped", grouped_rows=30),
 ]
 
 
@@ -100,7 +100,7 @@ def test_grouped_and_stepwise_agree_on_hops(spark):
 
 
 @pytest.mark.parametrize("how", [
-    dict(method="stepwise"), dict(method="grouped"), dict(method="stepwise", growth=0, rewrite_rows=0)], ids=str)
+    dict(method="stepwise"), dict(method="grouped"), dict(method="stepwise", growth=0, most_layers=0)], ids=str)
 def test_unusable_rows_are_kept_until_replaced(spark, how):
     inf = float("inf")
     rows = [(1, 2, 2, 1.0, 0), (2, 3, 3, 1.0, 0), (1, 3, 3, inf, 0), (3, 4, 4, None, 0), (4, 5, 5, inf, 0)]
@@ -129,7 +129,7 @@ def test_round_limit(spark):
     with pytest.raises(NotConverged):
         closure(line, max_rounds=3)
     with pytest.raises(NotConverged):
-        closure(line, growth=1, rewrite_rows=0, max_rounds=3)
+        closure(line, growth=1, most_layers=0, max_rounds=3)
     assert closure(line, growth=1, max_rounds=3, allow_partial=True).agg({"cost": "max"}).first()[0] == 4.0
     assert closure(line, max_rounds=0, allow_partial=True).count() == 12
     assert closure(line, method="doubling", hop_rule="middle", max_rounds=2, allow_partial=True).agg(

@@ -7,6 +7,7 @@
 ``suppliers``  every supplier is an edge between two nodes that lie in a
                three-level cell hierarchy.
 ``parts``      parts; an edge per pair of consecutive lines of an order.
+``visits``     events with text ids, each leading to its visitor's next one.
 
 Costs are whole numbers, so sums do not depend on their order.
 """
@@ -33,6 +34,8 @@ REGION = PathColumns(
     source="src", target="dst", hop="next_node", groups=("l_orderkey", "l_returnflag")
 )
 
+VISIT = PathColumns(source="src", target="dst", hop="next_node", groups=("visitor", "lane"))
+
 
 @dataclass
 class Tables:
@@ -210,6 +213,23 @@ class Networks:
     def supplier_shortcuts(self) -> DataFrame:
         return initial_shortcuts(self.supplier_arcs, self.supplier_edges)
 
+    # -- events ---------------------------------------------------------------
+
+    @property
+    def visits(self) -> DataFrame:
+        """Arcs between consecutive events of a visitor's lane; ids and visitors are text."""
+        lane = Window.partitionBy("visitor", "lane").orderBy("ts", "event_id")
+        events = self.tables.events.select(
+            F.concat(F.lit("visitor "), F.col("user_id").cast("string")).alias("visitor"), (F.col("event_id") % 8).alias("lane"), "ts", "event_id",
+            F.concat("event_type", F.lit(" "), "props", F.lit(" "), F.col("user_id").cast("string")).alias("here"),
+            (F.floor("value") + 1).cast("double").alias("cost"),
+        )
+        return events.select(
+            F.col("here").alias("src"), F.lead("here").over(lane).alias("dst"), "cost", "visitor", "lane"
+        ).where("src IS NOT NULL AND dst IS NOT NULL AND visitor IS NOT NULL AND lane IS NOT NULL").select(
+            "src", "dst", "cost", F.col("dst").alias("next_node"), "visitor", "lane"
+        )
+
     # -- customers ------------------------------------------------------------
 
     @property

@@ -43,6 +43,15 @@ regions AS MATERIALIZED (
   SELECT line AS src, next_line AS dst, quantity * gap AS cost, next_line AS next_node,
          l_orderkey, l_returnflag FROM consecutive)"""
 
+VISITS = """
+visit_events AS (
+  SELECT 'visitor ' || user_id::VARCHAR AS visitor, event_id % 8 AS lane, ts, event_id,
+         event_type || ' ' || props || ' ' || user_id::VARCHAR AS here, (floor(value) + 1)::DOUBLE AS cost FROM events),
+visits AS MATERIALIZED (
+  SELECT here AS src, following AS dst, cost, following AS next_node, visitor, lane
+  FROM (SELECT *, lead(here) OVER (PARTITION BY visitor, lane ORDER BY ts, event_id) AS following FROM visit_events)
+  WHERE here IS NOT NULL AND following IS NOT NULL AND visitor IS NOT NULL AND lane IS NOT NULL)"""
+
 PARTS = CONSECUTIVE + """,
 part_edges AS MATERIALIZED (
   SELECT part AS src, next_part AS dst FROM consecutive WHERE gap = 1 AND part <> next_part)"""
@@ -93,6 +102,15 @@ def ancestor(cell: str, res) -> str:
     )
 
 
+PENTAGONS = (4, 14, 24, 38, 49, 58, 63, 72, 83, 97, 107, 117)
+
+
+def in_deleted_part(cell: str) -> str:
+    """Whether a resolution-2 cell lies in the part that its pentagon lacks."""
+    return (f"((({cell} >> 45) & 127) IN {PENTAGONS} AND ((({cell} >> 42) & 7) = 1 "
+            f"OR ((({cell} >> 42) & 7) = 0 AND (({cell} >> 39) & 7) = 1)))")
+
+
 def common_ancestor(a: str, b: str) -> str:
     """Finest resolution first; only levels neither cell is coarser than count."""
     cases = " ".join(

@@ -8,6 +8,7 @@ report of a session writes them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 from roadloom.durable import fresh_path, path_exists
 from roadloom.functions import cells
 from roadloom.functions.costs import travel_cost
-from roadloom.operators import celled, graph, merge, paths, quality, reports, sampling
+from roadloom.operators import celled, dictionary, graph, merge, paths, quality, reports, sampling, sketches
 from roadloom.operators.closure import closure
 from roadloom.operators.paths import SHORTCUT
 from roadloom.plans import bounded, hierarchy
 from roadloom.sources import network, store
 from workloads import oracle as o
-from workloads.networks import ORDER, REGION, Networks
+from workloads.networks import ORDER, REGION, VISIT, Networks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -246,9 +247,11 @@ RETURNED = "l_orderkey IN (SELECT l_orderkey FROM order_lines WHERE l_returnflag
     o.closure("closed", "returned", o.LINE_ROUNDS, ("l_orderkey",)), select=f"""
 SELECT {LINE_COLUMNS} FROM lines WHERE NOT {RETURNED} UNION ALL SELECT {LINE_COLUMNS} FROM closed"""))
 def merge_by_partition(n):
-    """Orders with a returned line are closed and replace their former rows."""
+    """Orders with a returned line are closed and replace their former rows in a stored table."""
     returned = n.order_lines.where("l_returnflag = 'R'").select("l_orderkey")
-    return merge.merge_partitions(n.lines, closure(n.lines.join(returned, "l_orderkey", "left_semi"), ORDER), ["l_orderkey"])
+    table = store.VersionedTable(n.spark, fresh_path(n.spark, "orders"), ["l_orderkey"]).create(n.lines)
+    closed = closure(table.read().join(returned, "l_orderkey", "left_semi"), ORDER, method="grouped")
+    return table.replace(closed).read()
 
 
 FLAGGED = """
@@ -621,6 +624,21 @@ def cell_closure_grouped(n):
     return closure(n.lines, ORDER, method="grouped")
 
 
+VISIT_COLUMNS = "src, dst, cost, next_node, visitor, lane"
+
+
+@register("closure_of_text_ids", o.query(o.VISITS, o.closure("closed", "visits", o.LINE_ROUNDS, ("visitor", "lane"), "last", "src", "dst", "next_node"), select=f"SELECT {VISIT_COLUMNS} FROM closed"))
+def closure_of_text_ids(n):
+    """Text ids and text groups, closed as dense numbers."""
+    return dictionary.closure_by_numbers(n.visits, VISIT)
+
+
+@register("id_numbers", o.query(o.VISITS, select="""
+SELECT id, row_number() OVER (ORDER BY id) - 1 AS number FROM (SELECT src AS id FROM visits UNION SELECT dst FROM visits)"""))
+def id_numbers(n):
+    return dictionary.numbered(n.visits.select("src"), n.visits.select("dst"))
+
+
 FAR = 1 << 60  # ids that a double cannot tell apart
 
 
@@ -837,3 +855,177 @@ def invalid_cells(n):
     broken = n.supplier_inputs.withColumn(
         "outgoing_cell", F.when(F.col("maxspeed") > 0, F.col("outgoing_cell")).otherwise(F.col("outgoing_cell") - 1))
     return quality.invalid_cells(broken)
+
+
+# Ways to break a resolution-2 cell, as expressions that both engines read.
+BASE, DIGITS = 127 << 45, 63 << 39
+BREAKS = [
+    ("NULL", "missing"),
+    ("{cell} | (-9223372036854775807 - 1)", "top bit"),
+    (f"{{cell}} | {1 << 60}", "mode"),
+    (f"{{cell}} | {1 << 56}", "reserved bits"),
+    (f"{{cell}} | {BASE}", "base cell"),
+    (f"{{cell}} | {7 << 42}", "digit"),
+    ("{cell} - 1", "finer digit"),
+    (f"({{cell}} & ~{BASE} & ~{DIGITS}) | {(14 << 45) | (1 << 39)}", "deleted subsequence"),
+    # No faults: no cell, and a part of a pentagon that exists.
+    ("0", None),
+    (f"({{cell}} & ~{BASE} & ~{DIGITS}) | {(14 << 45) | (2 << 39)}", None),
+]
+#: Each column's cells are broken by the edge's number plus this, modulo 12; two in twelve stay as they are.
+BREAK_BY = {"incoming_cell": 0, "outgoing_cell": 3}
+
+
+def broken_cells(n: Networks) -> DataFrame:
+    def broken(name: str, shift: int):
+        cases = " ".join(f"WHEN {k} THEN {rule.format(cell=name)}" for k, (rule, _) in enumerate(BREAKS))
+        return F.expr(f"CASE (id + {shift}) % 12 {cases} ELSE {name} END").cast("long").alias(name)
+
+    return n.supplier_inputs.select("id", *[broken(name, shift) for name, shift in BREAK_BY.items()])
+
+
+def faults_sql() -> str:
+    told = " ".join(f"WHEN {k} THEN {reason!r}" if reason else f"WHEN {k} THEN NULL" for k, (_, reason) in enumerate(BREAKS))
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, CASE (id + {shift}) % 12 {told} "
+        f"ELSE CASE WHEN {o.in_deleted_part(name)} THEN 'deleted subsequence' END END AS reason FROM supplier_inputs"
+        for name, shift in BREAK_BY.items())
+    return f"SELECT column_name, reason, count(*) AS rows FROM ({rows}) WHERE reason IS NOT NULL GROUP BY ALL"
+
+
+@register("cell_fault_counts", o.query(o.SUPPLIERS, select=faults_sql()))
+def cell_fault_counts(n):
+    """Every part of the layout broken on a share of all rows, counted by reason."""
+    return quality.fault_counts(broken_cells(n))
+
+
+# Lines of an edge file, broken by the edge's number; every 13th line is followed by the header once more.
+FILE_HEADER = "id,incoming_cell,outgoing_cell,lca_res,length,maxspeed"
+FILE_LINES = """
+WHEN 0 THEN {id} || ',' || {a} || ',' || {b}
+WHEN 1 THEN {id} || ',' || {a} || ',' || {b} || ',' || {rest} || ',9'
+WHEN 2 THEN 'x' || {id} || ',' || {a} || ',' || {b} || ',' || {rest}
+WHEN 3 THEN ',' || {a} || ',' || {b} || ',' || {rest}
+WHEN 4 THEN {id} || ',' || {a} || '9,' || {b} || ',' || {rest}
+WHEN 5 THEN {id} || ',' || {a} || ',no cell,' || {rest}
+WHEN 6 THEN {id} || ', ' || {hex_a} || ' ,"' || {hex_b} || '",' || {rest}
+WHEN 7 THEN {id} || ',' || {hex_a} || 'g,' || {b} || ',' || {rest}
+WHEN 8 THEN {id} || ',' || {a} || ',' || {b} || ',' || {rest} || 'm'
+WHEN 9 THEN {id} || ',' || {a} || ',' || {broken_b} || ',' || {rest}
+WHEN 10 THEN {id} || ',' || {a} || ',,' || {rest}
+ELSE {id} || ',' || {a} || ',' || {b} || ',' || {rest} END"""
+
+
+def edge_lines(text: str, hexadecimal: str) -> str:
+    """The expression of an edge's line; ``text`` and ``hexadecimal`` turn a number into text."""
+    rest = " || ',' || ".join([text.format("lca_res"), f"coalesce({text.format('CAST(length AS BIGINT)')}, '')", text.format("CAST(maxspeed AS BIGINT)")])
+    return "CASE id % 13 " + FILE_LINES.format(
+        id=text.format("id"), a=text.format("incoming_cell"), b=text.format("outgoing_cell"), rest=rest,
+        hex_a=hexadecimal.format("incoming_cell"), hex_b=hexadecimal.format("outgoing_cell"), broken_b=text.format("(outgoing_cell - 1)"))
+
+
+LINES_SQL = f"edge_lines AS (SELECT *, {edge_lines('({0})::VARCHAR', 'lower(hex({0}))')} AS line FROM supplier_inputs)"
+IN_PENTAGON = f"({o.in_deleted_part('incoming_cell')} OR {o.in_deleted_part('outgoing_cell')})"
+
+
+def checked_edge_file(n: Networks):
+    """An edge file of good and bad lines, read again."""
+    lines = n.supplier_inputs.selectExpr("id", f"{edge_lines('CAST({0} AS STRING)', 'lower(hex({0}))')} AS line")
+    again = F.when(F.col("id") % 13 == 12, F.array("line", F.lit(FILE_HEADER))).otherwise(F.array("line"))
+    path = fresh_path(n.spark, "edge-lines")
+    # One text column whose name is the header: every file begins with it.
+    lines.select(F.explode(again).alias(FILE_HEADER)).write.options(header=True, sep="\x01", quote="\x02", escapeQuotes=False).csv(path)
+    return network.read_checked(n.spark, path)
+
+
+@register("edges_accepted", o.query(o.SUPPLIERS, LINES_SQL, select=f"""
+SELECT id, incoming_cell, CASE WHEN id % 13 <> 10 THEN outgoing_cell END AS outgoing_cell, lca_res, length, maxspeed FROM edge_lines
+WHERE id % 13 IN (6, 10, 11, 12) AND NOT {o.in_deleted_part('incoming_cell')} AND (id % 13 = 10 OR NOT {o.in_deleted_part('outgoing_cell')})"""))
+def edges_accepted(n):
+    return checked_edge_file(n)[0]
+
+
+@register("edges_rejected", o.query(o.SUPPLIERS, LINES_SQL, f"""
+told AS (SELECT id, line, CASE WHEN id % 13 < 2 THEN 'fields' WHEN id % 13 = 3 THEN 'missing' WHEN id % 13 IN (2, 8) THEN 'number'
+    WHEN id % 13 IN (4, 5, 7) THEN 'cell' WHEN id % 13 = 9 OR {o.in_deleted_part('incoming_cell')}
+      OR (id % 13 <> 10 AND {o.in_deleted_part('outgoing_cell')}) THEN 'layout' END AS reason,
+  CASE WHEN id % 13 < 2 THEN NULL WHEN id % 13 IN (2, 3) THEN 'id' WHEN id % 13 IN (4, 7) THEN 'incoming_cell' WHEN id % 13 = 8 THEN 'maxspeed'
+    WHEN id % 13 <> 5 AND {o.in_deleted_part('incoming_cell')} THEN 'incoming_cell' ELSE 'outgoing_cell' END AS column_name FROM edge_lines)""", select=f"""
+SELECT line, column_name, reason FROM told WHERE reason IS NOT NULL
+UNION ALL SELECT '{FILE_HEADER}', NULL, 'header' FROM edge_lines WHERE id % 13 = 12"""))
+def edges_rejected(n):
+    return checked_edge_file(n)[1]
+
+
+# -- sketches and bounds --------------------------------------------------------
+
+SKETCH_LEVELS = (1, 0, -1)
+
+
+def supplier_sketches(n: Networks) -> DataFrame:
+    return stored(n, "supplier-sketches", lambda: sketches.cell_sketches(final_suppliers(n)))
+
+
+SKETCHED = "sketched AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT {res} AS resolution, {o.ancestor('cell', res)} AS cell, incoming_edge, outgoing_edge, via_edge, cost FROM final" for res in SKETCH_LEVELS) + ")"
+
+
+@register("sketch_ranks", o.query(*FINAL, SKETCHED, select=f"""
+SELECT resolution, cell, share, count(*) AS rows, TRUE AS within_bound
+FROM (SELECT *, unnest({list(reports.PERCENTILES)}::DOUBLE[]) AS share FROM sketched WHERE cost IS NOT NULL) GROUP BY ALL"""))
+def sketch_ranks(n):
+    """Cost percentiles of each cell, merged up from sketches, held against the ranks they have in the rows."""
+    checked = []
+    for res in SKETCH_LEVELS:
+        found = sketches.quantiles(sketches.merged_up(supplier_sketches(n), res))
+        ranks = sketches.rank_check(final_suppliers(n), found, cells.ancestor("cell", res))
+        checked.append(ranks.select(F.lit(res).alias("resolution"), "cell", "share", "rows", "within_bound"))
+    return reduce(DataFrame.unionByName, checked)
+
+
+@register("sketch_distincts", o.query(*FINAL, SKETCHED, select=" UNION ALL ".join(
+    f"SELECT resolution, cell, '{role}' AS role, count(*) AS rows, count(DISTINCT {role}) AS \"distinct\", TRUE AS within_bound FROM sketched GROUP BY ALL"
+    for role in sketches.EDGES)))
+def sketch_distincts(n):
+    """Distinct edges of each cell, merged up from sketches, held against exact counts."""
+    checked = []
+    for res in SKETCH_LEVELS:
+        found = sketches.distinct_counts(sketches.merged_up(supplier_sketches(n), res))
+        counts = sketches.distinct_check(final_suppliers(n), found, cells.ancestor("cell", res))
+        checked.append(counts.select(F.lit(res).alias("resolution"), "cell", "role", "rows", "distinct", "within_bound"))
+    return reduce(DataFrame.unionByName, checked)
+
+
+@register("approximate_ranks", o.query(o.LINES, LINES_CLOSED, select=f"""
+SELECT share, count(*) AS rows, TRUE AS within_bound
+FROM (SELECT unnest({list(reports.PERCENTILES)}::DOUBLE[]) AS share FROM closed WHERE cost IS NOT NULL) GROUP BY share"""))
+def approximate_ranks(n):
+    """The approximate percentiles of all closed paths, held against the ranks they have in the rows."""
+    shares = [F.lit(share) for share in reports.PERCENTILES]
+    found = reports.approximate_percentiles(closed_lines(n), "cost")
+    values = F.arrays_zip(F.array(*shares).alias("share"), F.array(*map(F.col, found.columns)).alias("estimate"))
+    nowhere = F.lit(None).cast("long")
+    asked = found.select(nowhere.alias("cell"), F.explode(values).alias("_v")).select("cell", "_v.share", "_v.estimate")
+    bound = 1 / reports.DEFAULT_ACCURACY
+    return sketches.rank_check(closed_lines(n), asked, nowhere, bound=bound).select("share", "rows", "within_bound")
+
+
+TARGETS = (3, 7, 11)
+
+
+@register("landmark_bounds", "WITH RECURSIVE " + o.PARTS.strip() + f""",
+links AS MATERIALIZED (SELECT DISTINCT src, dst FROM part_edges),
+reached AS (
+  SELECT p_partkey AS id, p_partkey AS landmark, 0 AS distance FROM part WHERE p_partkey IN {LANDMARKS + TARGETS}
+  UNION SELECT src, landmark, distance + 1 FROM reached JOIN links ON dst = id WHERE distance < 12),
+known AS MATERIALIZED (SELECT id, landmark, min(distance) AS distance FROM reached GROUP BY id, landmark),
+maps AS (SELECT * FROM known WHERE landmark IN {LANDMARKS})
+SELECT t.id, t.landmark AS target, t.distance::INTEGER AS distance,
+  count(b.landmark) = count(a.landmark) AS reachable, greatest(0, coalesce(max(a.distance - b.distance), 0))::INTEGER AS bound
+FROM known t LEFT JOIN maps b ON b.id = t.landmark LEFT JOIN maps a ON a.id = t.id AND a.landmark = b.landmark
+WHERE t.landmark IN {TARGETS} GROUP BY t.id, t.landmark, t.distance""")
+def landmark_bounds(n):
+    """The bound that landmark maps give for each distance to some other vertices."""
+    maps = graph.distance_maps(graph.landmark_distances(n.part_vertices, n.part_edges, LANDMARKS))
+    true = graph.landmark_distances(n.part_vertices, n.part_edges, TARGETS).withColumnRenamed("landmark", "target")
+    return graph.distance_bounds(true.select("id", "target", "distance"), maps)
