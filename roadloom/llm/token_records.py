@@ -214,6 +214,7 @@ class Encoder:
             self.sizes[token["id"]] = len(token["content"].encode())
         self._start_anew()
 
+    SPACE = re.compile(r"\s")
     OTHER_SPACE = re.compile(r"[^\S \n]")
 
     def segments(self, text: str) -> list[str]:
@@ -228,9 +229,10 @@ class Encoder:
         first, *others = text.replace("\n", " \n").split(" ")
         return [" " + first, *others]
 
-    @staticmethod
-    def _marked(segments: list[str]) -> list[str]:
-        return [s if s[0] == "\n" else s[1:] if s[0] == " " and s[1:2] not in ("", " ", "\n") else " " + s for s in segments]
+    def _marked(self, segments: list[str]) -> list[str]:
+        marked = [s if s[0] == "\n" else s[1:] if s[0] == " " and s[1:2] not in ("", " ", "\n") else " " + s for s in segments]
+        self.odd.update(s for s in marked if self.SPACE.search(s, 1))
+        return marked
 
     @staticmethod
     def _text_of(segment: str) -> str:
@@ -239,21 +241,26 @@ class Encoder:
     def _start_anew(self) -> None:
         """Segments' places in a table of ids laid end to end, and where each one's ids begin."""
         self.known: dict[str, int] = {}
-        self.data, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        # Segments with white space behind their first character, or at their end.
+        self.odd: set[str] = set()
+        self.data, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int32)
 
     def _learn(self, segments: list[str]) -> None:
         """Have the library encode segments, many in one call; its tokens' sizes tell where each one ends."""
         # After one another only segments that begin and end as their neighbours in a text would.
-        alike = [s for s in segments if s[0] != " " and not s[-1].isspace()]
-        others = [s for s in segments if s[0] == " " or s[-1].isspace()]
-        texts = list(map(self._text_of, alike))
-        joined = ["".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
-        texts += map(self._text_of, others)
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined + texts[len(alike) :], add_special_tokens=False)]
+        odd = self.odd
+        alike = [s for s in segments if s[0] != " " and s not in odd]
+        others = [s for s in segments if s[0] == " " or s in odd] if len(alike) < len(segments) else []
+        joined = [(" " + " ".join(alike[i : i + JOINED])).replace(" \n", "\n") for i in range(0, len(alike), JOINED)]
+        texts = list(map(self._text_of, others))
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined + texts, add_special_tokens=False)]
         ids = np.concatenate(found)
-        stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(t.encode()) for t in texts])) + 1
+        # The space that was left out is a byte as well.
+        sizes = [len(s) + (s[0] != "\n") for s in alike] if all(map(str.isascii, joined)) else [len(s.encode()) + (s[0] != "\n") for s in alike]
+        sizes += [len(t.encode()) for t in texts]
+        stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes)) + 1
         self.known.update(zip(alike + others, range(len(self.known), len(self.known) + len(segments))))
-        self.starts = np.concatenate([self.starts, len(self.data) + stops])
+        self.starts = np.concatenate([self.starts, len(self.data) + stops.astype(np.int32)])
         self.data = np.concatenate([self.data, ids])
 
     def _looked_up(self, segments: list[list[str]]) -> list[np.ndarray]:
@@ -265,8 +272,12 @@ class Encoder:
             self._learn(list({flat[i] for i in missing}))
             slots[missing] = [self.known[flat[i]] for i in missing]
         sizes = self.starts[slots + 1] - self.starts[slots]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.data[np.repeat(self.starts[slots] - stops[:-1], sizes) + np.arange(stops[-1])]
+        # A part's ids are far fewer than 2^31, and so are those remembered.
+        stops = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=stops[1:])
+        places = np.repeat(self.starts[slots] - stops[:-1], sizes)
+        places += np.arange(stops[-1], dtype=np.int32)
+        ids = self.data[places]
         texts = stops[np.cumsum([0, *map(len, segments)])]
         if len(self.known) > REMEMBERED:
             self._start_anew()
