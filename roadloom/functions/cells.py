@@ -71,7 +71,7 @@ def to_text_sql(cell: str) -> str:
 def from_text_sql(text: str) -> str:
     return (
         f"CASE WHEN trim({text}) = '0' THEN 0L "
-        f"WHEN length(trim({text})) <= 16 THEN TRY_CAST(conv(trim({text}), 16, 10) AS BIGINT) "
+        f"WHEN length(trim({text})) <= 16 THEN IF(trim({text}) RLIKE '^[0-9A-Fa-f]+$', TRY_CAST(conv(trim({text}), 16, 10) AS BIGINT), NULL) "
         f"ELSE TRY_CAST(trim({text}) AS BIGINT) END"
     )
 

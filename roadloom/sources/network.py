@@ -72,11 +72,11 @@ def read_checked(
     for name in names:
         is_header = is_header & F.col(name).eqNullSafe(F.lit(name))
     judged = split.select("line", "_file", is_header.alias("_header"), F.coalesce(*faults).alias("_fault"), *values)
+    stored = durable(judged, "lines")
     # A cell's layout is looked at in its number.
     for name in [f.name for f in wanted if f.name in cells]:
         broken = F.struct(F.lit(name).alias("column_name"), F.lit("layout").alias("reason"))
-        judged = judged.withColumn("_fault", F.when(F.col("_fault").isNull() & F.col(name).isNotNull() & cell_fault(name).isNotNull(), broken).otherwise(F.col("_fault")))
-    stored = durable(judged, "lines")
+        stored = stored.withColumn("_fault", F.when(F.col("_fault").isNull() & F.col(name).isNotNull() & cell_fault(name).isNotNull(), broken).otherwise(F.col("_fault")))
     accepted = stored.where("NOT _header AND _fault IS NULL").select(*[f.name for f in wanted])
     rejected = stored.where("NOT _header AND _fault IS NOT NULL").select("line", "_fault.column_name", "_fault.reason")
     # Header lines of a file are alike, so it doesn't matter which of them came first.

@@ -947,7 +947,7 @@ def edges_accepted(n):
 
 @register("edges_rejected", o.query(o.SUPPLIERS, LINES_SQL, f"""
 told AS (SELECT id, line, CASE WHEN id % 13 < 2 THEN 'fields' WHEN id % 13 = 3 THEN 'missing' WHEN id % 13 IN (2, 8) THEN 'number'
-    WHEN id % 13 IN (4, 5, 7) THEN 'cell' WHEN id % 13 = 9 OR {o.in_deleted_part('incoming_cell')}
+    WHEN id % 13 IN (5, 7) THEN 'cell' WHEN id % 13 IN (4, 9) OR {o.in_deleted_part('incoming_cell')}
       OR (id % 13 <> 10 AND {o.in_deleted_part('outgoing_cell')}) THEN 'layout' END AS reason,
   CASE WHEN id % 13 < 2 THEN NULL WHEN id % 13 IN (2, 3) THEN 'id' WHEN id % 13 IN (4, 7) THEN 'incoming_cell' WHEN id % 13 = 8 THEN 'maxspeed'
     WHEN id % 13 <> 5 AND {o.in_deleted_part('incoming_cell')} THEN 'incoming_cell' ELSE 'outgoing_cell' END AS column_name FROM edge_lines)""", select=f"""
