@@ -160,3 +160,32 @@ def test_no_group_columns(spark):
     closed = closure(celled(spark, rows).drop("current_cell"), SHORTCUT)
     assert closed.where("incoming_edge = 1 and outgoing_edge = 3").first().cost == 2.0
     assert closure(celled(spark, rows), CELLED).count() == 2
+
+
+IN_TASKS = [dict(method=method, hop_rule=rule) for method in ("stepwise", "doubling") for rule in ("last", "first", "middle")]
+
+
+@pytest.mark.parametrize("way", IN_TASKS, ids=str)
+def test_rounds_in_tasks_give_the_rows_of_the_joins(spark, way):
+    """Small groups are closed where they lie, larger ones and unusable rows as before: no row differs."""
+    rows = [(a, b, via, None if cost is None else cost + 1, cell) for a, b, via, cost, cell in random_cells(5)]
+    rows += [(i, i + 1, i + 1, 1.0, 99) for i in range(30)] + [(29, 0, None, 2.0, 99), (1, 2, 2, 1.0, None), (2, 3, 3, 1.0, None)]
+    frame = celled(spark, rows)
+    want = closure(frame, keep_unusable=True, in_task_from=None, **way)
+    for most in (1_000, 25):
+        got = closure(frame, keep_unusable=True, in_task_from=0, grouped_rows=most, **way).select(want.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("way", [dict(method="stepwise"), dict(method="doubling", hop_rule="middle")], ids=str)
+def test_rounds_of_small_groups_do_not_shuffle(spark, way, monkeypatch):
+    """A table of many small groups is closed without a join, however its method is named."""
+    from roadloom.operators import closure as module
+
+    def joined(*_, **__):
+        raise AssertionError("a small group was closed by joins")
+
+    monkeypatch.setattr(module, "meeting_join", joined)
+    frame = spark.range(module.IN_TASK_FROM).selectExpr(
+        "id AS incoming_edge", "id div 4 * 4 + (id + 1) % 4 AS outgoing_edge", "id AS via_edge", "1.0D AS cost", "id div 4 AS current_cell")
+    assert closure(frame, **way).count() == 3 * module.IN_TASK_FROM
