@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.durable import delete_path, durable, fresh_path, write_and_read
@@ -24,6 +24,7 @@ from roadloom.durable import delete_path, durable, fresh_path, write_and_read
 HOT_ROWS = 100_000
 #: A slot of a grid has about as many rows of each side: 64 million pairs.
 GRID_SIDE = 8_000
+_WHOLE_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 SLOT = "_slot"
 SLOTS = "_slots"
 GRID_ROW, GRID_COLUMN = "_grid_row", "_grid_column"
@@ -126,6 +127,16 @@ def onto_grid(left: DataFrame, right: DataFrame, hubs: DataFrame, keys: Sequence
     return left.drop(GRID_ROWS, GRID_COLUMNS), right.drop(GRID_ROWS, GRID_COLUMNS)
 
 
+def join_in_place(spark: SparkSession) -> None:
+    """Let joins run where both sides already lie together by some of the join's keys.
+
+    Paths that come out of a window or an aggregation of their groups are then extended without
+    being shuffled again. Rows that are placed in no such way are spread by all keys as before.
+    """
+    if spark.conf.get(_WHOLE_KEYS, "true") == "true":
+        spark.conf.set(_WHOLE_KEYS, "false")
+
+
 def meeting_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_by: Sequence[str], right_by: Sequence[str],
     side: int = GRID_SIDE, most_pairs: int | None = None,
@@ -135,10 +146,13 @@ def meeting_join(
     ``left_by`` and ``right_by`` tell the rows of a key apart. With ``most_pairs``, the most
     that a single key can have, nothing is counted where no key can be too large.
     """
+    join_in_place(left.sparkSession)
     hubs = None
     if most_pairs is None or most_pairs > side * side:
         hubs = grid_of(left, right, keys, side)
     if hubs is None:
         return left.join(right, list(keys))
-    left, right = onto_grid(left, right, hubs, keys, left_by, right_by)
-    return left.join(right, [*keys, GRID_ROW, GRID_COLUMN]).drop(GRID_ROW, GRID_COLUMN)
+    # Slots of a key are placed apart, also where its rows came together.
+    slots = [*keys, GRID_ROW, GRID_COLUMN]
+    left, right = (rows.repartition(*slots) for rows in onto_grid(left, right, hubs, keys, left_by, right_by))
+    return left.join(right, slots).drop(GRID_ROW, GRID_COLUMN)

@@ -1,8 +1,11 @@
 """The derived networks hold every row of their tables."""
 
+import re
+
 import pytest
 
 from workloads.networks import Networks
+from workloads.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -28,3 +31,20 @@ def test_orders_are_cycles(networks):
         if got is not None:
             want = [(own[i], own[i + g]) for g in (1, 2) for i in range(n - g)] + ([(own[-1], own[0])] if n > 1 else [])
             assert got == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["best_arc_per_pair", "best_path_window", "changed_rows", "min_cost_per_pair"])
+def test_paths_of_placed_groups_are_extended_where_they_lie(spark, tmp_path, name):
+    """The lines of an order lie together once they are numbered: nothing but the line items is shuffled."""
+    spark.createDataFrame(
+        [(1, n, n, 1, 1.0 * n, 1.0, "N") for n in range(1, 4)],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line]
+    assert shuffles and all(re.search(r"hashpartitioning\(l_orderkey#\d+L, ", line) for line in shuffles), shuffles
