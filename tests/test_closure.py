@@ -189,3 +189,27 @@ def test_rounds_of_small_groups_do_not_shuffle(spark, way, monkeypatch):
     frame = spark.range(module.IN_TASK_FROM).selectExpr(
         "id AS incoming_edge", "id div 4 * 4 + (id + 1) % 4 AS outgoing_edge", "id AS via_edge", "1.0D AS cost", "id div 4 AS current_cell")
     assert closure(frame, **way).count() == 3 * module.IN_TASK_FROM
+
+
+@pytest.mark.parametrize("slice_pairs", [10**9, 40])
+def test_a_group_beyond_one_task_is_dealt_out_by_source(spark, slice_pairs, monkeypatch):
+    """Large groups are closed without a join of paths, with the rows of the joins; ties, unread ends and null hops included."""
+    from roadloom.operators import closure as module
+
+    rows = [(a, b, via, None if cost is None else cost + 1, cell) for a, b, via, cost, cell in random_cells(8)]
+    rows += [(i, i + 1, i + 1, 1.0, 99) for i in range(30)] + [(29, 0, None, 2.0, 99), (1, 2, 2, 1.0, None), (None, 3, 3, 1.0, 99)]
+    frame = celled(spark, rows)
+    want = closure(frame, keep_unusable=True, in_task_from=None)
+    monkeypatch.setattr(module, "SLICE_PAIRS", slice_pairs)
+    monkeypatch.setattr(module, "BUCKET_PAIRS", 200)
+    monkeypatch.setattr(module, "meeting_join", None)
+    for way in (dict(method="grouped", grouped_rows=5), dict(method="grouped", grouped_rows=0), dict(in_task_from=0, grouped_rows=5)):
+        got = closure(frame, keep_unusable=True, **way).select(want.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_groups_too_large_to_be_copied_go_through_the_joins(spark):
+    frame = celled(spark, random_cells(9) + [(i, i + 1, i + 1, 1.0, 99) for i in range(30)])
+    want = closure(frame, in_task_from=None)
+    got = closure(frame, method="grouped", grouped_rows=2, sliced_rows=20).select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
