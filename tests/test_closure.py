@@ -213,3 +213,38 @@ def test_groups_too_large_to_be_copied_go_through_the_joins(spark):
     want = closure(frame, in_task_from=None)
     got = closure(frame, method="grouped", grouped_rows=2, sliced_rows=20).select(want.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_small_groups_are_closed_by_more_tasks_than_their_bytes_ask_for(spark, monkeypatch):
+    """Their rounds take long for few bytes: a partition holds about one call's rows, whatever is put together elsewhere."""
+    from roadloom.operators import closure as module
+
+    monkeypatch.setattr(module, "BUCKET_ARCS", 10)
+    frame = spark.range(200).selectExpr(
+        "id AS incoming_edge", "id div 4 * 4 + (id + 1) % 4 AS outgoing_edge", "id AS via_edge", "1.0D AS cost", "id div 4 AS current_cell")
+    closed = closure(frame, method="grouped")
+    assert closed.rdd.getNumPartitions() == 21 and closed.count() == 600
+
+
+def test_rows_with_an_unread_id_are_not_held_against_the_closed_ones(spark):
+    """No closed row can replace them; rows with whole keys are still replaced."""
+    rows = [(1, 2, 2, 1.0, 0), (2, 3, 3, 1.0, 0), (None, 2, 2, 5.0, 0), (None, 2, 2, 4.0, 0), (1, 2, 2, 9.0, None)]
+    closed = closure(celled(spark, rows), method="grouped", keep_unusable=True)
+    assert "Join" not in closed._jdf.queryExecution().executedPlan().toString()
+    whole = {(1, 2, 2, 1.0, 0), (2, 3, 3, 1.0, 0), (1, 3, 2, 2.0, 0)}
+    beside = {(None, 2, 2, 4.0, 0), (1, 2, 2, 9.0, None)}
+    names = ["incoming_edge", "outgoing_edge", "via_edge", "cost", "current_cell"]
+    assert {tuple(r[n] for n in names) for r in closed.collect()} == whole | beside
+    unusable = [(1, 3, 3, None, 0), (3, 1, 1, None, 0)]
+    closed = closure(celled(spark, rows + unusable), method="grouped", keep_unusable=True)
+    assert {tuple(r[n] for n in names) for r in closed.collect()} == whole | beside | {(3, 1, 1, None, 0)}
+
+
+def test_groups_beyond_the_cells_of_one_call_are_spread(spark, monkeypatch):
+    """A call has a cell per possible pair, so it takes no larger group than that allows."""
+    from roadloom.operators import closure as module
+
+    frame = celled(spark, random_cells(3))
+    want = sorted(map(repr, closure(frame, method="grouped", grouped_rows=10**9).collect()))
+    monkeypatch.setattr(module, "MOST_GROUPED_ROWS", 5)
+    assert sorted(map(repr, closure(frame, method="grouped", grouped_rows=10**9).collect())) == want
