@@ -80,10 +80,13 @@ def lowest_costs(paths: DataFrame, columns: PathColumns) -> DataFrame:
 
 
 def cheapest_with_ties(paths: DataFrame, columns: PathColumns) -> DataFrame:
-    """All distinct rows that reach the minimum cost of their key."""
-    return paths.join(
-        lowest_costs(paths, columns), [*columns.keys, columns.cost], "left_semi"
-    ).distinct()
+    """All distinct rows that reach the minimum cost of their key; rows without a key or a cost reach none.
+
+    The paths are read once, and ranked in place where the rows of a key lie together.
+    """
+    whole = " AND ".join(f"{name} IS NOT NULL" for name in (*columns.keys, columns.cost))
+    best_first = Window.partitionBy(*columns.keys).orderBy(F.expr(cost_order_sql(columns.cost)))
+    return paths.where(whole).withColumn("_rank", F.rank().over(best_first)).where(F.col("_rank") == 1).drop("_rank").distinct()
 
 
 def extend(
@@ -93,19 +96,30 @@ def extend(
 
     Costs add. The hop is the meeting point (``middle``) or the left path's own
     hop (``first``). A path never returns to its own start. Nodes where more than
-    ``side`` squared pairs meet are split on both sides.
+    ``side`` squared pairs meet are split on both sides; where no group has rows enough for
+    that, its nodes are not counted.
     """
+    most = _most_in_a_group(left, columns)
+    if most is not None:
+        most *= most if left is right else _most_in_a_group(right, columns)
     hop = {"middle": "_mid", "first": "_left_hop"}[hop_rule]
     left = left.selectExpr(
         columns.source, *columns.groups, f"{columns.target} AS _mid", f"{columns.cost} AS _left_cost", f"{columns.hop} AS _left_hop"
     )
     right = right.selectExpr(columns.target, *columns.groups, f"{columns.source} AS _mid", f"{columns.cost} AS _right_cost")
-    pairs = meeting_join(left, right, ["_mid", *columns.groups], [columns.source], [columns.target], side)
+    pairs = meeting_join(left, right, ["_mid", *columns.groups], [columns.source], [columns.target], side, most)
     return pairs.where(F.col(columns.source) != F.col(columns.target)).selectExpr(
         *columns.keys, f"_left_cost + _right_cost AS {columns.cost}", f"{hop} AS {columns.hop}"
     )
 
 
+def _most_in_a_group(paths: DataFrame, columns: PathColumns) -> int | None:
+    """The rows of the largest group; None without groups."""
+    if not columns.groups:
+        return None
+    return paths.groupBy(*columns.groups).count().agg(F.max("count")).first()[0] or 0
+
+
 def improve_once(paths: DataFrame, columns: PathColumns, hop_rule: str = "middle") -> DataFrame:
     """One full doubling round: extend every path by every path, keep the cheapest."""
     paths = paths.select(*columns.all)

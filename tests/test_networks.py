@@ -48,3 +48,11 @@ def test_paths_of_placed_groups_are_extended_where_they_lie(spark, tmp_path, nam
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     shuffles = [line for line in plan.splitlines() if "Exchange" in line]
     assert shuffles and all(re.search(r"hashpartitioning\(l_orderkey#\d+L, ", line) for line in shuffles), shuffles
+
+
+@pytest.mark.parametrize("name", ["best_path_joinback", "changed_rows", "best_arc_per_pair", "cell_convergence_flags"])
+def test_lines_are_numbered_once(spark, name):
+    """Queries that read the line arcs several times read them from storage, and rank the paths where they lie."""
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "row_number" not in plan
+    assert "incoming_edge#" in plan and not re.search(r"Exchange hashpartitioning\(incoming_edge", plan)

@@ -138,3 +138,13 @@ def test_region_helpers(spark):
     assert sorted(r[0] for r in paths.region_list(rows, ["p", "q"]).collect()) == ["a_x", "a_y"]
     assert sorted(r.v for r in paths.one_region(rows, p="a", q="x").collect()) == [1, 3]
     assert SHORTCUT.within("p").keys == ["incoming_edge", "outgoing_edge", "p"]
+
+
+def test_ties_are_found_in_one_pass(spark):
+    """All rows of the lowest cost, each once; the paths are read a single time, and rows without a key or a cost are left out."""
+    rows = [(1, 2, 5, 1.0, 0), (1, 2, 6, 1.0, 0), (1, 2, 6, 1.0, 0), (1, 2, 3, 2.0, 0), (1, 2, 3, None, 0), (2, 3, 3, None, 0), (None, 3, 3, 1.0, 0)]
+    rows += [(4, 5, 5, math.nan, 0), (4, 6, 6, math.nan, 0), (4, 6, 6, math.inf, 0), (7, 8, 8, 0.0, 0), (7, 8, 9, -0.0, 0)]
+    ties = paths.cheapest_with_ties(spark.createDataFrame(rows, CELL_ROWS), CELLED)
+    got = {(r.incoming_edge, r.outgoing_edge, r.via_edge) for r in ties.collect()}
+    assert got == {(1, 2, 5), (1, 2, 6), (4, 5, 5), (4, 6, 6), (7, 8, 8), (7, 8, 9)} and ties.count() == 6
+    assert "Join" not in ties._jdf.queryExecution().executedPlan().toString()

@@ -20,6 +20,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadloom.durable import durable
 from roadloom.functions.cells import common_ancestor, resolution
 from roadloom.operators.paths import PathColumns
 from roadloom.sources.network import initial_shortcuts, with_cost
@@ -126,6 +127,11 @@ class Networks:
             "l_orderkey",
         )
 
+    @cached_property
+    def placed_lines(self) -> DataFrame:
+        """The line arcs stored, and placed by their order: queries that read them several times number the lines once."""
+        return durable(self.lines, "lines").repartition(*ORDER.groups)
+
     @property
     def regions(self) -> DataFrame:
         """The line arcs with a two-column region: order and return flag."""

@@ -208,7 +208,7 @@ def one_region_paths(n):
 
 @register("extend_paths_once", o.query(o.LINES, o.improved_once("better", "lines", ("l_orderkey",)), select=f"SELECT {LINE_COLUMNS} FROM better_chains"))
 def extend_paths_once(n):
-    return paths.extend(n.lines, n.lines, ORDER)
+    return paths.extend(n.placed_lines, n.placed_lines, ORDER)
 
 
 @register("extend_paths_uncelled", o.query(o.TRADE, o.improved_once("better", "trade"), select=f"SELECT {o.PAIR} FROM better_chains"))
@@ -220,8 +220,8 @@ def extend_paths_uncelled(n):
 SELECT {LINE_COLUMNS} FROM better b WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.incoming_edge = b.incoming_edge
  AND l.outgoing_edge = b.outgoing_edge AND l.cost = b.cost AND l.l_orderkey = b.l_orderkey)"""))
 def changed_rows(n):
-    newer = paths.improve_once(n.lines, ORDER)
-    return paths.changed_rows(newer, n.lines, [*ORDER.keys, "cost"])
+    newer = paths.improve_once(n.placed_lines, ORDER)
+    return paths.changed_rows(newer, n.placed_lines, [*ORDER.keys, "cost"])
 
 
 @register("changed_rows_3key", o.query(o.TRADE, o.improved_once("better", "trade"), select=f"""
@@ -262,7 +262,7 @@ flagged AS MATERIALIZED (
 
 
 def flagged_lines(n):
-    return paths.flag_converged(paths.improve_once(n.lines, ORDER), n.lines, ORDER)
+    return paths.flag_converged(paths.improve_once(n.placed_lines, ORDER), n.placed_lines, ORDER)
 
 
 @register("cell_convergence_flags", o.query(o.LINES, o.improved_once("better", "lines", ("l_orderkey",)), FLAGGED, select=f"SELECT {LINE_COLUMNS}, is_converged FROM flagged"))
@@ -279,7 +279,7 @@ def all_cells_converged(n):
 SELECT DISTINCT {LINE_COLUMNS} FROM better_all
 QUALIFY cost = min(cost) OVER (PARTITION BY incoming_edge, outgoing_edge, l_orderkey)"""))
 def best_path_joinback(n):
-    both = n.lines.unionByName(paths.extend(n.lines, n.lines, ORDER))
+    both = n.placed_lines.unionByName(paths.extend(n.placed_lines, n.placed_lines, ORDER))
     return paths.cheapest_with_ties(both, ORDER)
 
 
@@ -305,17 +305,17 @@ def motif_two_hop(n):
 @register("min_cost_per_pair", o.query(o.LINES, o.improved_once("better", "lines", ("l_orderkey",)), select="""
 SELECT incoming_edge, outgoing_edge, l_orderkey, min(cost) AS cost FROM better_all GROUP BY ALL"""))
 def min_cost_per_pair(n):
-    return paths.lowest_costs(n.lines.unionByName(paths.extend(n.lines, n.lines, ORDER)), ORDER)
+    return paths.lowest_costs(n.placed_lines.unionByName(paths.extend(n.placed_lines, n.placed_lines, ORDER)), ORDER)
 
 
 @register("best_arc_per_pair", o.query(o.LINES, o.improved_once("better", "lines", ("l_orderkey",)), select=f"SELECT {LINE_COLUMNS} FROM better"))
 def best_arc_per_pair(n):
-    return paths.cheapest(n.lines.unionByName(paths.extend(n.lines, n.lines, ORDER)), ORDER)
+    return paths.cheapest(n.placed_lines.unionByName(paths.extend(n.placed_lines, n.placed_lines, ORDER)), ORDER)
 
 
 @register("best_path_window", o.query(o.LINES, o.improved_once("better", "lines", ("l_orderkey",)), select=f"SELECT {LINE_COLUMNS} FROM better"))
 def best_path_window(n):
-    return paths.cheapest_by_rank(n.lines.unionByName(paths.extend(n.lines, n.lines, ORDER)), ORDER)
+    return paths.cheapest_by_rank(n.placed_lines.unionByName(paths.extend(n.placed_lines, n.placed_lines, ORDER)), ORDER)
 
 
 @register("best_path_uncelled", o.query(o.TRADE, o.improved_once("better", "trade"), select=f"SELECT {o.PAIR} FROM better"))
@@ -326,7 +326,7 @@ def best_path_uncelled(n):
 @register("path_set_difference", o.query(o.LINES, o.improved_once("better", "lines", ("l_orderkey",)), select=f"""
 SELECT {LINE_COLUMNS} FROM better EXCEPT SELECT {LINE_COLUMNS} FROM lines"""))
 def path_set_difference(n):
-    return paths.path_difference(paths.improve_once(n.lines, ORDER), n.lines, ORDER)
+    return paths.path_difference(paths.improve_once(n.placed_lines, ORDER), n.placed_lines, ORDER)
 
 
 @register("region_list", o.query(o.REGIONS, select="SELECT DISTINCT l_orderkey::VARCHAR || '_' || l_returnflag AS region_key FROM regions"))
@@ -651,8 +651,10 @@ GROUP BY outgoing_edge, l_orderkey"""))
 def closure_of_odd_ids(n):
     """Ids beyond 2^53 in small cells, beside rows whose id could not be read."""
     far = n.lines.withColumns({c: F.col(c) + FAR for c in ("incoming_edge", "outgoing_edge", "via_edge")})
-    unread = far.where("cost > 40").withColumn("incoming_edge", F.lit(None).cast("long"))
-    return closure(far.unionByName(unread), ORDER, method="grouped", keep_unusable=True)
+    # Both kinds of rows come from one pass over the lines.
+    both = far.withColumn("read", F.explode(F.expr("IF(cost > 40, array(true, false), array(true))")))
+    both = both.withColumn("incoming_edge", F.expr("IF(read, incoming_edge, NULL)")).drop("read")
+    return closure(both, ORDER, method="grouped", keep_unusable=True)
 
 
 @register("closure_first_hop", o.query(o.TRADE, o.closure("closed", "trade", 4, (), "first"), select=f"SELECT {o.PAIR} FROM closed"))
