@@ -44,6 +44,9 @@ def bounded_cost_pipeline(
     spark = paths.sparkSession
     store, digests = Rounds(spark, "regions"), Rounds(spark, "digests")
     table, left = paths.select(*columns.all), None
+    if rounds:
+        # Closing reads the table several times before its first merge.
+        table, _ = store.save(table)
     for _ in range(rounds):
         with scratch(spark):
             below = below_cost(table, ceiling, columns.cost)
