@@ -16,6 +16,7 @@ from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -124,7 +125,19 @@ def write_and_read(df: DataFrame, path: str, **metrics: Column) -> tuple[DataFra
     else:
         df.write.parquet(path)
         measured = {}
-    return spark.read.schema(df.schema).parquet(path), measured
+    return read_stored(spark, path, df.schema), measured
+
+
+def read_stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table stored at ``path``, which ``stored_at`` tells of it."""
+    stored = spark.read.schema(schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def stored_at(df: DataFrame) -> str | None:
+    """The folder of a table that is as it was read from there; None for whatever was made of it."""
+    return vars(df).get("_stored_at")
 
 
 def durable(df: DataFrame, name: str = "table") -> DataFrame:

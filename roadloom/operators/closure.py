@@ -43,8 +43,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from roadloom.durable import durable, fresh_path, write_and_read
+from roadloom.durable import durable, fresh_path, read_stored, write_and_read
 from roadloom.functions.costs import usable_sql
 from roadloom.keyed import BUCKET_ROWS, MOST_LAYERS, Layers, write_in_buckets
 from roadloom.operators.paths import CELLED, PathColumns, cheapest, cost_order_sql
@@ -71,6 +72,8 @@ SLICE_CHAINS = 16_000_000
 MOST_SLICES = 1_000
 MOST_PARTITIONS = 10_000
 ROWS = "count(*)"
+#: True for rows that a closing of placed groups has left as they were.
+OPEN = "_open"
 
 
 class NotConverged(RuntimeError):
@@ -110,6 +113,7 @@ def closure(
     grouped_rows: int = GROUPED_ROWS,
     in_task_from: int | None = IN_TASK_FROM,
     sliced_rows: int = SLICED_ROWS,
+    placed: bool = False,
 ) -> DataFrame:
     """Cheapest path per (source, target, groups) over the given paths.
 
@@ -131,6 +135,11 @@ def closure(
     small groups inside tasks; with None, or with a limit on rounds, all rounds are joins.
     Groups of more than ``grouped_rows`` and up to ``sliced_rows`` rows are dealt out by source
     where the last hop is stored and paths do not double.
+
+    ``placed`` tells that a group's rows lie in one partition, as a window over the groups leaves
+    them. Small groups are then closed where they lie: nothing is shuffled or stored before, and the
+    closed rows are stored instead. It changes no row, and does nothing with ``closed_before``,
+    ``keep_unusable`` or a limit on rounds.
     """
     if closed_before and hop_rule != "last":
         raise ValueError("closings are remembered for the last hop only")
@@ -138,14 +147,14 @@ def closure(
         if hop_rule != "last":
             raise ValueError("the grouped method stores the last hop")
         return _by_group_size(
-            paths, columns, grouped_rows, sliced_rows=sliced_rows, about_source=about_source, about_target=about_target,
+            paths, columns, grouped_rows, sliced_rows=sliced_rows, placed=placed, about_source=about_source, about_target=about_target,
             closed_before=closed_before, carried=carried,
             keep_unusable=keep_unusable, max_rounds=max_rounds, allow_partial=allow_partial,
             growth=growth, hot_rows=hot_rows, most_layers=most_layers,
         )
     if in_task_from is not None and columns.groups and max_rounds is None:
         return _by_group_size(
-            paths, columns, grouped_rows, method, hop_rule, in_task_from, sliced_rows=sliced_rows, about_source=about_source, about_target=about_target,
+            paths, columns, grouped_rows, method, hop_rule, in_task_from, sliced_rows=sliced_rows, placed=placed, about_source=about_source, about_target=about_target,
             closed_before=closed_before, carried=carried,
             keep_unusable=keep_unusable, max_rounds=None, allow_partial=allow_partial,
             growth=growth, hot_rows=hot_rows, most_layers=most_layers,
@@ -388,12 +397,12 @@ class _Relaxation:
 
 
 def _by_group_size(
-    paths, columns, grouped_rows, method="stepwise", hop_rule="last", in_task_from=0, *, sliced_rows, about_source, about_target, closed_before, carried, keep_unusable, max_rounds, **joins
+    paths, columns, grouped_rows, method="stepwise", hop_rule="last", in_task_from=0, *, sliced_rows, placed=False, about_source, about_target, closed_before, carried, keep_unusable, max_rounds, **joins
 ) -> DataFrame:
     """Small groups in grouped-map tasks, groups beyond ``grouped_rows`` by source, the largest by joins.
 
     The rounds are those of ``method``, wherever they run. A table below ``in_task_from`` rows is
-    closed by joins as a whole.
+    closed by joins as a whole, unless its rows are ``placed``.
 
     Only rows that can be part of a path are grouped; the others stay beside as they are
     unless a path replaces them. Rounds belong to the joins, so with a limit on them all
@@ -414,6 +423,20 @@ def _by_group_size(
     given = paths.select(*columns.all, *about, *marks, *carried)
     if not keep_unusable:
         given = given.where(_live(columns))
+    solver = _Solver(columns, about_source, about_target, closed_before, carried, method, hop_rule)
+    grouped_rows, pairs_of_row = min(grouped_rows, MOST_GROUPED_ROWS), "_rows"
+    if method == "doubling" or hop_rule == "middle":
+        grouped_rows, pairs_of_row = min(grouped_rows, DOUBLED_ROWS), "_rows * _rows"
+    if placed and not closed_before and not keep_unusable:
+        path = fresh_path(paths.sparkSession, "closed")
+        stored, seen = write_and_read(solver.solved_in_place(given, chained, grouped_rows, pairs_of_row), path, open=F.expr(f"count_if({OPEN})"))
+        if not seen["open"]:
+            return read_stored(paths.sparkSession, path, given.schema)
+        others = _by_group_size(
+            stored.where(OPEN).drop(OPEN), columns, grouped_rows, method, hop_rule, sliced_rows=sliced_rows, about_source=about_source,
+            about_target=about_target, closed_before=closed_before, carried=carried, keep_unusable=keep_unusable, max_rounds=None, **joins,
+        )
+        return stored.where(f"NOT {OPEN}").select(*names).unionByName(others.select(*names))
     keyed = " AND ".join(f"{name} IS NOT NULL" for name in columns.keys)
     stored, seen = write_and_read(
         given, fresh_path(paths.sparkSession, "paths"), rows=F.expr(ROWS),
@@ -423,16 +446,12 @@ def _by_group_size(
         return closure(stored, columns, keep_unusable=keep_unusable, **by_joins)
     rows = stored.where(chained) if seen["beside"] else stored
     sizes = rows.groupBy(*groups).agg(F.expr("count(*) AS _rows"))
-    grouped_rows, pairs = min(grouped_rows, MOST_GROUPED_ROWS), "_rows * _rows"
-    if method == "doubling" or hop_rule == "middle":
-        grouped_rows, pairs = min(grouped_rows, DOUBLED_ROWS), "_rows * _rows * _rows"
     measured = sizes.selectExpr(
         f"count_if(_rows > {grouped_rows}) AS large", f"count_if(_rows <= {grouped_rows}) AS small",
-        f"coalesce(sum(IF(_rows > {grouped_rows}, 0, {pairs})), 0) AS pairs",
+        f"coalesce(sum(IF(_rows > {grouped_rows}, 0, _rows * {pairs_of_row})), 0) AS pairs",
         f"coalesce(sum(IF(_rows > {grouped_rows}, 0, _rows)), 0) AS rows",
     ).first()
     buckets = max(measured["pairs"] // BUCKET_PAIRS, measured["rows"] // BUCKET_ARCS) + 1
-    solver = _Solver(columns, about_source, about_target, closed_before, carried, method, hop_rule)
     if not measured["large"]:
         closed = solver.solved(rows, buckets)
     else:
@@ -498,6 +517,20 @@ def _first_of_each(key, *tie_breaks):
     return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
 
 
+def _told(table: pa.Table, is_open: bool) -> list[pa.RecordBatch]:
+    return table.append_column(OPEN, pa.repeat(is_open, table.num_rows)).to_batches()
+
+
+def _cuts(group: np.ndarray, load: np.ndarray) -> Iterator[int]:
+    """Where to cut rows that come group by group, so that the load between two cuts is about 1; never behind the last group."""
+    starts = np.flatnonzero(group[1:] != group[:-1]) + 1
+    upto, begin = np.append(0.0, np.cumsum(load)), 0
+    while upto[-1] - upto[begin] >= 1 and len(starts):
+        fitting = max(int(np.searchsorted(upto[starts], upto[begin] + 1, side="right")), 1)
+        begin, starts = int(starts[fitting - 1]), starts[fitting:]
+        yield begin
+
+
 def _lowered(best: np.ndarray, cell: np.ndarray, price: np.ndarray) -> np.ndarray:
     """Puts the prices below the best ones in their cells; these cells, in order."""
     lower = price < best[cell]
@@ -601,6 +634,19 @@ class _Solver:
         dealt = rows.withColumn("_bucket", bucket).repartition(int(min(buckets, MOST_PARTITIONS)), "_bucket")
         return dealt.groupBy("_bucket").applyInArrow(lambda table: self._solve(table, wanted.names), wanted)
 
+    def solved_in_place(self, rows: DataFrame, chained: str, most: int, pairs_of_row: str) -> DataFrame:
+        """Groups of up to ``most`` rows closed in the partition they lie in, the other rows as they are and marked ``OPEN``.
+
+        The window keeps rows that lie by their groups where they are, and gives others a place.
+        """
+        groups, wanted = ", ".join(self.columns.groups), rows.schema
+        sized = rows.withColumn("_rows", F.expr(f"CAST(count(IF({chained}, 1, NULL)) OVER (PARTITION BY {groups}) AS DOUBLE)"))
+        dealt = sized.selectExpr(
+            *wanted.names, f"xxhash64({groups}) AS _group",
+            f"IF({chained} AND _rows <= {most}, {pairs_of_row} / {float(BUCKET_PAIRS)}D + {1 / BUCKET_ARCS}D, NULL) AS _load",
+        )
+        return dealt.mapInArrow(lambda batches: self._solve_in_turn(batches, wanted.names), T.StructType([*wanted.fields, T.StructField(OPEN, T.BooleanType())]))
+
     def solved_by_source(self, rows: DataFrame, slices: DataFrame, total: int) -> DataFrame:
         """The groups of ``slices``, each closed in that many calls: a call has the group's rows and its own sources."""
         c = self.columns
@@ -658,6 +704,28 @@ class _Solver:
         via = _lowest_hops(len(g.start_of_cell), len(g.ids), direct, arc_cost, g.arc_hop, g.cell_of(key), price, via)[cell]
         return self._rows(table, names, g, known, best, via, place, unchanged)
 
+    def _solve_in_turn(self, batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+        """The groups of a partition, one behind the other, as many in a call as make its load; rows without a load stay open."""
+        held, load = [], 0.0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if table["_load"].null_count:
+                yield from _told(table.filter(table["_load"].is_null()).select(names), True)
+                table = table.filter(table["_load"].is_valid())
+            held.append(table)
+            load += pc.sum(table["_load"]).as_py() or 0.0
+            if load >= 1:
+                # The last group may go on in the next batch.
+                table = pa.concat_tables(held).combine_chunks()
+                begin = 0
+                for end in _cuts(table["_group"].to_numpy(), table["_load"].to_numpy()):
+                    yield from _told(self._solve(table.slice(begin, end - begin), names), False)
+                    begin = end
+                held = [table.slice(begin)]
+                load = pc.sum(held[0]["_load"]).as_py()
+        if load:
+            yield from _told(self._solve(pa.concat_tables(held).combine_chunks(), names), False)
+
     def _solve_sources(self, table: pa.Table, names: list[str]) -> Iterator[pa.Table]:
         """The closed paths from the slice's own sources, a block of sources at a time.
 

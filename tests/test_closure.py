@@ -226,6 +226,40 @@ def test_small_groups_are_closed_by_more_tasks_than_their_bytes_ask_for(spark, m
     assert closed.rdd.getNumPartitions() == 21 and closed.count() == 600
 
 
+PLACED_WAYS = [dict(), dict(method="doubling", hop_rule="middle"), dict(method="grouped", grouped_rows=20), dict(hop_rule="first")]
+
+
+@pytest.mark.parametrize("way", PLACED_WAYS, ids=str)
+def test_placed_groups_have_the_rows_of_the_joins(spark, way, monkeypatch):
+    """Many calls in a partition, groups across batches, large groups and rows without a group included."""
+    from roadloom.operators import closure as module
+
+    rows = random_cells(8) + [(i, i + 1, i + 1, 1.0, 99) for i in range(30)] + [(1, 2, 2, 1.0, None), (1, 2, 1, 1.0, None), (None, 3, 3, 1.0, 99)]
+    frame = celled(spark, rows)
+    want = closure(frame, in_task_from=None, **({**way, "method": "stepwise"} if way.get("method") == "grouped" else way))
+    monkeypatch.setattr(module, "BUCKET_ARCS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = closure(frame.repartition(2, "current_cell"), placed=True, **way).select(want.columns).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(repr, got)) == sorted(map(repr, want.collect()))
+
+
+def test_placed_groups_are_stored_once_and_not_shuffled(spark, monkeypatch):
+    """Rows that lie by their groups are closed there; what is stored on the way is the result itself."""
+    from roadloom.durable import stored_at
+    from roadloom.operators import closure as module
+
+    plans, write = [], module.write_and_read
+    monkeypatch.setattr(module, "write_and_read", lambda df, path, **told: plans.append(df) or write(df, path, **told))
+    arcs = spark.range(400).selectExpr(
+        "id AS incoming_edge", "id div 4 * 4 + (id + 1) % 4 AS outgoing_edge", "id AS via_edge", "1.0D AS cost", "id div 4 AS current_cell")
+    closed = closure(arcs.repartition(3, "current_cell"), placed=True)
+    assert closed.count() == 1200 and len(plans) == 1 and stored_at(closed) and stored_at(closed.select("cost")) is None
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_rows_with_an_unread_id_are_not_held_against_the_closed_ones(spark):
     """No closed row can replace them; rows with whole keys are still replaced."""
     rows = [(1, 2, 2, 1.0, 0), (2, 3, 3, 1.0, 0), (None, 2, 2, 5.0, 0), (None, 2, 2, 4.0, 0), (1, 2, 2, 9.0, None)]

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from workloads.networks import Networks
 from workloads.queries import QUERIES
@@ -56,3 +57,26 @@ def test_lines_are_numbered_once(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "row_number" not in plan
     assert "incoming_edge#" in plan and not re.search(r"Exchange hashpartitioning\(incoming_edge", plan)
+
+
+def test_dealt_lines_are_the_lines_in_whole_orders(spark, networks, monkeypatch):
+    """As many partitions as the lines ask for, each order in one of them; each column is shuffled once."""
+    from workloads import networks as module
+
+    monkeypatch.setattr(module, "LINES_AT_ONCE", 1000)
+    dealt, lines = networks.dealt_lines, networks.lines
+    assert dealt.rdd.getNumPartitions() == networks.tables.lineitem.count() // 1000 + 1
+    assert dealt.exceptAll(lines).isEmpty() and lines.exceptAll(dealt).isEmpty()
+    placed = dealt.select("l_orderkey", F.spark_partition_id().alias("part")).distinct()
+    assert placed.count() == placed.select("l_orderkey").distinct().count()
+
+
+def test_closed_lines_are_not_written_twice(spark, monkeypatch):
+    from workloads import queries as module
+
+    def written(*_, **__):
+        raise AssertionError("the closed lines were stored a second time")
+
+    monkeypatch.setattr(module, "_stored", {})
+    monkeypatch.setattr(module.store, "write_shortcuts", written)
+    assert module.closed_lines(Networks(spark, FOLDER)).count()

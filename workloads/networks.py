@@ -29,6 +29,9 @@ from roadloom.sources.network import initial_shortcuts, with_cost
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
 #: Line ids are the order's key times this, plus the place in the order.
 LINE_NUMBERS = 1000
+#: Lines of a partition whose orders are closed where they lie, and the most partitions of that kind.
+LINES_AT_ONCE = 100_000
+MOST_PARTITIONS = 10_000
 
 ORDER = PathColumns(groups=("l_orderkey",))
 REGION = PathColumns(
@@ -38,6 +41,42 @@ REGION = PathColumns(
 VISIT = PathColumns(source="src", target="dst", hop="next_node", groups=("visitor", "lane"))
 
 
+def _numbered(lineitem: DataFrame) -> DataFrame:
+    in_order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    whole = Window.partitionBy("l_orderkey")
+    line = F.col("l_orderkey") * LINE_NUMBERS + F.row_number().over(in_order)
+    # Each column is shuffled once; names are given behind the window.
+    numbered = lineitem.select("l_orderkey", *LINE_ORDER, line.alias("line"))
+    here = F.struct("line", F.col("l_partkey").alias("part"))
+    return numbered.select(
+        "l_orderkey", "l_returnflag", F.col("l_quantity").alias("quantity"), F.col("l_partkey").alias("part"), "line",
+        F.lead(here, 1).over(in_order).alias("following"), F.lead(here, 2).over(in_order).alias("next_but_one"),
+        F.min(here).over(whole).alias("opening"), F.count(F.lit(1)).over(whole).alias("lines"),
+    )
+
+
+def _steps(order_lines: DataFrame) -> DataFrame:
+    step = lambda gap, line: F.struct(F.lit(gap).alias("gap"), F.col(line).alias("to"))
+    last = F.col("following").isNull() & (F.col("lines") > 1)
+    steps = F.array(step(1, "following"), step(2, "next_but_one"), F.when(last, step(1, "opening")))
+    return order_lines.select("l_orderkey", "l_returnflag", "quantity", "part", "line", F.explode(steps).alias("step")).where(
+        "step.to IS NOT NULL"
+    ).select(
+        "l_orderkey", "l_returnflag", "quantity", "part", "line",
+        F.col("step.gap").alias("gap"), F.col("step.to.line").alias("next_line"), F.col("step.to.part").alias("next_part"),
+    )
+
+
+def _line_arcs(consecutive: DataFrame) -> DataFrame:
+    return consecutive.select(
+        F.col("line").alias("incoming_edge"),
+        F.col("next_line").alias("outgoing_edge"),
+        F.col("next_line").alias("via_edge"),
+        (F.col("quantity") * F.col("gap")).alias("cost"),
+        "l_orderkey",
+    )
+
+
 @dataclass
 class Tables:
     spark: SparkSession
@@ -91,41 +130,23 @@ class Networks:
     @property
     def order_lines(self) -> DataFrame:
         """Every order line, numbered within its order, with the lines it leads to."""
-        in_order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-        whole = Window.partitionBy("l_orderkey")
-        line = F.col("l_orderkey") * LINE_NUMBERS + F.row_number().over(in_order)
-        numbered = self.tables.lineitem.select(
-            "l_orderkey", *LINE_ORDER, line.alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_partkey").alias("part")
-        )
-        here = F.struct("line", "part")
-        return numbered.select(
-            "l_orderkey", "l_returnflag", "quantity", "part", "line",
-            F.lead(here, 1).over(in_order).alias("following"), F.lead(here, 2).over(in_order).alias("next_but_one"),
-            F.min(here).over(whole).alias("opening"), F.count(F.lit(1)).over(whole).alias("lines"),
-        )
+        return _numbered(self.tables.lineitem)
 
     @property
     def consecutive(self) -> DataFrame:
         """Lines with the next and the next but one line of their order; the last one leads back to the first."""
-        step = lambda gap, line: F.struct(F.lit(gap).alias("gap"), F.col(line).alias("to"))
-        last = F.col("following").isNull() & (F.col("lines") > 1)
-        steps = F.array(step(1, "following"), step(2, "next_but_one"), F.when(last, step(1, "opening")))
-        return self.order_lines.select("l_orderkey", "l_returnflag", "quantity", "part", "line", F.explode(steps).alias("step")).where(
-            "step.to IS NOT NULL"
-        ).select(
-            "l_orderkey", "l_returnflag", "quantity", "part", "line",
-            F.col("step.gap").alias("gap"), F.col("step.to.line").alias("next_line"), F.col("step.to.part").alias("next_part"),
-        )
+        return _steps(self.order_lines)
 
     @property
     def lines(self) -> DataFrame:
-        return self.consecutive.select(
-            F.col("line").alias("incoming_edge"),
-            F.col("next_line").alias("outgoing_edge"),
-            F.col("next_line").alias("via_edge"),
-            (F.col("quantity") * F.col("gap")).alias("cost"),
-            "l_orderkey",
-        )
+        return _line_arcs(self.consecutive)
+
+    @property
+    def dealt_lines(self) -> DataFrame:
+        """``lines`` in partitions of whole orders, of about ``LINES_AT_ONCE`` lines: closing is much work for few bytes, so none are put together."""
+        lineitem = self.tables.lineitem.select("l_orderkey", *LINE_ORDER)
+        partitions = int(min(lineitem.count() // LINES_AT_ONCE + 1, MOST_PARTITIONS))
+        return _line_arcs(_steps(_numbered(lineitem.repartition(partitions, "l_orderkey"))))
 
     @cached_property
     def placed_lines(self) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.durable import fresh_path, path_exists
+from roadloom.durable import fresh_path, path_exists, stored_at
 from roadloom.functions import cells
 from roadloom.functions.costs import travel_cost
 from roadloom.operators import celled, dictionary, graph, merge, paths, quality, reports, sampling, sketches
@@ -47,9 +47,12 @@ def stored(n: Networks, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table written once per session and input folder."""
     key = (n.spark.sparkContext.applicationId, n.folder, name)
     if key not in _stored or not path_exists(n.spark, _stored[key][0]):
-        path = fresh_path(n.spark, name)
         df = build()
-        store.write_shortcuts(df, path)
+        # A closing may have stored its result already.
+        path = stored_at(df)
+        if path is None:
+            path = fresh_path(n.spark, name)
+            store.write_shortcuts(df, path)
         _stored[key] = (path, df.schema)
     path, schema = _stored[key]
     return store.read_shortcuts(n.spark, path, schema)
@@ -67,7 +70,7 @@ def closed_trade(n: Networks) -> DataFrame:
 
 
 def closed_lines(n: Networks) -> DataFrame:
-    return stored(n, "closed-lines", lambda: closure(n.lines, ORDER))
+    return stored(n, "closed-lines", lambda: closure(n.dealt_lines, ORDER, placed=True))
 
 
 def placed_suppliers(n: Networks) -> DataFrame:
@@ -611,17 +614,17 @@ def final_info(n):
 
 @register("cell_closure", o.query(o.LINES, o.closure("closed", "lines", o.LINE_ROUNDS, ("l_orderkey",), "middle"), select=f"SELECT {LINE_COLUMNS} FROM closed"))
 def cell_closure(n):
-    return closure(n.lines, ORDER, method="doubling", hop_rule="middle")
+    return closure(n.dealt_lines, ORDER, method="doubling", hop_rule="middle", placed=True)
 
 
 @register("cell_closure_delta", o.query(o.LINES, LINES_CLOSED, select=f"SELECT {LINE_COLUMNS} FROM closed"))
 def cell_closure_delta(n):
-    return closure(n.lines, ORDER, method="stepwise")
+    return closure(n.dealt_lines, ORDER, method="stepwise", placed=True)
 
 
 @register("cell_closure_grouped", o.query(o.LINES, LINES_CLOSED, select=f"SELECT {LINE_COLUMNS} FROM closed"))
 def cell_closure_grouped(n):
-    return closure(n.lines, ORDER, method="grouped")
+    return closure(n.dealt_lines, ORDER, method="grouped", placed=True)
 
 
 VISIT_COLUMNS = "src, dst, cost, next_node, visitor, lane"
