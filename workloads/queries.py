@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.durable import fresh_path, path_exists, stored_at
+from roadloom.durable import durable, fresh_path, path_exists, stored_at
 from roadloom.functions import cells
 from roadloom.functions.costs import travel_cost
 from roadloom.operators import celled, dictionary, graph, merge, paths, quality, reports, sampling, sketches
@@ -455,7 +455,9 @@ def cost_histogram(n):
 degrees AS (SELECT incoming_edge, count(*) AS degree FROM closed GROUP BY incoming_edge)""",
     bins_sql("degrees", "degree"), select=BINS_SELECT))
 def degree_histogram(n):
-    return rounded_bins(reports.histogram(reports.reach_out(closed_lines(n)), "num_destinations"))
+    # The bins need the degrees twice.
+    degrees = durable(reports.reach_out(closed_lines(n)).select("num_destinations"), "degrees")
+    return rounded_bins(reports.histogram(degrees, "num_destinations"))
 
 
 @register("cost_box_summary", o.query(o.LINES, LINES_CLOSED, """
