@@ -106,6 +106,16 @@ def test_samples_repeat_and_hit_their_size(spark):
     assert 1700 < once.count() < 2300
     again = sampling.sample_fraction(frame.repartition(5), 0.1, 42, ["id"])
     assert once.exceptAll(again).isEmpty() and again.exceptAll(once).isEmpty()
+
+
+def test_shares_are_decided_on_the_digits_as_on_the_numbers(spark):
+    frame = spark.range(5_000)
+    number = sampling.unit_hash(["id"], 7)
+    some = frame.where("id = 17").select(number).first()[0]
+    for share in (-1.0, 0.0, 1e-12, some, some + 2**-33, 0.3, 1 - 2**-34, 1.0, 5.0, float("inf")):
+        below = frame.where(sampling.below_share(["id"], 7, share))
+        assert below.exceptAll(frame.where(number < share)).isEmpty() and below.count() == frame.where(number < share).count()
+    assert "conv(" not in sampling.sample_fraction(frame, 0.3, 7, ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert 900 < sampling.sample_to_size(frame, 1000, 1, ["id"]).count() < 1100
     assert sampling.sample_to_size(frame, 50_000, 1, ["id"]).count() == 20_000
 
@@ -148,3 +158,11 @@ def test_ties_are_found_in_one_pass(spark):
     got = {(r.incoming_edge, r.outgoing_edge, r.via_edge) for r in ties.collect()}
     assert got == {(1, 2, 5), (1, 2, 6), (4, 5, 5), (4, 6, 6), (7, 8, 8), (7, 8, 9)} and ties.count() == 6
     assert "Join" not in ties._jdf.queryExecution().executedPlan().toString()
+
+
+def test_degrees_are_counted_once(spark):
+    """The percentile and the mean read the same stored degrees."""
+    shortcuts = spark.createDataFrame([(1, 2, 2, 1.0), (1, 3, 2, 1.0), (2, 3, 3, 1.0)], "incoming_edge long, outgoing_edge long, via_edge long, cost double")
+    summary = reports.degree_summary(shortcuts)
+    assert tuple(summary.first()) == (1.5, 1.5)
+    assert "Exchange hashpartitioning" not in summary._jdf.queryExecution().executedPlan().toString()
