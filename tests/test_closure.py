@@ -282,3 +282,61 @@ def test_groups_beyond_the_cells_of_one_call_are_spread(spark, monkeypatch):
     want = sorted(map(repr, closure(frame, method="grouped", grouped_rows=10**9).collect()))
     monkeypatch.setattr(module, "MOST_GROUPED_ROWS", 5)
     assert sorted(map(repr, closure(frame, method="grouped", grouped_rows=10**9).collect())) == want
+
+
+def test_any_number_of_pairs_is_dealt_out_by_source(spark, monkeypatch):
+    """A group whose rows fit a task never goes through the joins, however many pairs it makes."""
+    from roadloom.operators import closure as module
+
+    frame = celled(spark, random_cells(9) + [(i, i + 1, i + 1, 1.0, 99) for i in range(30)])
+    want = closure(frame, in_task_from=None)
+    monkeypatch.setattr(module, "SLICED_PAIRS", 10, raising=False)
+    monkeypatch.setattr(module, "FEW_SLICES", 3, raising=False)
+    monkeypatch.setattr(module, "SLICE_PAIRS", 10)
+    monkeypatch.setattr(module, "meeting_join", None)
+    got = closure(frame, method="grouped", grouped_rows=2).select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("cells, chains, returned", [(10**7, 10**6, 10**6), (60, 40, 30), (1, 1, 1)])
+def test_blocks_of_sources_make_the_rows_of_one_call(monkeypatch, cells, chains, returned):
+    """Ties, cycles of no cost, several arcs of a pair and nodes without arcs in or out, in blocks of any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    from roadloom.operators import closure as module
+
+    monkeypatch.setattr(module, "SOURCE_CELLS", cells)
+    monkeypatch.setattr(module, "SWEEP_CHAINS", chains)
+    monkeypatch.setattr(module, "RETURNED_ROWS", returned)
+    names = ["incoming_edge", "outgoing_edge", "via_edge", "cost", "current_cell"]
+    solver = module._Solver(CELLED, (), (), (), ())
+    rows_of = lambda table: sorted(zip(*(table[name].to_pylist() for name in names)))
+    for seed in range(8):
+        rng = random.Random(seed)
+        nodes, least = rng.randint(3, 30), rng.choice([0, 1])
+        rows = [(rng.randrange(nodes) * 3, rng.randrange(nodes) * 3, rng.randrange(99), float(rng.randint(least, 6)), 7) for _ in range(90)]
+        table = pa.table(dict(zip(names, zip(*[r for r in rows if r[0] != r[1]]))))
+        blocks = list(solver._solve_sources(table.append_column("_own", pa.array(np.ones(len(table), bool))), names))
+        assert rows_of(pa.concat_tables(blocks)) == rows_of(solver._solve(table, names))
+
+
+def test_a_long_ring_is_swept_a_few_times(monkeypatch):
+    """The order follows the arcs, not the numbers of the nodes: a path of hundreds of arcs takes no round for each of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from roadloom.operators import closure as module
+
+    n = 1200
+    name = np.random.default_rng(3).permutation(n)
+    start = np.repeat(np.arange(n), 2)
+    end = (start + np.tile([5, 11], n)) % n
+    table = pa.table({
+        "incoming_edge": name[start], "outgoing_edge": name[end], "via_edge": name[end], "cost": np.ones(2 * n), "current_cell": np.zeros(2 * n, np.int64)})
+    sweeps = module._Sweeps(module._Numbered(table, CELLED), 50)
+    looked_at, chains = [], sweeps._chains
+    monkeypatch.setattr(sweeps, "_chains", lambda best, batch: looked_at.append(batch) or chains(best, batch))
+    best = sweeps.closed(np.arange(50))
+    assert np.isfinite(best[:n]).sum() == 50 * (n - 1) and best[:n][np.isfinite(best[:n])].max() > 100
+    assert len(looked_at) < 6 * len(sweeps.batches)
