@@ -2,6 +2,7 @@ import random
 from math import inf
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadloom.durable import fresh_path
 from roadloom.operators import celled
@@ -146,3 +147,30 @@ def test_merges(spark):
     main = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], parts)
     new = spark.createDataFrame([("a", 9), ("c", 4)], parts)
     assert sorted(merge_partitions(main, new, ["region"]).collect()) == [("a", 9), ("b", 3), ("c", 4)]
+
+
+def test_the_upward_steps_leave_the_global_rows_where_they_are(spark):
+    """Only the pairs of a level are read and written again; what is left of older parts stays in its files."""
+    network = random_network(6)
+    edges, shortcuts = frames(spark, *network)
+    run = Run.start(shortcuts, edges, Options(**SMALL)).downward().global_step()
+    across = run.table.where("lca_res <= 0 AND via_res < 0")
+    files = {r.name for r in across.select(F.input_file_name().alias("name")).distinct().collect()}
+    assert files and across.count() > 20
+    run.upward()
+    after = run.table.where("lca_res <= 0 AND via_res < 0")
+    assert {r.name for r in after.select(F.input_file_name().alias("name")).distinct().collect()} == files
+    assert costs(run.shortcuts()) == model(*network, [2, 1, 0, -1, 0, 1, 2])
+
+
+def test_closed_rows_are_written_once(spark, monkeypatch):
+    """Rows of infinite cost, which a path may replace, do not make a closing store its result."""
+    from roadloom.operators import closure as module
+
+    edges, shortcuts = frames(spark, *random_network(2))
+    names, durable = [], module.durable
+    monkeypatch.setattr(module, "durable", lambda df, name="table": names.append(name) or durable(df, name))
+    options = Options(**SMALL, distributed_resolutions=(-1, 0, 1, 2))
+    got = costs(three_passes(shortcuts, edges, options).shortcuts())
+    assert got == model(*random_network(2), [2, 1, 0, -1, 0, 1, 2])
+    assert "beside" in names and "closed" not in names
