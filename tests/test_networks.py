@@ -80,3 +80,18 @@ def test_closed_lines_are_not_written_twice(spark, monkeypatch):
     monkeypatch.setattr(module, "_stored", {})
     monkeypatch.setattr(module.store, "write_shortcuts", written)
     assert module.closed_lines(Networks(spark, FOLDER)).count()
+
+
+def test_reports_read_the_published_table_from_the_run(spark, tmp_path):
+    """The shortcuts of a run are stored once: no report writes them again."""
+    from workloads import queries
+
+    spark.range(60).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(240).selectExpr("id % 60 AS l_suppkey", "CAST(id % 7 + 1 AS DOUBLE) AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    stats = QUERIES["cell_stats"](spark, str(tmp_path))
+    read = {name.split("/")[-2].split("-")[0] for name in stats.inputFiles()}
+    assert read == {"shortcuts"}
+    want = QUERIES["hierarchical_shortcuts"](spark, str(tmp_path))
+    got = queries.final_suppliers(Networks(spark, str(tmp_path))).select(want.columns)
+    assert got.count() == sum(r.shortcut_count for r in stats.collect()) > 500
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
