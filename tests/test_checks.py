@@ -106,3 +106,27 @@ def test_landmark_bounds_never_exceed_the_distance(spark):
             assert r.reachable and 0 <= r.bound <= distance
         assert (r.bound is None) == (not r.reachable)
     assert any(r.bound and r.bound > 1 for r in found) and any(not r.reachable for r in found)
+
+
+def test_costs_are_counted_where_they_are(shortcuts):
+    """Most costs of a large table differ: no row is moved by its cost, and the ranks are those of counted costs."""
+    from roadloom.functions.cells import ancestor
+
+    # Sketches draw lots.
+    found = sketches.quantiles(sketches.merged_up(sketches.cell_sketches(shortcuts), 0)).localCheckpoint()
+    ranks = sketches.rank_check(shortcuts, found, ancestor("cell", 0))
+    assert "_cost" not in "".join(line for line in ranks._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    counted = sketches.rank_check(shortcuts, found, ancestor("cell", 0), few_costs=True).select(ranks.columns)
+    assert sorted(map(repr, ranks.collect())) == sorted(map(repr, counted.collect()))
+
+
+def test_edge_sets_stand_for_the_rows(shortcuts):
+    """Coarser levels are told from the sets of the cells, which are read once."""
+    from roadloom.functions.cells import ancestor
+
+    sets = sketches.edge_sets(shortcuts).cache()
+    assert sets.count() == sum(shortcuts.where(f"{role} IS NOT NULL").select("cell", role).distinct().count() for role in sketches.EDGES)
+    for res in (1, -1):
+        estimates = sketches.distinct_counts(sketches.merged_up(sketches.cell_sketches(shortcuts), res)).localCheckpoint()
+        plain = sketches.distinct_check(shortcuts, estimates, ancestor("cell", res))
+        assert sorted(map(repr, sketches.distinct_check(sets, estimates, ancestor("cell", res)).collect())) == sorted(map(repr, plain.collect()))
